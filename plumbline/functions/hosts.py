@@ -36,10 +36,10 @@ def dga_likeness(host: Column) -> Column:
     letters = F.regexp_replace(label, "[^a-z]", "")
     n = F.char_length(letters)
     distinct = F.size(F.array_distinct(F.filter(F.split(letters, ""), lambda c: c != "")))
-    ratio = shannon_entropy(letters) / F.least(F.log2(F.lit(26.0)), F.log2(distinct.cast("double")))
+    ratio = F.try_divide(shannon_entropy(letters), F.least(F.log2(F.lit(26.0)), F.log2(F.greatest(distinct, F.lit(1)).cast("double"))))
     spread = F.when(n < 12, F.lit(0)).when(ratio >= 0.92, F.lit(35)).when(ratio >= 0.85, F.lit(20)).otherwise(F.lit(0))
     vowels = F.char_length(F.regexp_replace(letters, "[^aeiou]", ""))
-    drift = F.abs(vowels / n - F.lit(EXPECTED_VOWELS))
+    drift = F.abs(F.try_divide(vowels, n) - F.lit(EXPECTED_VOWELS))
     drifted = F.when(drift >= 0.28, F.lit(30)).when(drift >= 0.2, F.lit(15)).otherwise(F.lit(0))
     runs = F.transform(F.split(letters, "[aeiou]"), lambda r: F.char_length(r))
     longest = F.array_max(runs)
