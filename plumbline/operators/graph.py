@@ -142,8 +142,12 @@ def helper_closure(functions: DataFrame, name_gate: str, body_signal: str, round
     ).distinct()
     known = gated.where(F.col("body").rlike(body_signal)).select("project", "name").distinct().withColumn("round", F.lit(0))
     for i in range(1, rounds + 1):
-        reached = edges.join(
-            known.select("project", F.col("name").alias("callee")), ["project", "callee"], "left_semi"
+        reached = spread_join(
+            edges,
+            known.select("project", F.col("name").alias("callee")),
+            ["project", "callee"],
+            "left_semi",
+            spread_by=["caller"],
         ).select("project", F.col("caller").alias("name")).distinct()
         fresh = reached.join(known, ["project", "name"], "left_anti").withColumn("round", F.lit(i))
         known = known.unionByName(fresh)
