@@ -106,9 +106,11 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
 def triage_merge(findings: DataFrame, verdicts: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Verdicts on high and critical findings: a low score turns them into low/likely."""
     scored = findings.join(verdicts.select("fingerprint", "score"), "fingerprint", "left")
-    rejected = F.coalesce(
-        F.col("severity").isin("critical", "high") & (F.col("score") < threshold), F.lit(False)
-    )
-    return scored.withColumn("severity", F.when(rejected, F.lit("low")).otherwise(F.col("severity"))).withColumn(
-        "confidence", F.when(rejected, F.lit("likely")).otherwise(F.col("confidence"))
-    )
+    rejected = F.coalesce(F.col("severity").isin("critical", "high") & (F.col("score") < threshold), F.lit(False))
+    marked = scored.withColumn("__low", rejected)
+    return marked.withColumns(
+        {
+            "severity": F.when(F.col("__low"), F.lit("low")).otherwise(F.col("severity")),
+            "confidence": F.when(F.col("__low"), F.lit("likely")).otherwise(F.col("confidence")),
+        }
+    ).drop("__low")
