@@ -38,17 +38,26 @@ def numbered(lines: Column) -> Column:
 def matches_on(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` in ``text`` as (column_no, value), left to right.
 
-    The pieces between matches and the matches themselves interleave, so the start
-    of match k is one plus the lengths of k pieces and k-1 matches.
+    The pieces between matches and the matches themselves interleave; one fold over
+    both keeps the running position, so the text is split once per row.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-
-    def start(k: Column) -> Column:
-        lead = F.aggregate(F.slice(pieces, 1, k + 1), F.lit(1), lambda acc, x: acc + F.char_length(x))
-        return F.aggregate(F.slice(found, 1, k), lead, lambda acc, x: acc + F.char_length(x))
-
-    return F.transform(found, lambda value, k: F.struct(start(k).alias("column_no"), value.alias("value")))
+    pairs = F.arrays_zip(
+        F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
+    )
+    none = F.array().cast("array<struct<column_no:int,value:string>>")
+
+    def step(acc: Column, pair: Column) -> Column:
+        at = acc["pos"] + F.char_length(pair["piece"])
+        return F.struct(
+            (at + F.coalesce(F.char_length(pair["value"]), F.lit(0))).alias("pos"),
+            F.when(pair["value"].isNull(), acc["out"])
+            .otherwise(
+                F.array_append(acc["out"], F.struct(at.alias("column_no"), pair["value"].alias("value")))
+            )
+            .alias("out"),
+        )
+
+    return F.aggregate(pairs, F.struct(F.lit(1).alias("pos"), none.alias("out")), step)["out"]
 
 
 def grep_lines(

@@ -8,22 +8,21 @@ facts, never the corpus again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators.clean import clean_corpus
-from plumbline.operators.graph import BODY_CHARS, DEFINITION, called_names
-from plumbline.operators.joins import spread_join
-from plumbline.operators.lines import context, line_of, matches_on, numbered, split_lines
+from plumbline.operators.graph import BODY_CHARS, DEFINITION
+from plumbline.operators.joins import spread_join, widen
+from plumbline.operators.lines import numbered, split_lines
 from plumbline.operators.ordered import first_per_group
 from plumbline.plans import patterns as P
 from plumbline.plans import rules as R
+from plumbline.session import cut_lineage
 
-FACT = "struct<kind:string,key:string,line:int,text:string,level:int>"
 FINDING_COLUMNS = ["project", "rule_id", "file", "line", "snippet", "severity", "confidence", "note"]
 
 # Names and body signals of identity and verification helpers.
@@ -43,204 +42,205 @@ HELPER_SPECS = {
 }
 SPECS = list(HELPER_SPECS)
 
-Extractor = Callable[[], Column]
+def lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def fact(kind: str, key, line=None, text=None, level=None) -> Column:
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        as_col(key).cast("string").alias("key"),
-        as_col(1 if line is None else line).cast("int").alias("line"),
-        as_col(text).cast("string").alias("text"),
-        as_col(level).cast("int").alias("level"),
+def rlike(column: str, pattern: str) -> str:
+    return f"({column} rlike {lit(pattern)})"
+
+
+def fact(kind: str, key: str, line: str = "1", text: str = "null", level: str = "null") -> str:
+    return (
+        f"named_struct('kind', '{kind}', 'key', string({key}), 'line', int({line}), "
+        f"'text', string({text}), 'level', int({level}))"
     )
 
 
 def prepare(files: DataFrame) -> DataFrame:
-    """project, path, content, clean, lines and flags of each file."""
+    """project, path, content, clean, lines and numbered lines of each file."""
     path = T.posix(F.col("path"))
     tracked = F.col("tracked") if "tracked" in files.columns else F.lit(None).cast("boolean")
-    base = files.select(
-        "project", path.alias("path"), F.coalesce("content", F.lit("")).alias("content"), tracked.alias("tracked")
+    base = widen(
+        files.select(
+            "project", path.alias("path"), F.coalesce("content", F.lit("")).alias("content"), tracked.alias("tracked")
+        )
     )
     cleaned = clean_corpus(base).withColumn("is_test", T.is_test_path(F.col("path")))
-    return cleaned.withColumn("lines", split_lines(F.col("clean")))
+    return cleaned.withColumn("lines", split_lines(F.col("clean"))).withColumn("nl", numbered(F.col("lines")))
 
 
+def _surface_text(surface: str) -> str:
+    return "content" if surface == "raw" else "clean"
 
 
-def _surface_text(surface: str) -> Column:
-    return F.col("content") if surface == "raw" else F.col("clean")
-
-
-def _file_test(t: P.Test, text: Column) -> Column | None:
-    """Column for tests decided by the file alone; None for others."""
+def _file_test(t: P.Test, text: str) -> str | None:
+    """Condition for tests decided by the file alone; None for others."""
     if t.scope == "path":
-        col = F.col("path").rlike(t.regex)
+        cond = rlike("path", t.regex)
     elif t.scope == "file":
-        col = text.rlike(t.regex)
+        cond = rlike(text, t.regex)
     elif t.scope == "tracked":
-        col = {"yes": F.col("tracked"), "no": ~F.col("tracked"), "known": F.col("tracked").isNotNull()}[t.regex]
-        return F.coalesce(col, F.lit(False))
+        return {"yes": "coalesce(tracked, false)", "no": "coalesce(not tracked, false)", "known": "(tracked is not null)"}[t.regex]
     else:
         return None
-    return ~col if t.negate else col
+    return f"not {cond}" if t.negate else cond
+
 
+def window_sql(before: int, after: int) -> str:
+    start = f"greatest(e.line_no - {before}, 1)"
+    return f"array_join(slice(lines, {start}, e.line_no + {after} - {start} + 1), '\\n')"
 
-def function_context(entry: Column, fallback: int, after: int) -> Column:
+
+def function_sql(fallback: int, after: int) -> str:
     """From the nearest function head at or above the line, else ``fallback`` lines above."""
-    lines = F.col("lines")
-    heads = F.filter(
-        F.transform(F.slice(lines, F.lit(1), entry["line_no"]), lambda x, i: F.when(x.rlike(P.FUNC_HEAD), i + 1)),
-        lambda i: i.isNotNull(),
-    )
-    start = F.coalesce(F.array_max(heads), F.greatest(entry["line_no"] - fallback, F.lit(1)))
-    return F.array_join(F.slice(lines, start, entry["line_no"] + after - start + 1), "\n")
+    heads = f"transform(filter(slice(nl, 1, e.line_no), h -> {rlike('h.text', P.FUNC_HEAD)}), h -> h.line_no)"
+    start = f"coalesce(array_max({heads}), greatest(e.line_no - {fallback}, 1))"
+    return f"array_join(slice(lines, {start}, e.line_no + {after} - {start} + 1), '\\n')"
 
 
-def _line_test(t: P.Test, entry: Column, text: Column) -> Column:
+def _line_test(t: P.Test, text: str) -> str:
     if t.scope == "line":
-        col = entry["text"].rlike(t.regex)
+        cond = rlike("e.text", t.regex)
     elif t.scope == "window":
-        col = context(F.col("lines"), entry["line_no"], t.before, t.after).rlike(t.regex)
+        cond = rlike(window_sql(t.before, t.after), t.regex)
     elif t.scope == "func":
-        col = function_context(entry, t.before, t.after).rlike(t.regex)
+        cond = rlike(function_sql(t.before, t.after), t.regex)
     elif t.scope == "taint":
-        names = F.regexp_extract_all(text, F.lit(t.regex), F.lit(1))
-        col = F.array_contains(names, F.regexp_extract(entry["text"], t.arg, 1))
+        cond = (
+            f"array_contains(regexp_extract_all({text}, {lit(t.regex)}, 1), "
+            f"regexp_extract(e.text, {lit(t.arg)}, 1))"
+        )
     else:
         raise ValueError(t.scope)
-    return ~col if t.negate else col
+    return f"not {cond}" if t.negate else cond
 
 
-def _all(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols) if cols else F.lit(True)
+def _all(conds: Sequence[str]) -> str:
+    return "(" + " and ".join(conds) + ")" if conds else "true"
 
 
 LATE = ("flag", "helper")
+LINE_COST = {"line": 0, "taint": 1, "window": 2, "func": 3}
 
 
-def clause_facts(index: int, clause: P.Clause) -> Column:
+def clause_facts(index: int, clause: P.Clause) -> str:
     """Hits of one clause in one file as an array of facts; null when the file is out.
 
     Path tests come first, then whole-file regexes (among them the hit pattern
-    itself), so lines are looked at in the few files that can have a hit.
+    itself), so lines are looked at in the few files that can have a hit. Built as
+    SQL text: one parse instead of thousands of calls into the JVM.
     """
     surface = R.BY_ID[clause.rule_id].surface
     text = _surface_text(surface)
     tests = [t for t in clause.where if t.scope not in LATE]
     early = [c for c in (_file_test(t, text) for t in sorted(tests, key=lambda t: t.scope != "path")) if c is not None]
     if surface != "all":
-        early.insert(0, ~F.col("is_test"))
-    late = [t for t in tests if t.scope in ("line", "window", "func", "taint")]
+        early.insert(0, "not is_test")
+    late = sorted((t for t in tests if t.scope in LINE_COST), key=lambda t: LINE_COST[t.scope])
 
-    def level(entry: Column | None) -> Column:
-        expr = F.lit(None).cast("int")
+    def level() -> str:
+        expr = "null"
         for i in range(len(clause.levels) - 1, -1, -1):
-            conds = []
-            for t in clause.levels[i].when:
-                as_file = _file_test(t, text)
-                conds.append(as_file if as_file is not None else _line_test(t, entry, text))
-            expr = F.when(_all(conds), F.lit(i)).otherwise(expr) if conds else F.lit(i)
+            conds = [_file_test(t, text) or _line_test(t, text) for t in clause.levels[i].when]
+            expr = f"case when {_all(conds)} then {i} else {expr} end" if conds else str(i)
         return expr
 
     if clause.hit is None:
-        at = F.lit(1)
+        at, shown = "1", "path"
         if clause.at:
-            found = F.filter(numbered(F.col("lines")), lambda e: e["text"].rlike(clause.at))
-            at = F.coalesce(F.try_element_at(found, F.lit(1))["line_no"], F.lit(1))
-        shown = F.try_element_at(F.col("lines"), at) if clause.at else F.col("path")
-        rows = F.array(fact("hit", index, at, shown, level(None)))
-        return F.when(_all(early), rows)
-    gate = [*early, text.rlike("(?m)" + clause.hit)]
-
-    def keep(entry: Column) -> Column:
-        return _all([entry["text"].rlike(clause.hit), *[_line_test(t, entry, text) for t in late]])
-
-    rows = F.transform(
-        F.filter(numbered(F.col("lines")), keep),
-        lambda e: fact("hit", index, e["line_no"], e["text"], level(e)),
-    )
-    rows = F.filter(rows, lambda f: f["level"].isNotNull())
+            at = f"coalesce(try_element_at(filter(nl, e -> {rlike('e.text', clause.at)}), 1).line_no, 1)"
+            shown = f"try_element_at(lines, {at})"
+        return f"case when {_all(early)} then array({fact('hit', str(index), at, shown, level())}) end"
+    gate = [*early, rlike(text, "(?m)" + clause.hit)]
+    keep = _all([rlike("e.text", clause.hit), *[_line_test(t, text) for t in late]])
+    rows = f"transform(filter(nl, e -> {keep}), e -> {fact('hit', str(index), 'e.line_no', 'e.text', level())})"
+    if any(lv.when for lv in clause.levels[-1:]):
+        rows = f"filter({rows}, f -> f.level is not null)"
     if clause.per != "line":
-        rows = F.slice(rows, 1, 1)
-    return F.when(_all(gate), rows)
+        rows = f"slice({rows}, 1, 1)"
+    return f"case when {_all(gate)} then {rows} end"
 
 
-def flag_facts() -> Column:
+def flag_facts() -> str:
     """Project flags this file raises."""
     raised = []
     for name, (on_path, off_path, on_text) in P.FLAGS.items():
         conds = []
         if on_path:
-            conds.append(F.col("path").rlike(on_path))
+            conds.append(rlike("path", on_path))
         if off_path:
-            conds.append(~F.col("path").rlike(off_path))
+            conds.append("not " + rlike("path", off_path))
         # Test files count only for facts about the project's shape, never about its code.
         if on_text:
-            conds += [~F.col("is_test"), F.col("clean").rlike(on_text)]
-        raised.append(F.when(_all(conds), fact("flag", name)))
-    listed = F.when(F.col("tracked").isNotNull(), fact("flag", "git"))
-    return F.array_compact(F.array(*raised, listed))
+            conds += ["not is_test", rlike("clean", on_text)]
+        raised.append(f"case when {_all(conds)} then {fact('flag', lit(name))} end")
+    raised.append(f"case when tracked is not null then {fact('flag', lit('git'))} end")
+    return "array_compact(array(" + ", ".join(raised) + "))"
 
 
-def helper_facts() -> Column:
-    """Definitions with gated names (level = signal bits) and calls of gated names."""
-    code = F.col("path").rlike(P.CODE) & ~F.col("path").rlike(P.TESTISH)
-    gates = [HELPER_SPECS[s][0] for s in SPECS]
-    gated = lambda n: reduce(lambda a, b: a | b, [n.rlike(g) for g in gates])
-
-    def define(d: Column) -> Column:
-        body = F.substring(F.col("clean"), d["column_no"], F.lit(BODY_CHARS))
-        bits = reduce(
-            lambda a, b: a + b,
-            [F.when(body.rlike(HELPER_SPECS[s][1]), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(SPECS)],
-        )
-        return fact(
-            "def",
-            F.regexp_extract(d["value"], "(?:function|const)\\s+(\\w+)", 1),
-            line_of(F.col("clean"), d["column_no"]),
-            F.array_join(F.filter(called_names(body), gated), " "),
-            bits,
-        )
+CALLS = "array_distinct(regexp_extract_all({text}, '\\\\b(\\\\w+)\\\\s*\\\\(', 1))"
 
-    definitions = F.filter(
-        matches_on(F.col("clean"), DEFINITION),
-        lambda d: gated(F.regexp_extract(d["value"], "(?:function|const)\\s+(\\w+)", 1)),
+
+def helper_facts() -> str:
+    """Definitions with gated names (level = signal bits) and calls of gated names."""
+    code = f"{rlike('path', P.CODE)} and not {rlike('path', P.TESTISH)}"
+    gated = "(" + " or ".join(rlike("n", HELPER_SPECS[s][0]) for s in SPECS) + ")"
+    named = lambda v: f"regexp_extract({v}, '(?:function|const)\\\\s+(\\\\w+)', 1)"
+    body = f"substring(clean, d.column_no, {BODY_CHARS})"
+    bits = " + ".join(
+        f"case when {rlike(body, HELPER_SPECS[s][1])} then {1 << i} else 0 end" for i, s in enumerate(SPECS)
     )
-    defs = F.when(code & F.col("clean").rlike(DEFINITION), F.transform(definitions, define))
-    calls = F.when(
-        F.col("path").rlike(P.CODE) & ~F.col("is_test"),
-        F.transform(F.filter(called_names(F.col("clean")), gated), lambda n: fact("call", n)),
+    line = "char_length(regexp_replace(substring(clean, 1, d.column_no - 1), '[^\\n]', '')) + 1"
+    define = fact(
+        "def", named("d.value"), line, f"array_join(filter({CALLS.format(text=body)}, n -> {gated}), ' ')", bits
     )
-    none = F.array().cast(f"array<{FACT}>")
-    return F.concat(F.coalesce(defs, none), F.coalesce(calls, none))
+    gated_d = gated.replace("(n rlike", f"({named('d.value')} rlike")
+    defs = f"case when {code} and {rlike('clean', DEFINITION)} then transform(filter({matches_sql('clean', DEFINITION)}, d -> {gated_d}), d -> {define}) end"
+    calls = (
+        f"case when {rlike('path', P.CODE)} and not is_test then "
+        f"transform(filter({CALLS.format(text='clean')}, n -> {gated}), n -> {fact('call', 'n')}) end"
+    )
+    return f"flatten(array_compact(array({defs}, {calls})))"
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    """SQL form of :func:`plumbline.operators.lines.matches_on`."""
+    pat = lit(pattern)
+    at = "(a.pos + char_length(z.piece))"
+    return (
+        f"aggregate(arrays_zip(split({text}, {pat}, -1) as piece, regexp_extract_all({text}, {pat}, 0) as value), "
+        "named_struct('pos', 1, 'found', cast(array() as array<struct<column_no:int,value:string>>)), "
+        f"(a, z) -> named_struct('pos', {at} + coalesce(char_length(z.value), 0), 'found', "
+        f"case when z.value is null then a.found else array_append(a.found, named_struct('column_no', {at}, 'value', z.value)) end)).found"
+    ).replace(" as piece", "").replace(" as value", "").replace("z.piece", "z['0']").replace("z.value", "z['1']")
 
 
 def scan_facts(
     files: DataFrame,
     clauses: Sequence[P.Clause] | None = None,
-    extractors: Sequence[Extractor] = (),
+    extractors: Sequence[str] = (),
     with_flags: bool = True,
     with_helpers: bool = True,
 ) -> DataFrame:
-    """All facts of all files in one narrow pass: no shuffle, each file read once."""
+    """All facts of all files in one narrow pass: each file is read once.
+
+    ``extractors`` are further SQL expressions giving arrays of facts.
+    """
     chosen = list(enumerate(P.CLAUSES)) if clauses is None else [(P.CLAUSES.index(c), c) for c in clauses]
-    parts: list[Column] = [clause_facts(i, c) for i, c in chosen]
+    parts = [clause_facts(i, c) for i, c in chosen]
     if with_flags:
         parts.append(flag_facts())
     if with_helpers:
         parts.append(helper_facts())
-    parts += [e() for e in extractors]
-    prepared = prepare(files)
+    parts += list(extractors)
     # Bounded groups keep each generated method small.
     chunks = [parts[i : i + 24] for i in range(0, len(parts), 24)]
-    columns = [F.flatten(F.array_compact(F.array(*chunk))).alias(f"__f{n}") for n, chunk in enumerate(chunks)]
-    packed = prepared.select("project", "path", *columns)
-    return packed.select(
-        "project", "path", F.explode(F.concat(*[F.col(f"__f{n}") for n in range(len(chunks))])).alias("f")
-    ).select("project", "path", "f.*")
+    columns = [F.expr("flatten(array_compact(array(" + ", ".join(c) + ")))").alias(f"__f{n}") for n, c in enumerate(chunks)]
+    packed = prepare(files).select("project", "path", *columns)
+    every = F.expr("concat(" + ", ".join(f"__f{n}" for n in range(len(chunks))) + ")")
+    return packed.select("project", "path", F.explode(every).alias("f")).select("project", "path", "f.*")
 
 
 def project_flags(facts: DataFrame) -> DataFrame:
@@ -257,15 +257,21 @@ def helper_names(facts: DataFrame, rounds: int = 3) -> DataFrame:
     per = defs.select("project", F.col("key").alias("name"), "text", "level", F.explode(bits).alias("s")).where(
         F.expr("name rlike s.gate")
     )
-    known = per.where(F.col("level").bitwiseAND(F.col("s.bit")) > 0).select("project", F.col("s.spec").alias("spec"), "name").distinct()
-    edges = (
+    known = cut_lineage(
+        per.where(F.col("level").bitwiseAND(F.col("s.bit")) > 0)
+        .select("project", F.col("s.spec").alias("spec"), "name")
+        .distinct()
+    )
+    edges = cut_lineage(
         per.select("project", F.col("s.spec").alias("spec"), F.col("name").alias("caller"), F.explode(F.split("text", " ")).alias("name"))
         .where((F.col("name") != "") & (F.col("name") != F.col("caller")))
         .distinct()
     )
     for _ in range(rounds):
         reached = spread_join(edges, known, ["project", "spec", "name"], "left_semi", spread_by=["caller"])
-        known = known.unionByName(reached.select("project", "spec", F.col("caller").alias("name"))).distinct()
+        known = cut_lineage(
+            known.unionByName(reached.select("project", "spec", F.col("caller").alias("name"))).distinct()
+        )
     return known
 
 
@@ -288,22 +294,20 @@ def clause_dim(spark: SparkSession) -> DataFrame:
     )
 
 
-def _late_filter() -> Column:
+def _flag_sql(tests: Sequence[P.Test]) -> list[str]:
+    out = []
+    for t in tests:
+        if t.scope in LATE:
+            has = f"array_contains({'flags' if t.scope == 'flag' else 'specs'}, '{t.regex}')"
+            out.append(f"not {has}" if t.negate else has)
+    return out
+
+
+def _late_filter() -> str:
     """Per clause: its flag and helper tests over the joined columns."""
-    expr = F.lit(True)
-    for i, c in enumerate(P.CLAUSES):
-        conds = []
-        for t in c.where:
-            if t.scope == "flag":
-                has = F.array_contains("flags", t.regex)
-            elif t.scope == "helper":
-                has = F.array_contains("specs", t.regex)
-            else:
-                continue
-            conds.append(~has if t.negate else has)
-        if conds:
-            expr = F.when(F.col("key") == str(i), _all(conds)).otherwise(expr)
-    return expr
+    branches = [(i, _flag_sql(c.where)) for i, c in enumerate(P.CLAUSES)]
+    cases = " ".join(f"when '{i}' then {_all(conds)}" for i, conds in branches if conds)
+    return f"case key {cases} else true end"
 
 
 def clause_findings(facts: DataFrame, flags: DataFrame, calling: DataFrame) -> DataFrame:
@@ -343,24 +347,13 @@ def project_findings(flags: DataFrame) -> DataFrame:
     """Findings about the project as a whole."""
     made = []
     for c in P.PROJECT_CLAUSES:
-        conds = [
-            ~F.array_contains("flags", t.regex) if t.negate else F.array_contains("flags", t.regex) for t in c.where
-        ]
-        made.append(
-            F.when(
-                _all(conds),
-                F.struct(
-                    F.lit(c.rule_id).alias("rule_id"),
-                    F.lit(c.file).alias("file"),
-                    F.lit(1).alias("line"),
-                    F.lit(c.note).alias("snippet"),
-                    F.lit(c.level.severity).alias("severity"),
-                    F.lit(c.level.confidence).alias("confidence"),
-                    F.lit(c.note).alias("note"),
-                ),
-            )
+        row = (
+            f"named_struct('rule_id', {lit(c.rule_id)}, 'file', {lit(c.file)}, 'line', 1, 'snippet', {lit(c.note)}, "
+            f"'severity', '{c.level.severity}', 'confidence', '{c.level.confidence}', 'note', {lit(c.note)})"
         )
-    return flags.select("project", F.explode(F.array_compact(F.array(*made))).alias("f")).select("project", "f.*").select(
+        made.append(f"case when {_all(_flag_sql(c.where))} then {row} end")
+    found = F.expr("array_compact(array(" + ", ".join(made) + "))")
+    return flags.select("project", F.explode(found).alias("f")).select("project", "f.*").select(
         *FINDING_COLUMNS
     )
 
