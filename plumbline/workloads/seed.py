@@ -161,7 +161,7 @@ SEEDS: list[Seed] = [
     *bad("a05-cors-misconfiguration", ("src/server/{id}cors2.ts", "res.setHeader('Access-Control-Allow-Origin', req.headers.origin);")),
     *ok("a05-cors-misconfiguration", ("src/server/{id}cors3.ts", "if (allowedOrigins.includes(origin)) {\n  res.setHeader('Access-Control-Allow-Origin', origin);\n}")),
     *bad("a05-build-config-health",
-         ("src/lib/{id}broken.ts", "import { a } from './nowhere{id}';\nimport { b } from '../lib/{id}present';\nimport './{id}style.css';\nexport const k = process.env.UNDECLARED_{id}_FLAG;"),
+         ("src/lib/{id}broken.ts", "import { a } from './nowhere{id}';\nimport { b } from '../lib/{id}present';\nimport './{id}style.css';\nexport const k = process.env.UNDECLARED_FLAG;"),
          ("src/lib/{id}present.ts", "export const b = 1;"),
          (".env.{id}.example", "ALERT_WEBHOOK=https://x.example\n"),
          ("tsconfig.json", '{"compilerOptions":{"strict": false}}')),
