@@ -350,14 +350,9 @@ def clause_findings(facts: DataFrame, flags: DataFrame, calling: DataFrame) -> D
         "note",
         "per",
     )
-    per_project = first_per_group(shaped.where(F.col("per") == "project"), ["project", "rule_id"], ["note", "file", "line"])
-    # "tracked" sorts after "not ignored", and tracked leftovers win over unignored ones.
-    cruft = shaped.where((F.col("per") == "project") & (F.col("note") == "tracked"))
-    per_project = per_project.join(
-        cruft.select("project", "rule_id").distinct().withColumn("__t", F.lit(True)), ["project", "rule_id"], "left"
-    ).where(F.col("__t").isNull()).drop("__t").unionByName(
-        first_per_group(cruft, ["project", "rule_id"], ["file", "line"])
-    )
+    # Tracked leftovers win over unignored ones; otherwise path order decides.
+    order = [F.col("note") != "tracked", "note", "file", "line"]
+    per_project = first_per_group(shaped.where(F.col("per") == "project"), ["project", "rule_id"], order)
     return shaped.where(F.col("per") != "project").unionByName(per_project).select(*FINDING_COLUMNS).distinct()
 
 
