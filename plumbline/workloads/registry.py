@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.workloads import detection, measure
+from plumbline.workloads import crossrules, detection, measure
 from plumbline.workloads.common import Query
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for module in (measure, detection):
+    for module in (measure, detection, crossrules):
         out.update(module.QUERIES)
     return out

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from plumbline.workloads.common import table
 
-FILES_PER_PROJECT = 120
+# Fewer than lie between two skeletons with the same fixed path, so paths stay unique.
+FILES_PER_PROJECT = 20
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ SEEDS: list[Seed] = [
     *bad("a01-path-traversal", ("src/app/api/{id}file/route.ts", "import { readFileSync } from 'fs';\nexport async function GET(req) {\n  return readFileSync(req.query.name);\n}")),
     *bad("a01-path-traversal",
          ("src/lib/{id}reader.ts", "import { readFileSync } from 'fs';\nexport function load(params) {\n  return readFileSync(params.name);\n}"),
-         ("src/app/api/{id}load/route.ts", "import { load } from '../../lib/{id}reader';\nexport async function GET(req) {\n  return load(req);\n}")),
+         ("src/app/api/{id}load/route.ts", "import { load } from '../../lib/{prev}reader';\nexport async function GET(req) {\n  return load(req);\n}")),
     *ok("a01-path-traversal", ("src/app/api/{id}file2/route.ts", "import { readFileSync } from 'fs';\nexport async function GET(req) {\n  return readFileSync('fixed.txt');\n}")),
     *bad("a02-pii-in-repo", ("data/{id}people.csv", "first_name,street,phone,score\nAda,Oak 1,555,1\n")),
     *bad("a02-pii-in-repo", ("data/{id}people.jsonl", '{"ownerName":"Ada","homeAddress":"Oak 1","n":1}\n{"ownerName":"Bo","homeAddress":"Elm 2","n":2}\n')),
@@ -89,7 +90,7 @@ SEEDS: list[Seed] = [
     *bad("a02-pii-in-generated-output", ("out_pages/{id}report.html", "<ul>" + "".join(f"<li>{n} Maple Street</li>" for n in range(11, 20)) + "</ul>")),
     *bad("a02-pii-in-generated-output",
          ("pages_out/{id}short.md", "Visit 11 Maple Street, 12 Cedar Road and 13 Birch Lane."),
-         ("tools/{id}render.mjs", "writeFileSync('pages_out/{id}short.md', body);")),
+         ("tools/{id}render.mjs", "writeFileSync('pages_out/{prev}short.md', body);")),
     *ok("a02-pii-in-generated-output", ("docs/{id}visit.md", "Visit 11 Maple Street, 12 Cedar Road and 13 Birch Lane.")),
     *bad("a02-hardcoded-secret", ("src/lib/{id}pay.ts", f'const key = "{SK}abcdEFGH1234ijkl";')),
     *bad("a02-hardcoded-secret", ("src/lib/{id}sync.py", 'api_token = "aG7kQ2xLm9ZtR4vB8nWcY1pD"')),
@@ -148,7 +149,7 @@ SEEDS: list[Seed] = [
     *bad("a04-unbounded-paid-loop", ("jobs/{id}enrich.py", "def main():\n    for row in rows:\n        client.messages.create(row)\n\nif __name__ == '__main__':\n    main()")),
     *bad("a04-unbounded-paid-loop",
          ("src/jobs/{id}embed.ts", "export async function embedAll(rows) {\n  for (const r of rows) {\n    await openai.embeddings.create(r);\n  }\n}"),
-         ("src/jobs/{id}main.ts", "import { embedAll } from './{id}embed';\nembedAll([]);")),
+         ("src/jobs/{id}main.ts", "import { embedAll } from './{prev}embed';\nembedAll([]);")),
     *ok("a04-unbounded-paid-loop", ("jobs/{id}enrich2.py", "def main():\n    for row in rows[:10]:\n        client.messages.create(row)\n\nif __name__ == '__main__':\n    main()")),
     *bad("int-static-page-strict-csp",
          ("src/lib/{id}csp.ts", "export const csp = \"script-src 'strict-dynamic'\";"),
@@ -161,8 +162,8 @@ SEEDS: list[Seed] = [
     *bad("a05-cors-misconfiguration", ("src/server/{id}cors2.ts", "res.setHeader('Access-Control-Allow-Origin', req.headers.origin);")),
     *ok("a05-cors-misconfiguration", ("src/server/{id}cors3.ts", "if (allowedOrigins.includes(origin)) {\n  res.setHeader('Access-Control-Allow-Origin', origin);\n}")),
     *bad("a05-build-config-health",
-         ("src/lib/{id}broken.ts", "import { a } from './nowhere{id}';\nimport { b } from '../lib/{id}present';\nimport './{id}style.css';\nexport const k = process.env.UNDECLARED_FLAG;"),
          ("src/lib/{id}present.ts", "export const b = 1;"),
+         ("src/lib/{id}broken.ts", "import { a } from './nowhere{id}';\nimport { b } from '../lib/{prev}present';\nimport './{id}style.css';\nexport const k = process.env.UNDECLARED_FLAG;"),
          (".env.{id}.example", "ALERT_WEBHOOK=https://x.example\n"),
          ("tsconfig.json", '{"compilerOptions":{"strict": false}}')),
     *bad("a05-backup-cruft-tracked", ("src/lib/{id}old.ts.bak", "x")),
@@ -188,7 +189,7 @@ SEEDS: list[Seed] = [
          ("tests/{id}forgotten.test.mjs", "check(1);")),
     *bad("int-generated-file-hand-edited",
          ("src/gen/{id}types.ts", "// generated by the schema tool, do not edit\nexport type A = number;"),
-         ("tools/{id}emit.mjs", "writeFileSync('src/gen/{id}types.ts', out);")),
+         ("tools/{id}emit.mjs", "writeFileSync('src/gen/{prev}types.ts', out);")),
     *ok("int-generated-file-hand-edited", ("src/gen/{id}other.ts", "// generated by hand once, do not edit\nexport type A = number;")),
     *bad("int-update-guard-without-delete", ("db/{id}guard.sql", "create trigger ledger{id}_immutable before update on ledger{id} for each row execute function stop();")),
     *ok("int-update-guard-without-delete", ("db/{id}guard2.sql", "create trigger ledger{id}_immutable before update or delete on ledger{id} for each row execute function stop();")),
@@ -254,7 +255,8 @@ def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     joined = docs.withColumn("k", (F.col("doc_id") % len(SEEDS)).cast("int")).join(seeds, "k")
     text = F.replace(F.col("text"), F.lit("*/"), F.lit("* /"))
-    body = F.replace(F.col("body"), F.lit("{id}"), ident)
+    before = F.concat(F.lit("d"), (F.col("doc_id") - 1).cast("string"))
+    body = F.replace(F.replace(F.col("body"), F.lit("{id}"), ident), F.lit("{prev}"), before)
     content = (
         F.when(F.col("mode") == "block", F.concat(body, F.lit("\n/*\n"), text, F.lit("\n*/\n")))
         .when(F.col("mode") == "plain", F.concat(body, F.lit("\n"), F.col("text"), F.lit("\n")))
@@ -283,7 +285,7 @@ def seeded_sql() -> str:
     return f"""
 sf AS (
   SELECT 'p' || (doc_id // {FILES_PER_PROJECT}) AS project, replace(path, '{{id}}', 'd' || doc_id) AS path, tracked, doc_id, mode,
-         replace(body, '{{id}}', 'd' || doc_id) AS body, text, replace(text, '*/', '* /') AS safe
+         replace(replace(body, '{{id}}', 'd' || doc_id), '{{prev}}', 'd' || (doc_id - 1)) AS body, text, replace(text, '*/', '* /') AS safe
   FROM documents JOIN (VALUES {values}) s(k, path, body, mode, tracked) ON k = doc_id % {len(SEEDS)}),
 files AS (
   SELECT project, path, tracked, doc_id, mode,
