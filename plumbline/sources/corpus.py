@@ -51,7 +51,13 @@ def drop_minified(files: DataFrame) -> DataFrame:
 
 
 def head(content: Column, n_bytes: int = 64 * 1024) -> Column:
-    return F.decode(F.substring(F.encode(content, "UTF-8"), 1, n_bytes), "UTF-8")
+    """First bytes of a text; a character cut in half becomes a replacement character."""
+    return lenient(F.substring(F.encode(content, "UTF-8"), 1, n_bytes))
+
+
+def lenient(raw: Column) -> Column:
+    """Bytes as UTF-8 text; invalid bytes become replacement characters, never an error."""
+    return F.make_valid_utf8(raw.cast("string"))
 
 
 def scan_corpus(spark: SparkSession, root: str, data_head_bytes: int = 64 * 1024) -> DataFrame:
@@ -77,7 +83,7 @@ def scan_corpus(spark: SparkSession, root: str, data_head_bytes: int = 64 * 1024
     limited = F.when(F.col("path").rlike(DATA_FILE), F.substring(F.col("__bytes"), 1, data_head_bytes)).otherwise(
         F.col("__bytes")
     )
-    files = named.select("project", "path", F.decode(limited, "UTF-8").alias("content"), "size")
+    files = named.select("project", "path", lenient(limited).alias("content"), "size")
     return with_path_columns(drop_minified(files))
 
 

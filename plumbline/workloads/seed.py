@@ -291,7 +291,7 @@ files AS (
   SELECT project, path, tracked, doc_id, mode,
     CASE mode WHEN 'block' THEN body || chr(10) || '/*' || chr(10) || safe || chr(10) || '*/' || chr(10)
               WHEN 'plain' THEN body || chr(10) || text || chr(10) ELSE body END AS content,
-    CASE mode WHEN 'block' THEN regexp_replace(body, '(?m)^// generated[^\\n]*', '', 'g') || chr(10) || '  ' || chr(10)
+    CASE mode WHEN 'block' THEN regexp_replace(body, '(?m)^// generated[^\\n]*|new RegExp[(]"[^"]*"', '', 'g') || chr(10) || '  ' || chr(10)
                   || regexp_replace(safe, '[^\\n]', ' ', 'g') || chr(10) || '  ' || chr(10)
               WHEN 'plain' THEN body || chr(10) || text || chr(10) ELSE body END AS clean,
     regexp_matches(path, '(?i)(^|/)(__tests__|__mocks__|__fixtures__|tests?|spec|specs|fixtures?|e2e|cypress|playwright|stories)(/|$)')
