@@ -28,7 +28,7 @@ def longest_label(host: Column) -> Column:
     )
     # First of the longest, as a stable sort by length would give.
     size = F.array_max(F.transform(labels, lambda x: F.char_length(x)))
-    return F.element_at(F.filter(labels, lambda x: F.char_length(x) == size), 1)
+    return F.try_element_at(F.filter(labels, lambda x: F.char_length(x) == size), F.lit(1))
 
 
 def dga_likeness(host: Column) -> Column:

@@ -44,5 +44,7 @@ def widen(df: DataFrame) -> DataFrame:
     Meant for regex-heavy work on a small input in one file. A corpus of any size has
     more splits than cores and passes through without a shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
