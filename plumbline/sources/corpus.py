@@ -60,20 +60,25 @@ def lenient(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
-def scan_corpus(spark: SparkSession, root: str, data_head_bytes: int = 64 * 1024) -> DataFrame:
+def scan_corpus(
+    spark: SparkSession, root: str, hidden: DataFrame | None = None, data_head_bytes: int = 64 * 1024
+) -> DataFrame:
     """Files under ``root/<project>/...`` as rows.
 
-    Path and size are tested before the content column is touched, and both reach
-    the file source as filters. Data files keep their first bytes only.
+    The size limit is a source filter, so larger files are not opened; path and size
+    are tested before content is decoded. Data files keep their first bytes only.
+
+    Spark's file sources skip names that start with a dot. Such files (.env,
+    .gitignore) come in through ``hidden(project, path, content, size)``.
     """
+    base = root.rstrip("/")
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(root)
+        .load(base)
         .where(F.col("length") <= DATA_LIMIT)
     )
-    base = F.regexp_replace(F.lit(root), "/+$", "")
-    relative = F.substring_index(F.col("path"), F.concat(base, F.lit("/")), -1)
+    relative = F.substring_index(F.col("path"), base + "/", -1)
     named = raw.select(
         F.regexp_extract(relative, "^([^/]+)/", 1).alias("project"),
         F.regexp_replace(relative, "^[^/]+/", "").alias("path"),
@@ -84,6 +89,9 @@ def scan_corpus(spark: SparkSession, root: str, data_head_bytes: int = 64 * 1024
         F.col("__bytes")
     )
     files = named.select("project", "path", lenient(limited).alias("content"), "size")
+    if hidden is not None:
+        named_hidden = hidden.where(wanted_path(F.col("path")) & wanted_size(F.col("path"), F.col("size")))
+        files = files.unionByName(named_hidden.select(*files.columns))
     return with_path_columns(drop_minified(files))
 
 
