@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators.joins import widen
 from plumbline.operators.lines import explode_lines
+from plumbline.plans.detect import rlike
 
 
 @dataclass(frozen=True)
@@ -44,10 +46,10 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
-    """All prose detectors in one pass over the lines."""
-    lines = explode_lines(files).where(
-        F.col("text").rlike("|".join(f"(?:{r[4]})" for r in rules))
-    )
+    """All prose detectors in one pass: the file decides first, then its lines."""
+    wide = widen(files)
+    gated = wide.where(F.expr(" or ".join(rlike("content", r[4]) for r in rules)))
+    lines = explode_lines(gated)
     hits = F.array_compact(
         F.array(
             *[
@@ -64,7 +66,8 @@ def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
             ]
         )
     )
-    return lines.select("project", "path", "doc_id", "line_no", "text", F.explode(hits).alias("h")).select(
+    found = lines.select("project", "path", "doc_id", "line_no", "text", hits.alias("hs")).where(F.size("hs") > 0)
+    return found.select("project", "path", "doc_id", "line_no", "text", F.explode("hs").alias("h")).select(
         "project",
         F.col("path").alias("file"),
         "doc_id",

@@ -9,6 +9,7 @@ from plumbline.functions import entropy as E
 from plumbline.functions import text as T
 from plumbline.operators import lines as L
 from plumbline.plans import invariants, profiles, quality, scoring
+from plumbline.session import cut_lineage
 from plumbline.sources import corpus, reports
 from plumbline.workloads import common as C
 from plumbline.workloads.common import Query, table
@@ -182,14 +183,19 @@ def projects_ranked(spark: SparkSession, d: str) -> DataFrame:
 RANKED_SQL = f"SELECT project, raw, score, label FROM ({SCORE_SQL})"
 
 
-def derived_labels(spark: SparkSession, d: str) -> DataFrame:
+def stored_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings with fingerprints, scanned once and shared by all branches of a job."""
+    return cut_lineage(scoring.with_fingerprint(findings(spark, d)))
+
+
+def derived_labels(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     """Verdicts for findings in labelled documents, plus labels that no longer fire."""
     lab = table(spark, d, "labels")
     verdict = F.when(F.col("toxic") == 1, F.lit("tp")).when(F.col("quality") == 0, F.lit("fp")).otherwise(F.lit("?"))
     note = F.when((F.col("toxic") == 1) & (F.col("quality") == 1), F.lit("resolved")).when(
         (F.col("toxic") == 0) & (F.col("quality") == 0), F.lit("stale")
     )
-    fired = scoring.with_fingerprint(findings(spark, d)).join(lab, "doc_id").select(
+    fired = found.join(lab, "doc_id").select(
         "fingerprint",
         verdict.alias("verdict"),
         F.col("rule_id").alias("rule"),
@@ -231,12 +237,9 @@ lab AS (SELECT fingerprint, verdict, rule, file, line, snippet, note FROM (
 """
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return quality.precision_input(scoring.with_fingerprint(findings(spark, d)))
-
-
 def detector_precision(spark: SparkSession, d: str) -> DataFrame:
-    out = quality.rule_precision(_judged(spark, d), derived_labels(spark, d))
+    found = stored_findings(spark, d)
+    out = quality.rule_precision(quality.precision_input(found), derived_labels(spark, d, found))
     return out.withColumn("precision", F.round("precision", 6))
 
 
@@ -263,7 +266,7 @@ def derived_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detector_recall(spark: SparkSession, d: str) -> DataFrame:
-    hits = quality.recall_hits(findings(spark, d), derived_manifest(spark, d))
+    hits = quality.recall_hits(stored_findings(spark, d), derived_manifest(spark, d))
     return quality.rule_recall(hits).withColumn("recall", F.round("recall", 6))
 
 
@@ -299,8 +302,8 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """Before: the documents. After: some texts edited, and one detector lost."""
     before, after = C.documents_as_files(spark, d), _after_files(spark, d)
     return quality.snapshot_diff(
-        C.prose_findings(before).withColumn("ordinal", F.col("line")),
-        C.prose_findings(after, AFTER_RULES).withColumn("ordinal", F.col("line")),
+        cut_lineage(C.prose_findings(before).withColumn("ordinal", F.col("line"))),
+        cut_lineage(C.prose_findings(after, AFTER_RULES).withColumn("ordinal", F.col("line"))),
         _digests(before),
         _digests(after),
     ).select("identity", "project", "rule_id", "file", "line", "change", "reason", "suspicious")
@@ -324,8 +327,8 @@ FROM a LEFT JOIN d USING (project, file) WHERE NOT EXISTS (SELECT 1 FROM b WHERE
 
 
 def label_sync(spark: SparkSession, d: str) -> DataFrame:
-    f = scoring.with_fingerprint(findings(spark, d))
-    return quality.label_states(f, derived_labels(spark, d)).select("fingerprint", "verdict", "rule", "note", "state")
+    f = stored_findings(spark, d)
+    return quality.label_states(f, derived_labels(spark, d, f)).select("fingerprint", "verdict", "rule", "note", "state")
 
 
 SYNC_SQL = f"""
@@ -347,8 +350,8 @@ SUMMARY_SQL = f"SELECT state, count(*) AS labels FROM ({SYNC_SQL}) GROUP BY stat
 
 
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
-    f = scoring.with_fingerprint(findings(spark, d))
-    return quality.regressions(f, derived_labels(spark, d)).select("fingerprint", "rule", "verdict", "reason")
+    f = stored_findings(spark, d)
+    return quality.regressions(f, derived_labels(spark, d, f)).select("fingerprint", "rule", "verdict", "reason")
 
 
 REGRESSION_SQL = f"""
@@ -486,7 +489,7 @@ FROM ({TOKENS_SQL}) GROUP BY source, klass, strength
 
 def triage(spark: SparkSession, d: str) -> DataFrame:
     """Verdict scores come from the labels: good documents clear their findings."""
-    f = scoring.with_fingerprint(findings(spark, d))
+    f = stored_findings(spark, d)
     verdicts = (
         f.join(table(spark, d, "labels"), "doc_id")
         .groupBy("fingerprint")

@@ -791,7 +791,7 @@ FROM p GROUP BY GROUPING SETS ((project, category), (project))
 
 def report_card(spark: SparkSession, d: str) -> DataFrame:
     """Card per source: findings of its documents, beats of the user with its number, its pages."""
-    findings = M.findings(spark, d)
+    findings = cut_lineage(M.findings(spark, d))
     b = beats(spark, d).withColumn("project", F.concat(F.lit("src"), "project"))
     pages = table(spark, d, "pages").select(
         F.concat(F.lit("src"), F.pmod("page_id", F.lit(20)).cast("string")).alias("project"),
