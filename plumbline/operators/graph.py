@@ -20,44 +20,42 @@ def page_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, cut_every: int = 4) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Rank, in-links and orphan flag per node; damping 0.85, dangling mass spread evenly.
 
-    Out-degrees join once. Each round joins ranks to edges on the source, where a
-    page with many links is split over salts, and sums per target with partial
-    aggregation, so neither end can become one big task.
+    Out-degrees join once. Each round joins ranks to edges on the source and sums per
+    target with partial aggregation, so a popular target shrinks before the shuffle.
+    Both sides of the join are as large as the graph, so nothing is replicated by
+    hand: a source with very many links is split by adaptive skew handling.
     """
     n = nodes.count()
     if n == 0:
         return nodes.select("url", F.lit(0.0).alias("pagerank"), F.lit(0).cast("long").alias("in_links"), F.lit(True).alias("orphan"))
     degree = edges.groupBy("src").agg(F.count("*").alias("__deg"))
-    weighted = cut_lineage(spread_join(edges, degree, ["src"], "inner", spread_by=["dst"]))
+    weighted = cut_lineage(edges.join(degree, "src"))
     node_deg = cut_lineage(
         nodes.join(degree.withColumnRenamed("src", "url"), "url", "left").select("url", F.col("__deg").isNull().alias("dangling"))
     )
     ranks = node_deg.select("url", "dangling", F.lit(1.0 / n).alias("pagerank"))
-    for i in range(1, rounds + 1):
+    for _ in range(rounds):
         sent = (
-            spread_join(weighted, ranks.select(F.col("url").alias("src"), "pagerank"), ["src"], "inner", spread_by=["dst"])
+            weighted.join(ranks.select(F.col("url").alias("src"), "pagerank"), "src")
             .groupBy(F.col("dst").alias("url"))
             .agg(F.sum(F.col("pagerank") / F.col("__deg")).alias("__in"))
         )
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("__lost"))
+        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("v")).scalar()
         ranks = (
-            node_deg.join(sent, "url", "left")
-            # One row by construction.
-            .crossJoin(F.broadcast(lost))
-            .select(
+            node_deg.join(sent, "url", "left").select(
                 "url",
                 "dangling",
                 (
                     F.lit((1.0 - DAMPING) / n)
-                    + F.lit(DAMPING) * (F.coalesce("__in", F.lit(0.0)) + F.col("__lost") / F.lit(float(n)))
+                    + F.lit(DAMPING) * (F.coalesce("__in", F.lit(0.0)) + lost / F.lit(float(n)))
                 ).alias("pagerank"),
             )
         )
-        if i % cut_every == 0:
-            ranks = cut_lineage(ranks)
+        # Both the sum and the next join read the ranks, so each round is stored once.
+        ranks = cut_lineage(ranks)
     in_links = edges.groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("in_links"))
     return ranks.join(in_links, "url", "left").select(
         "url",
@@ -84,7 +82,8 @@ def redirect_chain(starts: DataFrame, hops: DataFrame, keys: list[str] | None =
     )
     step = hops.select(*keys, F.col("url").alias("__at"), F.col("location").alias("__next"))
     for _ in range(limit):
-        moved = spread_join(state, step, [*keys, "__at"], "left", spread_by=["start"])
+        # Many chains may meet in one url; that join key is split by adaptive skew handling.
+        moved = state.join(step, [*keys, "__at"], "left")
         goes = (
             ~F.col("__done") & F.col("__next").isNotNull() & ~F.array_contains("visited", F.col("__next"))
         )

@@ -19,11 +19,8 @@ def link_summary(ranks: DataFrame, suggestions: DataFrame | None = None) -> Data
     counted = ranks.agg(
         F.count("*").alias("pages"), F.sum(F.col("orphan").cast("long")).alias("orphans"), F.max("pagerank").alias("top_rank")
     )
-    n = F.lit(0).cast("long") if suggestions is None else None
-    if n is not None:
-        return counted.withColumn("suggestions", n)
-    # Both sides are one row.
-    return counted.crossJoin(F.broadcast(suggestions.agg(F.count("*").alias("suggestions"))))
+    made = F.lit(0) if suggestions is None else suggestions.agg(F.count("*").alias("n")).scalar()
+    return counted.withColumn("suggestions", made.cast("long"))
 
 
 def top_pages(ranks: DataFrame, k: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators.joins import widen
-from plumbline.operators.lines import explode_lines
+from plumbline.operators.lines import split_lines
 from plumbline.plans.detect import rlike
 
 
@@ -47,9 +47,11 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
     """All prose detectors in one pass: the file decides first, then its lines."""
-    wide = widen(files)
-    gated = wide.where(F.expr(" or ".join(rlike("content", r[4]) for r in rules)))
-    lines = explode_lines(gated)
+    gate = F.expr(" or ".join(rlike("content", r[4]) for r in rules))
+    # The gate sits inside the generator, so it runs after small inputs are spread out.
+    lines = widen(files).select(
+        "project", "path", "doc_id", F.posexplode(F.when(gate, split_lines(F.col("content")))).alias("__pos", "text")
+    ).withColumn("line_no", F.col("__pos") + 1)
     hits = F.array_compact(
         F.array(
             *[
@@ -66,8 +68,7 @@ def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
             ]
         )
     )
-    found = lines.select("project", "path", "doc_id", "line_no", "text", hits.alias("hs")).where(F.size("hs") > 0)
-    return found.select("project", "path", "doc_id", "line_no", "text", F.explode("hs").alias("h")).select(
+    return lines.select("project", "path", "doc_id", "line_no", "text", F.explode(hits).alias("h")).select(
         "project",
         F.col("path").alias("file"),
         "doc_id",
