@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from plumbline.plans import crossfile as X
 from plumbline.plans import detect as D
 from plumbline.plans import patterns as P
 from plumbline.plans import rules as R
-from plumbline.session import cut_lineage
+from plumbline.session import checkpoint_dir, cut_lineage
 from plumbline.sources import corpus, history, probes as PR, registry
+from plumbline.streaming import beats as SB
 from plumbline.workloads import crossrules as CR
 from plumbline.workloads import detection as DT
 from plumbline.workloads import measure as M
@@ -333,7 +336,13 @@ FROM (SELECT *, page_id % {K} AS i, page_id // {K} AS m FROM pages)
 
 
 def response_findings(spark: SparkSession, d: str) -> DataFrame:
-    found = responses.response_findings(derived_probes(spark, d), F.lit(NOW_CERT).cast("timestamp"), with_chains=False)
+    probes = derived_probes(spark, d)
+    projects = probes.select(
+        F.col("project").alias("name"), (F.char_length("project") % 5 != 0).alias("owned"), F.lit("x").alias("url")
+    ).distinct()
+    found = responses.response_findings(
+        PR.live_gate(probes, projects), F.lit(NOW_CERT).cast("timestamp"), with_chains=False
+    )
     return found.select("project", "rule_id", F.col("snippet").alias("path"), "severity", "confidence", "note")
 
 
@@ -348,7 +357,7 @@ def _resp(rule: str, severity: str, note: str, cond: str, confidence: str | None
 _MISSING = "list_filter([CASE WHEN NOT contains(lower(cookie), 'httponly') THEN 'HttpOnly' END, CASE WHEN scheme = 'https' AND NOT contains(lower(cookie), 'secure') THEN 'Secure' END, CASE WHEN NOT contains(lower(cookie), 'samesite') THEN 'SameSite' END], lambda x: x IS NOT NULL)"
 _SCRIPTS = "len(regexp_extract_all(body, '(?i)<script[\\s>]'))"
 RESPONSE_SQL = f"""
-WITH p AS ({PROBES_SQL}),
+WITH p AS (SELECT * FROM ({PROBES_SQL}) WHERE length(project) % 5 <> 0),
 ch AS (SELECT DISTINCT project FROM p WHERE ok AND status IN (403, 503) AND (contains(lower(body), 'vercel security checkpoint') OR contains(lower(body), 'just a moment'))),
 lg AS (SELECT project, path, max(status) FILTER (WHERE attempt = 1 AND ok) AS st, bool_or(attempt = 1 AND ok) AS ok1 FROM p WHERE path = '/api/login' GROUP BY ALL),
 l1 AS (SELECT project, max(struct_pack(ok := ok, status := status, retry := retry IS NOT NULL, gate := contains(body, 'csrf'))) AS o FROM p
@@ -819,7 +828,59 @@ SELECT project, raw, score, label, highlights, b.status AS beat_status, b.ssl_da
 FROM sc LEFT JOIN hl USING (project) LEFT JOIN b USING (project) LEFT JOIN ph USING (project) LEFT JOIN pt USING (project)
 """
 
+def stripped(spark: SparkSession, d: str) -> DataFrame:
+    """Documents inside comments and pattern literals: both helpers must blank them."""
+    safe = F.regexp_replace("text", "[*/\\\\]", " ")
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        F.concat(F.lit("a /*"), safe, F.lit("*/ b // "), F.substring_index(safe, "\n", 1)).alias("code"),
+        F.concat(F.lit("x = /"), F.regexp_replace(F.substring_index(safe, "\n", 1), "[^a-z ]", "."), F.lit("/g; y = new RegExp('eval'); z")).alias("line"),
+    )
+    bare = CL.strip_comments(F.col("code"))
+    masked = CL.mask_pattern_literals(F.col("line"))
+    return docs.select(
+        "doc_id",
+        F.char_length(bare).alias("stripped_length"),
+        F.regexp_replace(bare, "\\s+", "").alias("stripped"),
+        (F.char_length(masked) == F.char_length("line")).alias("same_length"),
+        F.regexp_replace(masked, "\\s+", "").alias("masked"),
+    )
+
+
+STRIPPED_SQL = """
+SELECT doc_id, CAST(length('a /*' || text || '*/ b ') AS INTEGER) AS stripped_length, 'ab' AS stripped, true AS same_length, 'x=;y=);z' AS masked FROM documents
+"""
+
+
+def deadman_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events replayed as a stream through the stateful job."""
+    scratch = f"{checkpoint_dir(spark)}/beats-{uuid.uuid4().hex}"
+    rows = beats(spark, d).select("project", "ts", "status", "ssl_days", F.lit("").alias("note"))
+    rows.write.parquet(f"{scratch}/in")
+    stream = SB.read_beats(spark, f"{scratch}/in")
+    SB.run_available(SB.deadman_alarms(stream), f"{scratch}/out", f"{scratch}/state")
+    out = spark.read.schema(SB.ALARM_SCHEMA).parquet(f"{scratch}/out")
+    return out.select("project", stamp("last_beat"), stamp("silent_from"), "raised")
+
+
+_MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+STREAM_SQL = f"""
+WITH RECURSIVE b AS ({BEATS_SQL}), k AS (SELECT * FROM b WHERE ts < {_MARK}),
+g AS (SELECT project, ts, lead(ts) OVER (PARTITION BY project ORDER BY ts) AS nxt FROM k),
+s AS (SELECT project, ts AS last_beat, ts + INTERVAL 1800 SECOND AS silent_from FROM g
+      WHERE coalesce(nxt, (SELECT min(x.ts) FROM b x WHERE x.project = g.project AND x.ts >= {_MARK}), {_MARK}) > ts + INTERVAL 1800 SECOND
+        AND (nxt IS NOT NULL OR {_MARK} > ts + INTERVAL 1800 SECOND)),
+n AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY silent_from) AS rn FROM s),
+w AS (SELECT project, rn, last_beat, silent_from, silent_from AS last, true AS raised FROM n WHERE rn = 1
+      UNION ALL
+      SELECT n.project, n.rn, n.last_beat, n.silent_from, CASE WHEN n.silent_from > w.last + INTERVAL 6 HOUR THEN n.silent_from ELSE w.last END,
+             n.silent_from > w.last + INTERVAL 6 HOUR FROM w JOIN n ON n.project = w.project AND n.rn = w.rn + 1)
+SELECT project, {stamp_sql('last_beat')}, {stamp_sql('silent_from')}, raised FROM w
+"""
+
 QUERIES = {
+    "strip_and_mask": Query(stripped, STRIPPED_SQL),
+    "deadman_stream": Query(deadman_stream, STREAM_SQL),
     "deadman_batch": Query(deadman_batch, DEADMAN_SQL),
     "alarm_dedup_batch": Query(alarm_dedup_batch, DEDUP_SQL),
     "uptime_windows": Query(uptime, UPTIME_SQL),
