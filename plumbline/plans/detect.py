@@ -258,7 +258,10 @@ def scan_facts(
     columns = [F.expr("flatten(array_compact(array(" + ", ".join(c) + ")))").alias(f"__f{n}") for n, c in enumerate(chunks)]
     packed = prepare(files).select("project", "path", *columns)
     every = F.expr("concat(" + ", ".join(f"__f{n}" for n in range(len(chunks))) + ")")
-    return packed.select("project", "path", F.explode(every).alias("f")).select("project", "path", "f.*")
+    # Outer, then filtered: a plain explode makes Spark test the arrays for emptiness
+    # below, which would compute every expression twice.
+    exploded = packed.select("project", "path", F.explode_outer(every).alias("f")).where(F.col("f").isNotNull())
+    return exploded.select("project", "path", "f.*")
 
 
 def project_flags(facts: DataFrame) -> DataFrame:

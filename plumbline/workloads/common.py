@@ -49,9 +49,13 @@ def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
     """All prose detectors in one pass: the file decides first, then its lines."""
     gate = F.expr(" or ".join(rlike("content", r[4]) for r in rules))
     # The gate sits inside the generator, so it runs after small inputs are spread out.
-    lines = widen(files).select(
-        "project", "path", "doc_id", F.posexplode(F.when(gate, split_lines(F.col("content")))).alias("__pos", "text")
-    ).withColumn("line_no", F.col("__pos") + 1)
+    # Outer generators keep Spark from testing for emptiness first, which doubles the work.
+    lines = (
+        widen(files)
+        .select("project", "path", "doc_id", F.posexplode_outer(F.when(gate, split_lines(F.col("content")))).alias("__pos", "text"))
+        .where(F.col("__pos").isNotNull())
+        .withColumn("line_no", F.col("__pos") + 1)
+    )
     hits = F.array_compact(
         F.array(
             *[
@@ -68,7 +72,8 @@ def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
             ]
         )
     )
-    return lines.select("project", "path", "doc_id", "line_no", "text", F.explode(hits).alias("h")).select(
+    found = lines.select("project", "path", "doc_id", "line_no", "text", F.explode_outer(hits).alias("h"))
+    return found.where(F.col("h").isNotNull()).select(
         "project",
         F.col("path").alias("file"),
         "doc_id",
