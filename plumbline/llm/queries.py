@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, quality_rules
+from plumbline.llm import chat, decontaminate, extraction, packing, quality_rules, sharding, simhash, warc
 from plumbline.llm.common import Query
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,5 +33,11 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": Query(decontaminate.op3_decontaminate, DECONTAMINATE),
+    "op4_chat": Query(chat.op4_chat),
+    "op5_warc": Query(warc.op5_warc),
+    "op6_packing": Query(packing.op6_packing),
+    "op7_simhash": Query(simhash.op7_simhash),
+    "op8_extraction": Query(extraction.op8_extraction),
+    "op9_sharding": Query(sharding.op9_sharding),
     "op10_quality_rules": Query(quality_rules.op10_quality_rules),
 }
