@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common as C
 
-TRAIN_PAGES = 300
+TRAIN_PAGES = 200
 LAYOUTS_PER_PAGE = 3
 SEED = 42
 
@@ -240,7 +240,7 @@ class Chain:
         return labels[::-1]
 
 
-def train(pages: list[list[Block]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Chain:
+def train(pages: list[list[Block]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Chain:
     """Maximum conditional likelihood by gradient ascent with adaptive steps (Adam)."""
     pages = [p for p in pages if p]
     names: dict[str, int] = {}
