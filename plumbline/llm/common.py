@@ -109,11 +109,11 @@ def _byte_table(separator: Callable[[int], bool], lower: bool) -> np.ndarray:
     return out
 
 
-#: Words between white space: [^\x20\x09-\x0D]+. NUL is a word character and maps to 1.
+#: Words between white space: [^\x20\x09-\x0D]+. NUL is a word character and maps to 255, which no UTF-8 has.
 SPACED = _byte_table(lambda b: b == 32 or 9 <= b <= 13, lower=False)
-SPACED[0] = 1
+SPACED[0] = 255
 SPACED_LOWER = _byte_table(lambda b: b == 32 or 9 <= b <= 13, lower=True)
-SPACED_LOWER[0] = 1
+SPACED_LOWER[0] = 255
 #: Lower-cased words of digits, letters and everything beyond ASCII.
 ALNUM_LOWER = _byte_table(
     lambda b: b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127, lower=True

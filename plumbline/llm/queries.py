@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontaminate, extraction, packing, quality_rules, sharding, simhash, suffixes, warc
+from plumbline.llm import chat, decontaminate, extraction, line_dedup, packing, quality_rules, sharding, simhash, suffixes, warc
 from plumbline.llm.common import Query
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,6 +33,7 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_suffixes": Query(suffixes.op1_suffixes),
+    "op2_line_dedup": Query(line_dedup.op2_line_dedup),
     "op3_decontaminate": Query(decontaminate.op3_decontaminate, DECONTAMINATE),
     "op4_chat": Query(chat.op4_chat),
     "op5_warc": Query(warc.op5_warc),
