@@ -148,9 +148,37 @@ def test_simhash(docs, no_docs):
     want = collections.Counter((d, f"{p:016x}", least[p]) for d, p in own)
     assert collections.Counter(tuple(r) for r in S.near_duplicates(docs).collect()) == want
     assert S.near_duplicates(no_docs).count() == 0
-    kept = S.keep_one(docs.withColumn("fp", F.lit(1)).withColumn("group", F.lit(2))).collect()
-    assert len(kept) == len(set(least[p] or p for _, p in own)) or len(kept) == len(brute_groups({p for _, p in own}))
-    assert set(kept[0].asDict()) == {*docs.columns, "fp", "group"}
+
+
+def test_keep_one(spark, docs, no_docs):
+    rng = np.random.default_rng(5)
+    base = [["w%d" % n for n in rng.integers(0, 5000, rng.integers(30, 200))] for _ in range(12)]
+    made = []
+    for i in range(300):
+        words = list(base[i % 12] if i % 3 else base[0])
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(0, len(words))] = "x%d" % rng.integers(0, 9999)
+        made.append((i, " ".join(words)))
+    frame = spark.createDataFrame(made, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).withColumn("fp", F.lit(1)).withColumn("grp", F.lit(2))
+    rows = [(r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).digest(), r.text or "") for r in frame.collect()]
+    sets = {r[3]: frozenset(S.shingle_hashes(r[3].encode()).tolist()) for r in rows}
+    texts, parent = sorted(sets), {t: t for t in sets}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            if len(sets[a]) <= 1.25 * len(sets[b]) and len(sets[b]) <= 1.25 * len(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[root(b)] = root(a)
+    want = {}
+    for r in rows:
+        want[root(r[3])] = min(want.get(root(r[3]), r), r)
+    kept = S.keep_one(frame).collect()
+    assert collections.Counter((r.doc_id, r.text or "") for r in kept) == collections.Counter((None if w[0] else w[1], w[3]) for w in want.values())
+    assert S.keep_one(no_docs).count() == 0
 
 
 def test_dense_and_large_buckets(spark, monkeypatch):
