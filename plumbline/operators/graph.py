@@ -1,23 +1,37 @@
-"""Link graph, redirect chains and helper closure."""
+"""Link graph and redirect chains."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import spread_join
 from plumbline.session import cut_lineage
 
 DAMPING = 0.85
 
 
 def page_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, distinct edges) from pages: a page is its url path, edges are local hrefs."""
-    path = F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
-    hrefs = F.regexp_extract_all("html", F.lit('href="(/[^"#?]*)'), F.lit(1))
-    edges = pages.select(path.alias("src"), F.explode(hrefs).alias("dst")).where(F.col("src") != F.col("dst")).distinct()
-    nodes = pages.select(path.alias("url")).unionByName(edges.select(F.col("dst").alias("url"))).distinct()
-    return nodes, edges
+    """(nodes, distinct edges): a page is its host and path, edges are links inside a host.
+
+    Links given by path or by full address count; query and fragment do not. Both tables
+    are stored, so the markup is parsed once.
+    """
+    host = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1))
+    path = F.coalesce(F.nullif(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/"))
+    hrefs = F.regexp_extract_all("html", F.lit('href="((?:https?://[^"/?#]+)?/[^"#?]*)'), F.lit(1))
+    linked = pages.select(host.alias("host"), path.alias("path"), F.explode(hrefs).alias("href")).where(~F.col("href").startswith("//"))
+    target = F.regexp_replace("href", "^https?://", "")
+    full = F.col("href").rlike("^https?://")
+    same = F.lower(F.substring_index(target, "/", 1)) == F.col("host")
+    tail = F.concat(F.lit("/"), F.substring(target, F.instr(target, "/") + 1, F.length(target)))
+    edges = cut_lineage(
+        linked.where(~full | same)
+        .select(F.concat("host", "path").alias("src"), F.concat("host", F.when(full, tail).otherwise(F.col("href"))).alias("dst"))
+        .where(F.col("src") != F.col("dst"))
+        .distinct()
+    )
+    own = pages.select(F.concat(host, path).alias("url"))
+    return cut_lineage(own.unionByName(edges.select(F.col("dst").alias("url"))).distinct()), edges
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -65,89 +79,37 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame
     )
 
 
-def redirect_chain(starts: DataFrame, hops: DataFrame, keys: list[str] | None = None, limit: int = 8) -> DataFrame:
-    """Follow redirects from each start url, at most ``limit`` hops, stop on a repeat.
+def redirect_chain(starts: DataFrame, hops: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Follow redirects from each start url to the end, or to the first repeat.
 
     ``starts(keys..., url)``, ``hops(keys..., url, location)`` with one location per
-    url. Adds ``hops`` and the visited urls; four or more hops is a long chain.
+    url. Adds ``hops`` and the visited urls; four or more hops is a long chain. Chains
+    that have ended leave the loop, so later rounds shuffle only what still moves.
     """
     keys = keys or []
-    state = starts.select(
+    moving = starts.select(
         *keys,
         F.col("url").alias("start"),
-        F.col("url").alias("__at"),
+        F.col("url").alias("final"),
         F.array().cast("array<string>").alias("visited"),
         F.lit(0).alias("hops"),
-        F.lit(False).alias("__done"),
     )
-    step = hops.select(*keys, F.col("url").alias("__at"), F.col("location").alias("__next"))
-    for _ in range(limit):
+    step = cut_lineage(hops.select(*keys, F.col("url").alias("final"), F.col("location").alias("__next")))
+    ended = None
+    while True:
         # Many chains may meet in one url; that join key is split by adaptive skew handling.
-        moved = state.join(step, [*keys, "__at"], "left")
-        goes = (
-            ~F.col("__done") & F.col("__next").isNotNull() & ~F.array_contains("visited", F.col("__next"))
-        )
-        goes = F.coalesce(goes, F.lit(False))
-        state = moved.select(
-            *keys,
-            "start",
-            F.when(goes, F.col("__next")).otherwise(F.col("__at")).alias("__at"),
-            F.when(goes, F.array_append("visited", F.col("__next"))).otherwise(F.col("visited")).alias("visited"),
-            F.when(goes, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-            (~goes).alias("__done"),
+        goes = F.col("__next").isNotNull() & ~F.array_contains("visited", F.col("__next"))
+        moved = cut_lineage(moving.join(step, [*keys, "final"], "left").withColumn("__goes", F.coalesce(goes, F.lit(False))))
+        rest = moved.where(~F.col("__goes")).select(*keys, "start", "final", "hops", "visited")
+        ended = rest if ended is None else ended.unionByName(rest)
+        on = moved.where("__goes")
+        if on.isEmpty():
+            return ended.withColumn("long", F.col("hops") >= 4)
+        moving = on.select(
+            *keys, "start", F.col("__next").alias("final"), F.array_append("visited", F.col("__next")).alias("visited"), (F.col("hops") + 1).alias("hops")
         )
-    return state.select(*keys, "start", F.col("__at").alias("final"), "hops", "visited", (F.col("hops") >= 4).alias("long"))
 
 
-# Definitions: function declarations, arrow constants and wrapped constants.
-DEFINITION = (
-    "(?:export\\s+)?(?:async\\s+)?function\\s+\\w+|(?:export\\s+)?const\\s+\\w+\\s*=\\s*(?:async\\s*)?\\("
-    "|(?:export\\s+)?const\\s+\\w+\\s*=\\s*\\w+\\s*\\("
-)
+# Definitions: functions by name, and constants that hold a function or a wrapped one.
+DEFINITION = r"(?:\bfunction|\bconst)\s+\w+(?:\s*=\s*(?:async\s*)?\w*\s*\(|\s*\()"
 BODY_CHARS = 1200
-
-
-def function_definitions(files: DataFrame, content: str = "clean") -> DataFrame:
-    """(project, path, name, body): body is the definition and what follows, 1200 characters."""
-    from plumbline.operators.lines import matches_on
-
-    code = files.where(
-        F.col("path").rlike("\\.(ts|tsx|js|jsx|mjs|cjs)$") & ~F.col("path").rlike("(test|spec|__tests__|fixtures?)")
-    ).where(F.col(content).rlike(DEFINITION))
-    found = code.select("project", "path", content, F.explode(matches_on(F.col(content), DEFINITION)).alias("__d"))
-    name = F.regexp_extract("__d.value", "(?:function|const)\\s+(\\w+)", 1)
-    return found.select(
-        "project",
-        "path",
-        name.alias("name"),
-        F.col("__d.column_no").alias("position"),
-        F.substring(F.col(content), F.col("__d.column_no"), F.lit(BODY_CHARS)).alias("body"),
-    )
-
-
-def called_names(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("\\b(\\w+)\\s*\\("), F.lit(1)))
-
-
-def helper_closure(functions: DataFrame, name_gate: str, body_signal: str, rounds: int = 3, spec: str = "helper") -> DataFrame:
-    """Names that pass the gate and show the signal, or call one that does.
-
-    A name defined twice counts if any definition qualifies. The frontier grows for
-    at most ``rounds`` rounds; call edges are distinct (project, caller, callee).
-    """
-    gated = functions.where(F.col("name").rlike(name_gate)).select("project", "name", "body")
-    edges = gated.select("project", F.col("name").alias("caller"), F.explode(called_names(F.col("body"))).alias("callee")).where(
-        F.col("caller") != F.col("callee")
-    ).distinct()
-    known = gated.where(F.col("body").rlike(body_signal)).select("project", "name").distinct().withColumn("round", F.lit(0))
-    for i in range(1, rounds + 1):
-        reached = spread_join(
-            edges,
-            known.select("project", F.col("name").alias("callee")),
-            ["project", "callee"],
-            "left_semi",
-            spread_by=["caller"],
-        ).select("project", F.col("caller").alias("name")).distinct()
-        fresh = reached.join(known, ["project", "name"], "left_anti").withColumn("round", F.lit(i))
-        known = known.unionByName(fresh)
-    return known.withColumn("spec", F.lit(spec))

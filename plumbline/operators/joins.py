@@ -36,15 +36,3 @@ def spread_join(
 def distinct_keys(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Distinct projection; partial aggregation keeps a hot value to one row per task."""
     return df.select(*cols).distinct()
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the scan has fewer partitions than cores.
-
-    Meant for regex-heavy work on a small input in one file. A corpus of any size has
-    more splits than cores and passes through without a shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

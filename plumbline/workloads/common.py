@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators.joins import widen
 from plumbline.operators.lines import split_lines
 from plumbline.plans.detect import rlike
 
@@ -35,8 +34,18 @@ PROSE_RULES = [
 ]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A test table is one file and would be one task; deal its rows to all cores.
+
+    Only for tables as they come from the reader: counting their splits runs nothing. A
+    table of cluster size has more splits than cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         F.col("source").alias("project"),
         F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
@@ -51,7 +60,7 @@ def prose_findings(files: DataFrame, rules=PROSE_RULES) -> DataFrame:
     # The gate sits inside the generator, so it runs after small inputs are spread out.
     # Outer generators keep Spark from testing for emptiness first, which doubles the work.
     lines = (
-        widen(files)
+        files
         .select("project", "path", "doc_id", F.posexplode_outer(F.when(gate, split_lines(F.col("content")))).alias("__pos", "text"))
         .where(F.col("__pos").isNotNull())
         .withColumn("line_no", F.col("__pos") + 1)

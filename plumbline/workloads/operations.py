@@ -167,10 +167,14 @@ def link_rank(spark: SparkSession, d: str) -> DataFrame:
     return links.link_health(table(spark, d, "pages"), ROUNDS).select("url", F.round("pagerank", 9).alias("pagerank"), "in_links", "orphan")
 
 
-PAGE_PATH_SQL = "coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
+_HOST_SQL = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1))"
+PAGE_PATH_SQL = f"{_HOST_SQL} || coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
 _GRAPH_SQL = f"""
-WITH p AS (SELECT {PAGE_PATH_SQL} AS src, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)', 1)) AS dst FROM pages),
-e AS (SELECT DISTINCT src, dst FROM p WHERE src <> dst),
+WITH h AS (SELECT {PAGE_PATH_SQL} AS src, {_HOST_SQL} AS host, unnest(regexp_extract_all(html, 'href="([^"#?]*)', 1)) AS href FROM pages),
+p AS (SELECT src, CASE WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN host || href
+                       WHEN regexp_matches(href, '^https?://[^/]+/') AND lower(split_part(href, '/', 3)) = host
+                       THEN host || regexp_replace(href, '^https?://[^/]+', '') END AS dst FROM h),
+e AS (SELECT DISTINCT src, dst FROM p WHERE dst IS NOT NULL AND src <> dst),
 n AS (SELECT {PAGE_PATH_SQL} AS url FROM pages UNION SELECT dst FROM e),
 c AS (SELECT count(*)::DOUBLE AS k FROM n), dg AS (SELECT src, count(*) AS deg FROM e GROUP BY src),
 r0 AS (SELECT url, 1.0 / k AS r FROM n, c)
@@ -213,7 +217,7 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
 
 REDIRECT_SQL = """
 WITH RECURSIVE w AS (SELECT page_id AS s, page_id AS a, 0 AS k FROM pages
-  UNION ALL SELECT s, a // 2, k + 1 FROM w WHERE a > 0 AND k < 8)
+  UNION ALL SELECT s, a // 2, k + 1 FROM w WHERE a > 0)
 SELECT '/p/' || s AS start, '/p/' || arg_max(a, k) AS final, CAST(max(k) AS INTEGER) AS hops, CAST(max(k) AS INTEGER) AS seen, max(k) >= 4 AS long FROM w GROUP BY s
 """
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.workloads.common import table
+from plumbline.workloads.common import spread, table
 
 # Fewer than lie between two skeletons with the same fixed path, so paths stay unique.
 FILES_PER_PROJECT = 20
@@ -249,7 +249,7 @@ SEED_SCHEMA = "k int, path string, body string, mode string, tracked boolean"
 
 def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, path, content, tracked: one file per document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     # The skeletons are fixed in this module: about a hundred and fifty short rows.
     seeds = F.broadcast(spark.createDataFrame(seed_rows(), SEED_SCHEMA))
     ident = F.concat(F.lit("d"), F.col("doc_id").cast("string"))

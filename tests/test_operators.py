@@ -121,17 +121,17 @@ def test_page_rank_sums_to_one_and_finds_orphans(spark):
     assert got["d"].orphan and not got["b"].orphan and got["c"].in_links == 1
 
 
-def test_redirect_chain_stops_on_repeat_and_limit(spark):
+def test_redirect_chain_ends_and_stops_on_repeat(spark):
     hops = [("a", "b"), ("b", "a")] + [(f"n{i}", f"n{i + 1}") for i in range(12)]
     starts = spark.createDataFrame([("a",), ("n0",), ("z",)], "url string")
     got = {r.start: r for r in graph.redirect_chain(starts, spark.createDataFrame(hops, "url string, location string")).collect()}
     assert got["a"].hops == 2 and not got["a"].long
-    assert got["n0"].hops == 8 and got["n0"].long
+    assert got["n0"].hops == 12 and got["n0"].final == "n12" and got["n0"].long
     assert got["z"].hops == 0
 
 
-def test_helper_closure_depth(spark):
-    body = {"getUser": "cookies()", "requireUser": "getUser()", "ensureAdmin": "requireUser()", "loadOwner": "ensureAdmin()", "getAccount": "nothing()", "plain": "cookies()"}
-    fns = spark.createDataFrame([("p", n, b) for n, b in body.items()], "project string, name string, body string")
-    got = {r.name: r["round"] for r in graph.helper_closure(fns, "(?i)^(get|require|ensure|load)?(user|admin|owner|account)$", "cookies\\(").collect()}
-    assert got == {"getUser": 0, "requireUser": 1, "ensureAdmin": 2, "loadOwner": 3}
+def test_pages_of_two_hosts_stay_apart(spark):
+    pages = [("https://a.example/x", '<a href="/y"><a href="https://a.example/z?q"><a href="//c.example/w"><a href="https://b.example/v">'), ("https://b.example/x", '<a href="/y">')]
+    nodes, edges = graph.page_links(spark.createDataFrame(pages, "url string, html string"))
+    assert {tuple(r) for r in edges.collect()} == {("a.example/x", "a.example/y"), ("a.example/x", "a.example/z"), ("b.example/x", "b.example/y")}
+    assert nodes.count() == 5
