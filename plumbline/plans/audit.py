@@ -14,7 +14,7 @@ from plumbline.plans import detect as D
 from plumbline.plans import past, scoring
 from plumbline.plans import rules as R
 from plumbline.plans.dependencies import dependency_health
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, store_by
 from plumbline.sources import corpus
 
 
@@ -47,8 +47,8 @@ CustomRule = Callable[[Context], DataFrame]
 
 
 def scan(files: DataFrame, projects: DataFrame | None = None) -> Context:
-    """One pass over the corpus; its facts are cut from the lineage and shared by all rules."""
-    facts = cut_lineage(D.scan_facts(files, extractors=X.extractors()))
+    """One pass over the corpus; its facts are stored by kind and shared by all rules."""
+    facts = store_by(D.scan_facts(files, extractors=X.extractors()), "kind")
     flags = cut_lineage(D.project_flags(facts))
     helpers = D.helper_names(facts)
     calling = cut_lineage(D.files_calling(facts, helpers))
@@ -148,6 +148,7 @@ def audit(
     if projects is not None:
         extra.append(target_findings(projects, known, existing))
     everything = reduce(DataFrame.unionByName, [found, *extra])
+    seen = ctx.facts.where(F.col("kind") == "file").select("project", F.col("key").alias("path"), F.col("text").alias("digest"))
     names = known if projects is None else projects.select(F.col("name").alias("project"))
     gaps = cut_lineage(
         D.requirement_gaps(R.rule_table(spark), names, D.capabilities(ctx.flags, projects))
@@ -161,8 +162,8 @@ def audit(
         findings=kept,
         gaps=gaps,
         scores=scoring.banded(all_counts, gaps),
-        digests=corpus.file_digests(files, kept),
-        coverage=corpus.corpus_coverage(files),
+        digests=corpus.digests_with_findings(seen, kept),
+        coverage=corpus.corpus_coverage(seen),
         notes=spark.createDataFrame(notes, NOTE_SCHEMA),
         flags=ctx.flags,
         context=ctx,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoints whose tables nobody holds any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Plans here have thousands of expressions; recording a call site for each is slow.
     "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -40,7 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     scratch = os.environ.get("PLUMBLINE_SCRATCH") or tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", scratch)
@@ -58,3 +62,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def store_by(df: DataFrame, column: str) -> DataFrame:
+    """Write rows into the shared folder, one subfolder for each value of ``column``.
+
+    For a table that many branches read by that column: each opens its own subfolder and
+    only the columns it needs, where a checkpoint would be read and deserialized whole.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/by-{column}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

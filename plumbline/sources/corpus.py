@@ -178,8 +178,15 @@ def corpus_coverage(files: DataFrame) -> DataFrame:
 
 
 def file_digests(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """First 16 hex digits of sha256 for files that have findings."""
+    """First 16 hex digits of sha256 for files that have findings.
+
+    Content is hashed where it is read; only path and digest go into the join.
+    """
+    digest = F.substring(F.sha2(F.col("content"), 256), 1, 16)
+    return digests_with_findings(files.select("project", "path", digest.alias("digest")), findings)
+
+
+def digests_with_findings(seen: DataFrame, findings: DataFrame) -> DataFrame:
+    """Digests, given as (project, path, digest), of files that have findings."""
     hit = findings.where(F.col("file").isNotNull()).select("project", F.col("file").alias("path")).distinct()
-    return files.join(hit, ["project", "path"], "left_semi").select(
-        "project", F.col("path").alias("file"), F.substring(F.sha2(F.col("content"), 256), 1, 16).alias("digest")
-    )
+    return seen.join(hit, ["project", "path"], "left_semi").select("project", F.col("path").alias("file"), "digest")

@@ -223,6 +223,11 @@ SEEDS: list[Seed] = [
     *ok("a09-swallowed-ddl-error", ("app/{id}migrate2.py", "def up(con):\n    try:\n        con.execute('ALTER TABLE t ADD COLUMN x int')\n    except Exception:\n        raise\n")),
     *bad("a10-ssrf-user-controlled-request", ("src/app/api/{id}proxy/route.ts", "export async function GET(req) {\n  const target = req.query.url;\n  return fetch(target);\n}")),
     *ok("a10-ssrf-user-controlled-request", ("src/app/api/{id}proxy2/route.ts", "export async function GET(req) {\n  const target = req.query.url;\n  assertPublicUrl(target);\n  return fetch(target);\n}")),
+    *bad("a10-ssrf-user-controlled-request", ("src/lib/{id}probe.ts", "export async function probe(place) {\n  return fetch(place);\n}")),
+    *ok("a10-ssrf-user-controlled-request", ("src/lib/{id}fixed.ts", "const BASE = 'https://api.example.com';\nexport async function load(params) {\n  const u = `${BASE}/x?id=${params.id}`;\n  return fetch(u);\n}")),
+    *bad("a07-weak-random-token", ("src/lib/{id}nonce.ts", "export function start() {\n  const loginNonce = Math.random();\n  return loginNonce;\n}")),
+    *ok("a07-weak-random-token", ("src/lib/{id}times.ts", "export function start() {\n  const resetTime = Date.now();\n  return resetTime;\n}")),
+    *bad("a01-mass-assignment", ("src/lib/{id}model.ts", "export async function add(req) {\n  return new UserModel(req.body);\n}")),
     Seed("plain", "docs/{id}readme.md", "Notes on the project.", ()),
     Seed("plain", "src/lib/{id}util.ts", "export const one = 1;\nexport function add(a, b) {\n  return a + b;\n}", ()),
 ]
