@@ -22,6 +22,7 @@ an empty table gives no pieces; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,10 +37,13 @@ from plumbline.llm import common as C
 
 ROOM = 2048
 END_ID = 0
-#: Words whose ids a task remembers; a full memory is emptied, which changes no result.
+#: Words, and lower-case stems of words, whose ids a Python worker remembers. A full memory is
+#: emptied, which changes no result.
 MEMORY_WORDS = 400_000
-_memory: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+MEMORY_STEMS = 1_200_000
+#: ASCII signs that this vocabulary always parts from letters before them. The apostrophe is
+#: not one of them, since it begins contractions.
+TAIL = b".,;:!?*#$%&|<>()\""
 
 
 def default_vocabulary() -> str:
@@ -48,34 +52,83 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+class Encoder:
+    """Ids of texts under one vocabulary file, with a memory of words.
 
+    The vocabulary drops white space and never joins what it parts, so the ids of a text are
+    those of its words in a row. Only ASCII white space parts words here: it is in the class
+    the tokenizer drops, and no normalisation composes across it. A word of ASCII letters
+    with signs behind it is those letters in lower case, then the signs. All other words go
+    to the tokenizer as they are.
+    """
 
-def encode(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text.
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    This vocabulary drops white space and never joins what it parts, so the ids of a text
-    are those of its words in a row; each word is encoded once while it is remembered. Only
-    ASCII white space parts words here. It is in the class the tokenizer drops, and no
-    normalisation composes across it.
-    """
-    memory = _memory.setdefault(path, {})
-    for text in texts:
-        found = text.encode().split()
-        try:
-            yield b"".join([memory[w] for w in found])
-        except KeyError:
-            if len(memory) > MEMORY_WORDS:
-                memory.clear()
-            new = list({w for w in found if w not in memory})
-            ids = _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, ids, strict=True))
-            yield b"".join([memory[w] for w in found])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_stems(self, new: list[bytes]) -> None:
+        """Encode many stems in one go; each ends with the one id that closes a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(new):  # a vocabulary without closing ids
+            self.stems.update((s, self.plain(s.decode())) for s in new)
+            return
+        data, at = ids.tobytes(), 0
+        for stem, end in zip(new, ends, strict=True):
+            self.stems[stem] = data[4 * at : 4 * end]
+            at = end
+
+    def _learn(self, new: set[bytes]) -> None:
+        split = {}
+        for w in new:
+            stem = w.rstrip(TAIL)
+            if stem.isalpha():  # ASCII letters only
+                split[w] = stem.lower(), w[len(stem) :]
+            else:
+                self.words[w] = self.plain(w.decode())
+        stems = list({stem for stem, _ in split.values() if stem not in self.stems})
+        if stems:
+            self._learn_stems(stems)
+        for w, (stem, tail) in split.items():
+            if tail not in self.tails:
+                self.tails[tail] = self.plain(tail.decode())
+            self.words[w] = self.stems[stem] + self.tails[tail]
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if len(self.words) > MEMORY_WORDS:
+            self.words.clear()
+        if len(self.stems) > MEMORY_STEMS:
+            self.stems.clear()
+        split = [t.split() for t in texts]
+        known = [list(map(self.words.get, found)) for found in split]
+        new = {w for found, ids in zip(split, known, strict=True) if None in ids for w, i in zip(found, ids, strict=True) if i is None}
+        if new:
+            self._learn(new)
+        for found, ids in zip(split, known, strict=True):
+            if None in ids:
+                ids = [self.words[w] if i is None else i for w, i in zip(found, ids, strict=True)]
+            yield b"".join(ids)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 _PIECE = "doc_id {0}, piece int, start long, length long, ids_crc32 long, chunk int, local_rank long"
@@ -92,8 +145,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for batch in batches:
             for part in C.steps(batch, "__text"):
                 row, number, start, length, crc, rank = [], [], [], [], [], []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, ids in enumerate(encode(texts, path)):
+                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+                for i, ids in enumerate(encoder(path).encode(texts)):
                     ids += end
                     total = len(ids) // 4
                     for n, at in enumerate(range(0, total, room)):

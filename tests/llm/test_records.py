@@ -121,7 +121,7 @@ def check_packed(rows, room=2048):
 
 def test_packing(docs, no_docs):
     path = packing.default_vocabulary()
-    tokenizer = packing._tokenizer(path)
+    tokenizer = packing.encoder(path).tokenizer
     want = collections.Counter()
     for r in docs.select("doc_id", "text").collect():
         ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
@@ -135,6 +135,14 @@ def test_packing(docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+@given(st.lists(st.text(st.sampled_from("abAB.,'!<|>*é İΣς\u0301\u0338漢1 \n\x1c\xa0"), max_size=30), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_encoder_equals_the_tokenizer(texts):
+    own = packing.encoder(packing.default_vocabulary())
+    texts += ["it's DON'T <|endoftext|> x<|startoftext|>. (Hello!) a\u0301 ***"]
+    assert list(own.encode([t.encode() for t in texts])) == [own.plain(t) for t in texts]
+
+
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_sweep_is_best_fit_decreasing(counts):
