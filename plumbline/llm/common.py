@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.session import checkpoint_dir
 
 #: Text bytes that one numpy step works on; a longer single text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ corpus ranks them (any fixed order gives right results; a better one fewer candi
 Lines with equal sets are one class. Two sets with a Jaccard of 0.8 share a word among the
 first n - ceil(0.8 n) + 1 of each, so only these are indexed. Under each word, classes are
 paired if their sizes allow it (length filter) and if what follows the word can still make
-up the overlap (positional filter); pairs are then verified on the whole sets.
+up the overlap (positional filter); pairs are then verified on the whole sets, likeliest pairs first.
 
 Classes are found with partial aggregation before the shuffle, so a line that a third of all
 documents carry is one row a task. Only the hashed counts reach the driver, COUNT_CELLS rows
@@ -134,19 +134,20 @@ def lines(docs: DataFrame, text: str, doc_id: str, level: np.ndarray) -> DataFra
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, level: np.ndarray) -> DataFrame:
-    """(sig, words) of wanted (key, line, sig) rows, from the texts themselves."""
+    """(id, words) of wanted (id, key, line) rows, from the texts themselves."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, number, size, words = line_sets(*C.text_buffer(batch.column(0)), level)
         first = np.cumsum(size) - size
-        chosen = np.concatenate([[(i, n) for n in ns] for i, ns in enumerate(batch.column(1).to_pylist()) if ns] or [np.zeros((0, 2), np.int64)])
+        wanted = [(i, x["line"], x["id"]) for i, xs in enumerate(batch.column(1).to_pylist()) for x in xs]
+        chosen = np.array(wanted, np.int64).reshape(-1, 3)
         at = np.searchsorted(row << 32 | number, chosen[:, 0] << 32 | chosen[:, 1])
-        sig = signatures(words, size).take(pa.array(at))
-        return pa.RecordBatch.from_arrays([sig, _lists(words[_take_runs(first[at], size[at])], size[at])], ["sig", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(chosen[:, 2]), _lists(words[_take_runs(first[at], size[at])], size[at])], ["id", "words"])
 
-    chosen = wanted.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("__lines")).select(_plain("key").alias("__k"), "__lines")
-    rows = docs.select(_key(doc_id, text).alias("__key"), F.col(text).alias("__text")).withColumn("__k", _plain("__key")).join(chosen, "__k")
-    return C.map_batches(rows, ["__text", "__lines"], "__text", "sig binary, words array<long>", work).dropDuplicates(["sig"])
+    chosen = wanted.groupBy("key").agg(F.collect_list(F.struct("line", "id")).alias("__lines")).select(_plain("key").alias("__k"), "__lines")
+    # Rows that are equal in id and text have one key: one of them is enough.
+    rows = docs.select(_plain_of(doc_id, text).alias("__k"), F.col(text).alias("__text")).join(chosen, "__k")
+    return C.map_batches(rows, ["__text", "__lines"], "__text", "id long, words array<long>", work).dropDuplicates(["id"])
 
 
 def _plain(key: str) -> F.Column:
@@ -154,6 +155,10 @@ def _plain(key: str) -> F.Column:
     return F.concat(F.coalesce(F.col(f"{key}.id").cast("string"), F.lit("-")), F.lit("/"), F.hex(f"{key}.digest"))
 
 
+def _plain_of(doc_id: str, text: str) -> F.Column:
+    return F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.lit("/"), F.hex(C.digest_of(F.col(text))))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs under each word; rows come sorted by (word, size), a word may go across batches."""
     rest: pa.Table | None = None
@@ -161,7 +166,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([batch])
         rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
         words = rows.column("word").to_numpy()
-        last = int(np.searchsorted(words, words[-1])) if (words[:-1] <= words[1:]).all() else int(np.flatnonzero(words != words[-1])[-1]) + 1
+        last = int(np.searchsorted(words, words[-1]))
         yield from _paired(rows.slice(0, last))
         rest = rows.slice(last)
     if rest is not None:
@@ -172,55 +177,68 @@ def _paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     n = rows.num_rows
     if n < 2:
         return
-    words, size, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "size", "at"))
-    sigs = rows.column("sig").combine_chunks()
-    begins = np.concatenate([[True], words[1:] != words[:-1]])
-    group_end = np.append(np.flatnonzero(begins)[1:], n)
-    end = np.repeat(group_end, np.diff(np.append(np.flatnonzero(begins), n)))
+    words, ids, size, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "id", "size", "at"))
+    begins = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    many = np.diff(np.append(begins, n))
+    end = np.repeat(begins + many, many)
     live, j = np.arange(n), 1
     while len(live := live[live + j < end[live]]):
         other = live + j
         fits = 4 * size[other] <= 5 * size[live]  # sizes ascend: no later row fits either
         live, other = live[fits], other[fits]
+        # What can still be shared from here on; words before are met under themselves.
         room = np.minimum(size[live] - at[live], size[other] - at[other])
         good = room >= least_overlap(size[live], size[other])
         if good.any():
-            yield pa.RecordBatch.from_arrays([sigs.take(pa.array(live[good])), sigs.take(pa.array(other[good]))], ["a", "b"])
+            x, y = ids[live[good]], ids[other[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
         j += 1
 
 
-def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Classes (sig, first: key and line) and verified pairs (a, b) of different classes."""
+def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, first: key and line) and verified links (a, b) from a later class b to an earlier a.
+
+    Class ids follow the order of the lines they begin with. With ``every`` all links are
+    verified. Otherwise each class is first compared with its likeliest candidate (the one
+    with most index words in common), and only classes without a link then with all others:
+    each class that is similar to an earlier one gets a link, and a group of near copies
+    costs one comparison a member instead of one a pair.
+    """
     spark = docs.sparkSession
+    parts = C.shuffle_parts(spark)
     level = np.minimum(127, 4 * np.log2(1.0 + word_counts(docs, text))).astype(np.uint64)
-    own = C.store(lines(docs, text, doc_id, level))
-    classes = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
-    postings = classes.select("sig", "size", F.posexplode("prefix").alias("at", "word"))
-    dealt = postings.repartition(C.shuffle_parts(spark), "word").sortWithinPartitions("word", "size", "sig")
-    pairs = C.store(dealt.select("word", "sig", "size", "at").mapInArrow(_pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    used = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = classes.join(used, "sig", "left_semi").select("first.key", "first.line", "sig")
+    own = lines(docs, text, doc_id, level)
+    grouped = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).drop("sig"))
+    # Stored at once, so the ids of this one sort are the ids for good.
+    ordered = grouped.repartitionByRange(parts, "first").sortWithinPartitions("first")
+    classes = C.store(ordered.withColumn("id", F.monotonically_increasing_id()))
+    postings = classes.select("id", "size", F.posexplode("prefix").alias("at", "word"))
+    dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "size", "id")
+    found = dealt.select("word", "id", "size", "at").mapInArrow(_pairs, "a long, b long")
+    pairs = C.store(found.groupBy("b", "a").agg(F.count("*").alias("n")))
+    used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = classes.join(used, "id", "left_semi").select("id", "first.key", "first.line")
     sets = C.store(sets_of(docs, wanted, text, doc_id, level))
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("words").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = C.store(both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    return classes.select("sig", "first"), links
 
+    def verified(chosen: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("id").alias(i), F.col("words").alias(w)) for i, w in (("a", "x"), ("b", "y")))
+        shared = F.size(F.array_intersect("x", "y"))
+        enough = 5 * shared >= 4 * (F.size("x") + F.size("y") - shared)
+        return C.store(chosen.join(x, "a").join(y, "b").where(enough).select("a", "b"))
 
-def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, lines, links): lines of each document that stay although they take part, and its links.
+    if every:
+        return classes, verified(pairs.select("a", "b"))
+    best = C.store(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
+    links = verified(best)
+    rest = pairs.join(links.select("b"), "b", "left_anti").join(best, ["a", "b"], "left_anti")
+    return classes, links.unionAll(verified(rest.select("a", "b")))
 
-    A document's links are those of the classes that begin in it.
-    """
+
+def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(key, lines): lines of each document that stay although they take part."""
     classes, links = similar_classes(docs, text, doc_id)
-    ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = classes.select(F.col("sig").alias("b"), F.col("first").alias("other"))
-    near = ends.join(firsts, "b").groupBy("a").agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
-    judged = classes.join(near, F.col("sig") == F.col("a"), "left")
-    stays = F.col("earliest").isNull() | (F.col("first") < F.col("earliest"))
-    return judged.groupBy("first.key").agg(
-        F.array_sort(F.collect_list(F.when(stays, F.col("first.line")))).alias("lines"), F.sum(F.coalesce("links", F.lit(0))).alias("links")
-    )
+    stay = classes.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    return stay.groupBy("first.key").agg(F.array_sort(F.collect_list("first.line")).alias("lines"))
 
 
 def cut_lines(text: str, kept: list[int]) -> tuple[str, int, int]:
@@ -246,24 +264,24 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         gone.append(m)
         sha.append(hashlib.sha256(left.encode()).hexdigest())
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(texts, pa.string()), pa.array(taking, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), batch.column(3)],
-        ["rest", "text", "n_lines", "n_removed", "kept_sha256", "links"],
+        [batch.column(0), pa.array(texts, pa.string()), pa.array(taking, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)],
+        ["rest", "text", "n_lines", "n_removed", "kept_sha256"],
     )
 
 
 def without_similar_lines(docs: DataFrame, rest: F.Column, rest_type: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(rest, text, n_lines, n_removed, kept_sha256, links); ``rest`` is carried along."""
-    kept = kept_lines(docs, text, doc_id).select(_plain("key").alias("__k"), F.col("lines").alias("__lines"), F.col("links").alias("__links"))
-    rows = docs.select(rest.alias("__rest"), F.col(text).alias("__text"), _key(doc_id, text).alias("__key"))
-    joined = rows.withColumn("__k", _plain("__key")).join(kept, "__k", "left")
-    schema = f"rest {rest_type}, text string, n_lines long, n_removed long, kept_sha256 string, links long"
-    return C.map_batches(joined, ["__rest", "__text", "__lines", "__links"], "__text", schema, _cut)
+    """(rest, text, n_lines, n_removed, kept_sha256); ``rest`` is carried along."""
+    kept = C.store(kept_lines(docs, text, doc_id).select(_plain("key").alias("__k"), F.col("lines").alias("__lines")))
+    rows = docs.select(rest.alias("__rest"), F.col(text).alias("__text"), _plain_of(doc_id, text).alias("__k"))
+    joined = rows.join(kept, "__k", "left")
+    schema = f"rest {rest_type}, text string, n_lines long, n_removed long, kept_sha256 string"
+    return C.map_batches(joined, ["__rest", "__text", "__lines"], "__text", schema, _cut)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (that take part), n_removed, n_links and kept_sha256 of each document."""
+    """doc_id, n_lines (that take part), n_removed and kept_sha256 of each document."""
     out = without_similar_lines(docs, F.col("doc_id"), "long")
-    return out.select(F.col("rest").alias("doc_id"), "n_lines", "n_removed", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "kept_sha256")
+    return out.select(F.col("rest").alias("doc_id"), "n_lines", "n_removed", "kept_sha256")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
