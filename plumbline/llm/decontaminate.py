@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common as C
+from plumbline.operators.joins import spread_join
 
 SPAN = 10
 K = 4
@@ -177,9 +178,9 @@ def contaminated(docs: DataFrame, items: DataFrame, keys: list, schema: str, tex
         F.sort_array(F.collect_list(F.struct("low", "high"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    return own.select(*[F.col(f"id.{n}").alias(n) for n in names], F.col("id.digest").alias("digest"), "n_words").join(
-        found, "digest", "left"
-    )
+    rows = own.select(*[F.col(f"id.{n}").alias(n) for n in names], F.col("id.digest").alias("digest"), "n_words")
+    # Many rows may share one text: they are spread over tasks, unless nothing tells them apart.
+    return spread_join(rows, found, ["digest"], "left", spread_by=[*names, "n_words"], ways=8)
 
 
 def n_hit(hits: str = "hits") -> F.Column:

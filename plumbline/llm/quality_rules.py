@@ -8,7 +8,8 @@ Mahalanobis distance from that centre is beyond a chi-square limit is rejected.
 A concentration step is one aggregation over all documents: distances are put into
 logarithmic bins, and count and moments are summed per (group, bin), partially before the
 shuffle. What meets in one place is a table of at most BINS rows a group, however many
-documents the group has. Nothing is sampled.
+documents the group has. Joins with the per-group estimates salt the documents' side, so a
+group with a third of all rows is spread over tasks. Nothing is sampled.
 
 Defined results: null or empty texts have no words and fail the base rules; null languages
 and sources form groups of their own; a group with one document has it as its centre; equal
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common as C
+from plumbline.operators.joins import spread_join
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -127,7 +129,7 @@ def vectors(stats: DataFrame) -> DataFrame:
     """
     passed = stats.where("NOT base_failed").withColumn("mean_length", F.col("word_chars") / F.col("n_words"))
     middle = passed.groupBy("grp").agg(F.percentile_approx("mean_length", 0.5, 1000).alias("middle"))
-    return passed.join(middle, "grp").select(
+    return spread_join(passed, middle, ["grp"], spread_by=["row_key"]).select(
         "grp",
         "row_key",
         ((F.col("mean_length") - F.col("middle")) * F.sqrt("n_words")).alias("length"),
@@ -168,7 +170,7 @@ def distances(vecs: DataFrame, params: DataFrame) -> DataFrame:
     n = len(DIMENSIONS)
     off = [f"({d} - centre[{i}])" for i, d in enumerate(DIMENSIONS)]
     square = " + ".join(f"{1 if i == j else 2} * inverse[{n * i + j}] * {off[i]} * {off[j]}" for i, j in _PAIRS)
-    return vecs.join(params, "grp").withColumn("d2", F.expr(square)).drop("centre", "inverse")
+    return spread_join(vecs, params, ["grp"], spread_by=["row_key"]).withColumn("d2", F.expr(square)).drop("centre", "inverse")
 
 
 def concentrate(vecs: DataFrame, params: DataFrame) -> DataFrame:
