@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators.joins import spread_join
 from plumbline.operators.ordered import first_per_group
 
-TAIL = 16
 
 
 def precision_input(findings: DataFrame) -> DataFrame:
@@ -49,39 +49,26 @@ def rule_precision(findings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def recall_hits(findings: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Manifest entries with ``hit``: same rule, and the finding's path ends with the file.
+    """Manifest entries with ``hit``: some finding of the rule lies in a file that ends with the entry.
 
-    A suffix test alone would compare every entry with every finding of its rule.
-    The last characters are an equality key instead: 16 for long entries, the whole
-    entry for short ones, with the suffix test as residual.
+    Each found path is cut to the entry lengths that its rule has (path lengths, so a short
+    list), and cut paths equal entries or not: one equality join, without a residual test
+    that would compare all files with a common ending.
     """
-    entries = manifest.withColumn("__wanted", T.posix(F.col("file"))).withColumn(
-        "__id", F.xxhash64("rule_id", "__wanted")
-    )
-    found = findings.where(F.col("file").isNotNull()).select(
-        "rule_id", T.posix(F.col("file")).alias("__path")
-    ).distinct()
+    entries = manifest.withColumn("__wanted", T.posix(F.col("file")))
+    found = findings.where(F.col("file").isNotNull()).select("rule_id", T.posix(F.col("file")).alias("__path")).distinct()
     keys = entries.select("rule_id", "__wanted").distinct()
-    long = keys.where(F.char_length("__wanted") >= TAIL).withColumn("__tail", F.right("__wanted", F.lit(TAIL)))
-    short = keys.where(F.char_length("__wanted") < TAIL).withColumn("__tail", F.col("__wanted"))
-    tails = found.withColumn("__tail", F.right("__path", F.lit(TAIL)))
-    cut = found.select(
-        "rule_id",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.lit(TAIL - 1)), lambda n: F.substring("__path", -n, n))
-        ).alias("__tail"),
-    ).distinct()
-    hit_long = long.alias("m").join(
-        tails.alias("f"),
-        (F.col("m.rule_id") == F.col("f.rule_id"))
-        & (F.col("m.__tail") == F.col("f.__tail"))
-        & F.col("f.__path").endswith(F.col("m.__wanted")),
-        "left_semi",
+    lengths = keys.groupBy("rule_id").agg(F.collect_set(F.char_length("__wanted")).alias("__lengths"))
+    fitting = F.filter("__lengths", lambda n: n <= F.char_length("__path"))
+    cut = (
+        spread_join(found, lengths, ["rule_id"], spread_by=["__path"])
+        .select("rule_id", "__path", F.explode(fitting).alias("__n"))
+        .select("rule_id", F.expr("right(__path, __n)").alias("__wanted"))
+        .distinct()
     )
-    hit_short = short.join(cut, ["rule_id", "__tail"], "left_semi")
-    hits = hit_long.select("rule_id", "__wanted").unionByName(hit_short.select("rule_id", "__wanted"))
+    hits = keys.join(cut, ["rule_id", "__wanted"], "left_semi").withColumn("__hit", F.lit(True))
     return (
-        entries.join(hits.withColumn("__hit", F.lit(True)), ["rule_id", "__wanted"], "left")
+        entries.join(hits, ["rule_id", "__wanted"], "left")
         .withColumn("hit", F.coalesce("__hit", F.lit(False)))
         .select(*manifest.columns, "hit")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators.joins import spread_join
 
-# What is scanned, what is never scanned, and size limits in bytes.
+# What is scanned and what is never scanned.
 INCLUDE = (
     "\\.(ts|tsx|js|jsx|mjs|cjs|py|rb|go|rs|php|java|kt|json|env|md|mdx|yml|yaml|toml|ini|conf|sh|bash|zsh"
     "|csv|tsv|jsonl|ndjson|sql|prisma|html|htm)$"
@@ -21,8 +21,6 @@ IGNORE = (
     "|^report/|\\.min\\.(js|css)$|\\.bundle\\.js$|-min\\.js$"
 )
 DATA_FILE = "(?i)\\.(csv|tsv|jsonl|ndjson)$"
-SOURCE_LIMIT = 2 * 1024 * 1024
-DATA_LIMIT = 512 * 1024 * 1024
 MINIFIABLE = "(?i)\\.(js|mjs|cjs|css)$"
 MINIFIED_HEAD = 8192
 LONGEST_LINE = 1000
@@ -33,10 +31,6 @@ def wanted_path(path: Column) -> Column:
     return path.rlike(INCLUDE) & ~path.rlike(IGNORE)
 
 
-def wanted_size(path: Column, size: Column) -> Column:
-    return F.when(path.rlike(DATA_FILE), size <= DATA_LIMIT).otherwise(size <= SOURCE_LIMIT)
-
-
 def is_minified(path: Column, content: Column) -> Column:
     """Script or style whose first 8 KiB has a huge line or a huge mean line."""
     head = F.substring(content, 1, MINIFIED_HEAD)
@@ -61,38 +55,40 @@ def lenient(raw: Column) -> Column:
 
 
 def scan_corpus(
-    spark: SparkSession, root: str, hidden: DataFrame | None = None, data_head_bytes: int = 64 * 1024
+    spark: SparkSession, root: str, hidden: DataFrame | None = None, size_limit: int | None = None
 ) -> DataFrame:
-    """Files under ``root/<project>/...`` as rows.
+    """Files under ``root/<project>/...`` as rows, whole.
 
-    The size limit is a source filter, so larger files are not opened; path and size
-    are tested before content is decoded. Data files keep their first bytes only.
+    With ``size_limit`` larger files are not opened; ``oversized`` lists them. The path is
+    tested before content is decoded.
 
     Spark's file sources skip names that start with a dot. Such files (.env,
     .gitignore) come in through ``hidden(project, path, content, size)``.
     """
+    named = _named_files(spark, root)
+    if size_limit is not None:
+        named = named.where(F.col("size") <= size_limit)
+    files = named.select("project", "path", lenient(F.col("__bytes")).alias("content"), "size")
+    if hidden is not None:
+        files = files.unionByName(hidden.where(wanted_path(F.col("path"))).select(*files.columns))
+    return with_path_columns(drop_minified(files))
+
+
+def oversized(spark: SparkSession, root: str, size_limit: int) -> DataFrame:
+    """(project, path, size) of wanted files that a scan with this limit leaves out."""
+    return _named_files(spark, root).where(F.col("size") > size_limit).select("project", "path", "size")
+
+
+def _named_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/")
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(base)
-        .where(F.col("length") <= DATA_LIMIT)
-    )
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     relative = F.substring_index(F.col("path"), base + "/", -1)
-    named = raw.select(
+    return raw.select(
         F.regexp_extract(relative, "^([^/]+)/", 1).alias("project"),
         F.regexp_replace(relative, "^[^/]+/", "").alias("path"),
         F.col("length").alias("size"),
         F.col("content").alias("__bytes"),
-    ).where(wanted_path(F.col("path")) & wanted_size(F.col("path"), F.col("size")))
-    limited = F.when(F.col("path").rlike(DATA_FILE), F.substring(F.col("__bytes"), 1, data_head_bytes)).otherwise(
-        F.col("__bytes")
-    )
-    files = named.select("project", "path", lenient(limited).alias("content"), "size")
-    if hidden is not None:
-        named_hidden = hidden.where(wanted_path(F.col("path")) & wanted_size(F.col("path"), F.col("size")))
-        files = files.unionByName(named_hidden.select(*files.columns))
-    return with_path_columns(drop_minified(files))
+    ).where(wanted_path(F.col("path")))
 
 
 def with_path_columns(files: DataFrame) -> DataFrame:

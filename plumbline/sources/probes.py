@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BODY_LIMIT = 2000
-
 
 def read_probes(raw: DataFrame) -> DataFrame:
-    """Header names lower-cased, bodies cut, failed requests kept with ``ok=false``."""
+    """Header names lower-cased, bodies whole, failed requests kept with ``ok=false``."""
     ok = F.coalesce(F.col("ok"), F.col("error").isNull())
     return raw.select(
         *[c for c in raw.columns if c not in ("headers", "body", "ok")],
         F.transform_keys(
             F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)
         ).alias("headers"),
-        F.substring(F.coalesce(F.col("body"), F.lit("")), 1, BODY_LIMIT).alias("body"),
+        F.coalesce(F.col("body"), F.lit("")).alias("body"),
         ok.alias("ok"),
     )
 

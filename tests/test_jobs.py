@@ -320,8 +320,11 @@ def test_scan_corpus_from_disk(spark, tmp_path):
     put("p/latin.py", "s = 'é'".encode("latin-1"))
     hidden = spark.createDataFrame([("p", ".env.local", "A=1", 3), ("p", ".cache/x.env", "A=1", 3)], "project string, path string, content string, size long")
     got = {r.path: r for r in corpus.scan_corpus(spark, str(tmp_path), hidden).collect()}
-    assert set(got) == {"src/a.ts", "app/api/report/route.ts", "data/rows.csv", "latin.py", ".env.local"}
-    assert len(got["data/rows.csv"].content) == 64 * 1024
+    assert set(got) == {"src/a.ts", "app/api/report/route.ts", "data/rows.csv", "latin.py", ".env.local", "big.ts"}
+    assert len(got["data/rows.csv"].content) == 4 + 4 * 40_000 and len(got["big.ts"].content) == 2 * 1024 * 1024 + 1
+    limited = {r.path for r in corpus.scan_corpus(spark, str(tmp_path), hidden, size_limit=1_000_000).collect()}
+    assert limited == set(got) - {"big.ts"}
+    assert [(r.path, r.size) for r in corpus.oversized(spark, str(tmp_path), 1_000_000).collect()] == [("big.ts", 2 * 1024 * 1024 + 1)]
 
 
 def test_headers_keys_and_commits(spark, tmp_path):
