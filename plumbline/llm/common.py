@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -207,6 +208,11 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame) -> str:
+    """A column name that the frame does not have."""
+    return "__" + "_".join(re.sub(r"\W", "_", c) for c in df.columns)
+
+
 def digest_of(text) -> F.Column:
     """Identity of a text as 16 bytes; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))

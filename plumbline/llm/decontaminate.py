@@ -212,7 +212,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents in which no benchmark window occurs, all columns unchanged."""
-    own = "__" + "_".join(docs.columns)
+    own = C.free_name(docs)
     bad = contaminated(docs, items, [], "").where("hits IS NOT NULL").select(F.col("digest").alias(own)).distinct()
     return docs.withColumn(own, C.digest_of(F.col("text"))).join(bad, own, "left_anti").drop(own)
 

@@ -226,7 +226,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, all their columns unchanged."""
-    own = "__" + "_".join(docs.columns)  # a name no column has
+    own = C.free_name(docs)
     identity = F.md5(F.to_json(F.struct(C.digest_of(F.col("text")).alias("t"), F.col("lang").alias("l"), F.col("source").alias("s"))))
     bad = judged(docs, identity, "string").where("NOT kept").select(F.col("k0").alias(own)).distinct()
     return docs.withColumn(own, identity).join(bad, own, "left_anti").drop(own)

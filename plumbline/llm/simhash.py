@@ -348,7 +348,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Null ids come last; rows that are equal in both are one document.
     """
-    own = "__" + "_".join(docs.columns)
+    own = C.free_name(docs)
     digest = C.digest_of(F.col("text"))
     rows = docs.withColumn(own, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
     narrow = rows.select(F.col(own).alias("key"), F.col(f"`{own}`.digest").alias("id"))
