@@ -8,8 +8,9 @@ Words are ordered by rarity: a table of COUNT_CELLS hashed counts over all words
 corpus ranks them (any fixed order gives right results; a better one fewer candidates).
 Lines with equal sets are one class. Two sets with a Jaccard of 0.8 share a word among the
 first n - ceil(0.8 n) + 1 of each, so only these are indexed. Under each word, classes are
-paired if their sizes allow it (length filter) and if what follows the word can still make
-up the overlap (positional filter); pairs are then verified on the whole sets, likeliest pairs first.
+paired if their sizes allow it (length filter), if what follows the word can still make up
+the overlap (positional filter), and if 128-bit sketches of the sets leave room for it (a
+bit that only one set has is a word that is not shared); pairs are then verified on the whole sets, likeliest pairs first.
 
 Classes are found with partial aggregation before the shuffle, so a line that a third of all
 documents carry is one row a task. Only the hashed counts reach the driver, COUNT_CELLS rows
@@ -113,24 +114,33 @@ def _lists(values: np.ndarray, many: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
+def sketches(words: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each set, in two words: the bits that its members' low seven bits name."""
+    first = np.cumsum(size) - size
+    place, bit = words & np.uint64(127), np.uint64(1) << (words & np.uint64(63))
+    halves = [np.where((place >> np.uint64(6)) == half, bit, np.uint64(0)) for half in (0, 1)]
+    return [np.bitwise_or.reduceat(h, first) if len(size) else h for h in halves]
+
+
 def lines(docs: DataFrame, text: str, doc_id: str, level: np.ndarray) -> DataFrame:
-    """(key, line, sig, size, prefix) of each line that takes part."""
+    """(key, line, sig, size, s0, s1, prefix) of each line that takes part."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, number, size, words = line_sets(*C.text_buffer(batch.column(1)), level)
         first = np.cumsum(size) - size
         use = size >= MIN_WORDS
         sig = signatures(words, size).filter(pa.array(use))
+        s0, s1 = (pa.array(x[use].view(np.int64)) for x in sketches(words, size))
         row, number, size, first = row[use], number[use], size[use], first[use]
         many = prefix_length(size)
         prefix = _lists(words[_take_runs(first, many)], many)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), sig, pa.array(size.astype(np.int32)), prefix],
-            ["key", "line", "sig", "size", "prefix"],
+            [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), sig, pa.array(size.astype(np.int32)), s0, s1, prefix],
+            ["key", "line", "sig", "size", "s0", "s1", "prefix"],
         )
 
     columns = [_key(doc_id, text).alias("key"), F.col(text).alias("__text")]
-    return C.map_batches(docs, columns, "__text", f"key {_KEY}, line int, sig binary, size int, prefix array<long>", work)
+    return C.map_batches(docs, columns, "__text", f"key {_KEY}, line int, sig binary, size int, s0 long, s1 long, prefix array<long>", work)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, level: np.ndarray) -> DataFrame:
@@ -178,6 +188,7 @@ def _paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     if n < 2:
         return
     words, ids, size, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "id", "size", "at"))
+    sketch = [rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
     begins = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
     many = np.diff(np.append(begins, n))
     end = np.repeat(begins + many, many)
@@ -188,9 +199,14 @@ def _paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         live, other = live[fits], other[fits]
         # What can still be shared from here on; words before are met under themselves.
         room = np.minimum(size[live] - at[live], size[other] - at[other])
-        good = room >= least_overlap(size[live], size[other])
+        wanted = least_overlap(size[live], size[other])
+        good = room >= wanted
+        near, far, wanted = live[good], other[good], wanted[good]
+        # A bit that one sketch has and the other lacks stands for a word that is not shared.
+        lost = [sum(np.bitwise_count(h[i] & ~h[j]).astype(np.int64) for h in sketch) for i, j in ((near, far), (far, near))]
+        good = (size[near] - lost[0] >= wanted) & (size[far] - lost[1] >= wanted)
         if good.any():
-            x, y = ids[live[good]], ids[other[good]]
+            x, y = ids[near[good]], ids[far[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
         j += 1
 
@@ -208,13 +224,13 @@ def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     parts = C.shuffle_parts(spark)
     level = np.minimum(127, 4 * np.log2(1.0 + word_counts(docs, text))).astype(np.uint64)
     own = lines(docs, text, doc_id, level)
-    grouped = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).drop("sig"))
+    grouped = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "prefix")]).drop("sig"))
     # Stored at once, so the ids of this one sort are the ids for good.
     ordered = grouped.repartitionByRange(parts, "first").sortWithinPartitions("first")
     classes = C.store(ordered.withColumn("id", F.monotonically_increasing_id()))
-    postings = classes.select("id", "size", F.posexplode("prefix").alias("at", "word"))
+    postings = classes.select("id", "size", "s0", "s1", F.posexplode("prefix").alias("at", "word"))
     dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "size", "id")
-    found = dealt.select("word", "id", "size", "at").mapInArrow(_pairs, "a long, b long")
+    found = dealt.select("word", "id", "size", "at", "s0", "s1").mapInArrow(_pairs, "a long, b long")
     pairs = C.store(found.groupBy("b", "a").agg(F.count("*").alias("n")))
     used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = classes.join(used, "id", "left_semi").select("id", "first.key", "first.line")
