@@ -169,29 +169,50 @@ def _plain_of(doc_id: str, text: str) -> F.Column:
     return F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.lit("/"), F.hex(C.digest_of(F.col(text))))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs under each word; rows come sorted by (word, size), a word may go across batches."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
-        words = rows.column("word").to_numpy()
-        last = int(np.searchsorted(words, words[-1]))
-        yield from _paired(rows.slice(0, last))
-        rest = rows.slice(last)
-    if rest is not None:
-        yield from _paired(rest)
-
-
-def _paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+#: Classes under one word beyond which each is first paired with its nearest only.
+LARGE_GROUP = 32
+
+
+def _pairs(every: bool, large_group: int):
+    """Pairs under each word; rows come sorted by (word, size), a word may go across batches.
+
+    Under a word of more than ``large_group`` classes a class is paired with one earlier class
+    only, that with the nearest sketch, and the word is reported (a null pair). With
+    ``every``, rows say whether they are ``open``, and an open class is paired with all
+    earlier ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            words = rows.column("word").to_numpy()
+            last = int(np.searchsorted(words, words[-1]))
+            yield from _paired(rows.slice(0, last), every, large_group)
+            rest = rows.slice(last)
+        if rest is not None:
+            yield from _paired(rest, every, large_group)
+
+    return run
+
+
+def _pair_batch(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(a), pa.array(b)], ["word", "a", "b"])
+
+
+def _paired(rows: pa.Table, every: bool, large_group: int) -> Iterator[pa.RecordBatch]:
     n = rows.num_rows
     if n < 2:
         return
     words, ids, size, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "id", "size", "at"))
     sketch = [rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
+    open_ = np.asarray(rows.column("open").to_numpy(zero_copy_only=False), bool) if every else None
     begins = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
     many = np.diff(np.append(begins, n))
     end = np.repeat(begins + many, many)
+    large = np.repeat(many > large_group, many)
+    away, nearest = np.full(n, 1 << 30), np.zeros(n, np.int64)
     live, j = np.arange(n), 1
     while len(live := live[live + j < end[live]]):
         other = live + j
@@ -203,22 +224,33 @@ def _paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         good = room >= wanted
         near, far, wanted = live[good], other[good], wanted[good]
         # A bit that one sketch has and the other lacks stands for a word that is not shared.
-        lost = [sum(np.bitwise_count(h[i] & ~h[j]).astype(np.int64) for h in sketch) for i, j in ((near, far), (far, near))]
+        lost = [sum(np.bitwise_count(h[i] & ~h[k]).astype(np.int64) for h in sketch) for i, k in ((near, far), (far, near))]
         good = (size[near] - lost[0] >= wanted) & (size[far] - lost[1] >= wanted)
-        if good.any():
-            x, y = ids[near[good]], ids[far[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        near, far, apart = near[good], far[good], (lost[0] + lost[1])[good]
+        first, second = np.where(ids[near] < ids[far], near, far), np.where(ids[near] < ids[far], far, near)
+        whole = open_[second] if every else ~large[second]
+        if whole.any():
+            yield _pair_batch(words[second[whole]], ids[first[whole]], ids[second[whole]])
+        if not every:
+            for side in (second == near, second == far):  # each row once on each side
+                x, y, d = first[side & ~whole], second[side & ~whole], apart[side & ~whole]
+                closer = d < away[y]
+                away[y[closer]], nearest[y[closer]] = d[closer], x[closer]
         j += 1
+    found = np.flatnonzero(away < 1 << 30)
+    if len(found):
+        yield _pair_batch(words[found], ids[nearest[found]], ids[found])
+        yield _pair_batch(np.unique(words[found]), *[np.full(len(np.unique(words[found])), -1)] * 2)
 
 
 def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes (id, first: key and line) and verified links (a, b) from a later class b to an earlier a.
 
     Class ids follow the order of the lines they begin with. With ``every`` all links are
-    verified. Otherwise each class is first compared with its likeliest candidate (the one
-    with most index words in common), and only classes without a link then with all others:
-    each class that is similar to an earlier one gets a link, and a group of near copies
-    costs one comparison a member instead of one a pair.
+    found. Otherwise each class is first compared with its likeliest candidate (most index
+    words in common; under words with many classes, the nearest sketch), and only classes
+    without a link then with all others: each class that is similar to an earlier one gets a
+    link, and a group of near copies costs one comparison a member instead of one a pair.
     """
     spark = docs.sparkSession
     parts = C.shuffle_parts(spark)
@@ -230,23 +262,30 @@ def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = C.store(ordered.withColumn("id", F.monotonically_increasing_id()))
     postings = classes.select("id", "size", "s0", "s1", F.posexplode("prefix").alias("at", "word"))
     dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "size", "id")
-    found = dealt.select("word", "id", "size", "at", "s0", "s1").mapInArrow(_pairs, "a long, b long")
-    pairs = C.store(found.groupBy("b", "a").agg(F.count("*").alias("n")))
-    used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.join(used, "id", "left_semi").select("id", "first.key", "first.line")
-    sets = C.store(sets_of(docs, wanted, text, doc_id, level))
+    paired = "word long, a long, b long"
+    found = C.store(dealt.select("word", "id", "size", "at", "s0", "s1").mapInArrow(_pairs(False, LARGE_GROUP), paired))
+    large = C.store(found.where("a < 0").select("word").distinct())
+    pairs = C.store(found.where("a >= 0").groupBy("b", "a").agg(F.count("*").alias("n")))
 
     def verified(chosen: DataFrame) -> DataFrame:
+        chosen = C.store(chosen)
+        used = chosen.select(F.col("a").alias("id")).unionAll(chosen.select(F.col("b").alias("id"))).distinct()
+        wanted = classes.join(used, "id", "left_semi").select("id", "first.key", "first.line")
+        sets = C.store(sets_of(docs, wanted, text, doc_id, level))
         x, y = (sets.select(F.col("id").alias(i), F.col("words").alias(w)) for i, w in (("a", "x"), ("b", "y")))
         shared = F.size(F.array_intersect("x", "y"))
         enough = 5 * shared >= 4 * (F.size("x") + F.size("y") - shared)
         return C.store(chosen.join(x, "a").join(y, "b").where(enough).select("a", "b"))
 
-    if every:
-        return classes, verified(pairs.select("a", "b"))
-    best = C.store(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
-    links = verified(best)
-    rest = pairs.join(links.select("b"), "b", "left_anti").join(best, ["a", "b"], "left_anti")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    links = verified(best.select("a", "b"))
+    linked = links.select(F.col("b").alias("id")).distinct().withColumn("linked", F.lit(True))
+    again = postings.join(large, "word").join(linked, "id", "left").withColumn("open", F.lit(True) if every else F.col("linked").isNull())
+    again = again.drop("linked").repartition(parts, "word").sortWithinPartitions("word", "size", "id")
+    more = again.select("word", "id", "size", "at", "s0", "s1", "open").mapInArrow(_pairs(True, LARGE_GROUP), paired).select("a", "b")
+    rest = pairs.select("a", "b").unionAll(more).distinct().join(links, ["a", "b"], "left_anti")
+    if not every:
+        rest = rest.join(linked.select(F.col("id").alias("b")), "b", "left_anti")
     return classes, links.unionAll(verified(rest.select("a", "b")))
 
 

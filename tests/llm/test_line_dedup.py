@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup as L
@@ -55,7 +56,9 @@ def made():
     return rows + [(3, None), (5, ""), (7, "A b c d e\n\te D C b a \nb c"), (8, "a b c d E f"), (9, "one\x00 two\x0bthree\x0cfour five")]
 
 
-def test_line_dedup(spark, docs, no_docs):
+@pytest.mark.parametrize("large", [32, 2])
+def test_line_dedup(spark, docs, no_docs, monkeypatch, large):
+    monkeypatch.setattr(L, "LARGE_GROUP", large)
     small = spark.createDataFrame(made(), "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("line", F.lit(2))
     for frame in (small, docs):
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
