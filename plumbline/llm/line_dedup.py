@@ -10,7 +10,14 @@ Lines with equal sets are one class. Two sets with a Jaccard of 0.8 share a word
 first n - ceil(0.8 n) + 1 of each, so only these are indexed. Under each word, classes are
 paired if their sizes allow it (length filter), if what follows the word can still make up
 the overlap (positional filter), and if 128-bit sketches of the sets leave room for it (a
-bit that only one set has is a word that is not shared); pairs are then verified on the whole sets, likeliest pairs first.
+bit that only one set has is a word that is not shared); all pairs are then verified on the
+whole sets, and the links of each class counted.
+
+The classes of a hot word are dealt into blocks, and pairs of blocks (tiles) over tasks. In
+a tile where most pairs are candidates (a group of near copies) pairs are never rows: the
+whole sets meet there as 0/1 matrices, whose products are the overlaps. A pair counts only
+under its first common word. Comparing a group is still quadratic in its classes; what is
+stored and shuffled grows with classes times blocks.
 
 Classes are found with partial aggregation before the shuffle, so a line that a third of all
 documents carry is one row a task. Only the hashed counts reach the driver, COUNT_CELLS rows
@@ -169,131 +176,217 @@ def _plain_of(doc_id: str, text: str) -> F.Column:
     return F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.lit("/"), F.hex(C.digest_of(F.col(text))))
 
 
-#: Classes under one word beyond which each is first paired with its nearest only.
-LARGE_GROUP = 32
-
+#: Classes under one word beyond which they are dealt into blocks of about this size.
+LARGE_GROUP = 512
+#: Candidates for each class of a tile beyond which the tile is verified in place.
+DENSE = 16
+#: Columns of a tile's word matrix that are multiplied at a time.
+_COLUMNS = 2048
+_SIGN = -(1 << 63)
 
-def _pairs(every: bool, large_group: int):
-    """Pairs under each word; rows come sorted by (word, size), a word may go across batches.
 
-    Under a word of more than ``large_group`` classes a class is paired with one earlier class
-    only, that with the nearest sketch, and the word is reported (a null pair). With
-    ``every``, rows say whether they are ``open``, and an open class is paired with all
-    earlier ones.
-    """
+def _tiles(work):
+    """Run ``work`` on whole tiles; rows come sorted by (word, tile), a tile may go across batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
-            words = rows.column("word").to_numpy()
-            last = int(np.searchsorted(words, words[-1]))
-            yield from _paired(rows.slice(0, last), every, large_group)
+            last = int(_begins(rows)[-1]) if rows.num_rows else 0
+            yield from work(rows.slice(0, last))
             rest = rows.slice(last)
         if rest is not None:
-            yield from _paired(rest, every, large_group)
+            yield from work(rest)
 
     return run
 
 
-def _pair_batch(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(a), pa.array(b)], ["word", "a", "b"])
-
-
-def _paired(rows: pa.Table, every: bool, large_group: int) -> Iterator[pa.RecordBatch]:
-    n = rows.num_rows
-    if n < 2:
-        return
-    words, ids, size, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "id", "size", "at"))
-    sketch = [rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
-    open_ = np.asarray(rows.column("open").to_numpy(zero_copy_only=False), bool) if every else None
-    begins = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-    many = np.diff(np.append(begins, n))
-    end = np.repeat(begins + many, many)
-    large = np.repeat(many > large_group, many)
-    away, nearest = np.full(n, 1 << 30), np.zeros(n, np.int64)
-    live, j = np.arange(n), 1
-    while len(live := live[live + j < end[live]]):
-        other = live + j
-        fits = 4 * size[other] <= 5 * size[live]  # sizes ascend: no later row fits either
-        live, other = live[fits], other[fits]
-        # What can still be shared from here on; words before are met under themselves.
-        room = np.minimum(size[live] - at[live], size[other] - at[other])
-        wanted = least_overlap(size[live], size[other])
-        good = room >= wanted
-        near, far, wanted = live[good], other[good], wanted[good]
-        # A bit that one sketch has and the other lacks stands for a word that is not shared.
-        lost = [sum(np.bitwise_count(h[i] & ~h[k]).astype(np.int64) for h in sketch) for i, k in ((near, far), (far, near))]
-        good = (size[near] - lost[0] >= wanted) & (size[far] - lost[1] >= wanted)
-        near, far, apart = near[good], far[good], (lost[0] + lost[1])[good]
-        first, second = np.where(ids[near] < ids[far], near, far), np.where(ids[near] < ids[far], far, near)
-        whole = open_[second] if every else ~large[second]
-        if whole.any():
-            yield _pair_batch(words[second[whole]], ids[first[whole]], ids[second[whole]])
-        if not every:
-            for side in (second == near, second == far):  # each row once on each side
-                x, y, d = first[side & ~whole], second[side & ~whole], apart[side & ~whole]
-                closer = d < away[y]
-                away[y[closer]], nearest[y[closer]] = d[closer], x[closer]
-        j += 1
-    found = np.flatnonzero(away < 1 << 30)
-    if len(found):
-        yield _pair_batch(words[found], ids[nearest[found]], ids[found])
-        yield _pair_batch(np.unique(words[found]), *[np.full(len(np.unique(words[found])), -1)] * 2)
+def _begins(rows: pa.Table) -> np.ndarray:
+    words, tiles = (rows.column(c).to_numpy() for c in ("word", "tile"))
+    return np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (tiles[1:] != tiles[:-1])]))
+
+
+def _candidates(dense: int):
+    """Pairs (word, tile, a, b) of each tile; rows come sorted by size.
+
+    A tile of more than ``dense`` candidates a row gives one row without a pair instead.
+    """
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = rows.num_rows
+        if n < 2:
+            return
+        words, tiles, ids, size, at, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "tile", "id", "size", "at", "side"))
+        sketch = [rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
+        begins = _begins(rows)
+        many = np.diff(np.append(begins, n))
+        group, end = np.repeat(np.arange(len(begins)), many), np.repeat(begins + many, many)
+        inner = tiles >> 32 == tiles & 0xFFFFFFFF
+        reached, full = np.zeros(len(begins), np.int64), np.zeros(len(begins), bool)
+        pairs = []
+        live, j = np.arange(n), 1
+        while len(live := live[live + j < end[live]]):
+            other = live + j
+            fits = (4 * size[other] <= 5 * size[live]) & ~full[group[live]]  # sizes ascend: no later row fits either
+            live, other = live[fits], other[fits]
+            # What can still be shared from here on; words before are met under themselves.
+            room = np.minimum(size[live] - at[live], size[other] - at[other])
+            wanted = least_overlap(size[live], size[other])
+            good = (room >= wanted) & (inner[live] | (side[live] != side[other]))
+            near, far, wanted = live[good], other[good], wanted[good]
+            # A bit that one sketch has and the other lacks stands for a word that is not shared.
+            lost = [sum(np.bitwise_count(h[i] & ~h[k]).astype(np.int64) for h in sketch) for i, k in ((near, far), (far, near))]
+            good = (size[near] - lost[0] >= wanted) & (size[far] - lost[1] >= wanted)
+            near, far = near[good], far[good]
+            if len(near):
+                pairs.append((near, far))
+                reached += np.bincount(group[near], minlength=len(begins))
+                full = reached > dense * many
+            j += 1
+        if not pairs:
+            return
+        near, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        use = ~full[group[near]]
+        near, far, none = near[use], far[use], np.full(int(full.sum()), -1)
+        a, b = np.minimum(ids[near], ids[far]), np.maximum(ids[near], ids[far])
+        at = np.concatenate([near, begins[full]])
+        columns = [words[at], tiles[at], np.concatenate([a, none]), np.concatenate([b, none])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "tile", "a", "b"])
+
+    return work
+
+
+def _similar_in(words: np.ndarray, size: np.ndarray, side: np.ndarray, inner: bool, word: np.uint64) -> tuple[np.ndarray, ...]:
+    """Rows of the two sides of a tile, and which of them are similar with ``word`` as their first common word."""
+    row = np.repeat(np.arange(len(size)), size)
+    x = np.arange(len(size)) if inner else np.flatnonzero(side == side[0])
+    y = x if inner else np.flatnonzero(side != side[0])
+    place = np.zeros(len(size), np.int64)
+    for rows in (x, y):
+        place[rows] = np.arange(len(rows))
+    known, column, seen = np.unique(words, return_inverse=True, return_counts=True)
+    use = seen[column] > 1
+    known, column = np.unique(words[use], return_inverse=True)
+    row, first = row[use], int(np.searchsorted(known, word))
+    in_x, in_y = (np.isin(row, rows) for rows in (x, y))
+    shared, before = np.zeros((len(x), len(y)), np.float32), None
+    cuts = sorted({*range(0, len(known), _COLUMNS), first, len(known)})
+    for begin, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        if begin == first:
+            before = shared > 0
+        chosen = (column >= begin) & (column < stop)
+        sides = []
+        for rows, own in ((x, in_x),) if inner else ((x, in_x), (y, in_y)):
+            flags = np.zeros((len(rows), stop - begin), np.float32)
+            flags[place[row[chosen & own]], column[chosen & own] - begin] = 1
+            sides.append(flags)
+        shared += sides[0] @ sides[-1].T
+    whole = size[x][:, None] + size[y][None, :]
+    found = 9 * shared >= 4 * whole  # 5 shared >= 4 (whole - shared)
+    if before is not None:
+        found &= ~before
+    if inner:
+        np.fill_diagonal(found, False)
+    return x, y, found
+
+
+def _links_in(every: bool):
+    """Links of tiles whose rows carry the whole sets: pairs (a, b), or (id, n, earlier) of each class."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        begins = _begins(rows)
+        for begin, stop in zip(begins, [*begins[1:], rows.num_rows], strict=True):
+            part = rows.slice(begin, stop - begin).combine_chunks()
+            ids, side = (part.column(c).to_numpy().astype(np.int64) for c in ("id", "side"))
+            sets = part.column("words").chunk(0)
+            size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+            tile, word = part.column("tile")[0].as_py(), np.array([part.column("word")[0].as_py()], np.int64).view(np.uint64)[0]
+            inner = tile >> 32 == tile & 0xFFFFFFFF
+            if not inner and (side == side[0]).all():
+                continue
+            x, y, found = _similar_in(sets.flatten().to_numpy().view(np.uint64), size, side, inner, word)
+            later = ids[x][:, None] > ids[y][None, :]
+            if every:
+                i, k = np.nonzero(found & ~later if inner else found)
+                a, b = ids[x[i]], ids[y[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                continue
+            n, earlier = found.sum(1), (found & later).sum(1)
+            if not inner:
+                n, earlier = np.append(n, found.sum(0)), np.append(earlier, (found & ~later).sum(0))
+            ends = ids[x] if inner else ids[np.append(x, y)]
+            columns = [c[n > 0] for c in (ends, n, earlier)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "n", "earlier"])
+
+    return work
 
 
 def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, first: key and line) and verified links (a, b) from a later class b to an earlier a.
+    """Classes (id, sig, first: key and line) and their verified links.
 
-    Class ids follow the order of the lines they begin with. With ``every`` all links are
-    found. Otherwise each class is first compared with its likeliest candidate (most index
-    words in common; under words with many classes, the nearest sketch), and only classes
-    without a link then with all others: each class that is similar to an earlier one gets a
-    link, and a group of near copies costs one comparison a member instead of one a pair.
+    Class ids follow the order of the lines they begin with. With ``every`` each link is a
+    row (a, b) from a later class b to an earlier a; otherwise each class with links is a
+    row (id, n, earlier): how many it has and how many of them go to earlier classes. Both
+    rest on all links.
     """
     spark = docs.sparkSession
     parts = C.shuffle_parts(spark)
     level = np.minimum(127, 4 * np.log2(1.0 + word_counts(docs, text))).astype(np.uint64)
     own = lines(docs, text, doc_id, level)
-    grouped = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "prefix")]).drop("sig"))
+    grouped = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "prefix")]))
     # Stored at once, so the ids of this one sort are the ids for good.
     ordered = grouped.repartitionByRange(parts, "first").sortWithinPartitions("first")
     classes = C.store(ordered.withColumn("id", F.monotonically_increasing_id()))
     postings = classes.select("id", "size", "s0", "s1", F.posexplode("prefix").alias("at", "word"))
-    dealt = postings.repartition(parts, "word").sortWithinPartitions("word", "size", "id")
-    paired = "word long, a long, b long"
-    found = C.store(dealt.select("word", "id", "size", "at", "s0", "s1").mapInArrow(_pairs(False, LARGE_GROUP), paired))
-    large = C.store(found.where("a < 0").select("word").distinct())
-    pairs = C.store(found.where("a >= 0").groupBy("b", "a").agg(F.count("*").alias("n")))
-
-    def verified(chosen: DataFrame) -> DataFrame:
-        chosen = C.store(chosen)
-        used = chosen.select(F.col("a").alias("id")).unionAll(chosen.select(F.col("b").alias("id"))).distinct()
-        wanted = classes.join(used, "id", "left_semi").select("id", "first.key", "first.line")
-        sets = C.store(sets_of(docs, wanted, text, doc_id, level))
-        x, y = (sets.select(F.col("id").alias(i), F.col("words").alias(w)) for i, w in (("a", "x"), ("b", "y")))
-        shared = F.size(F.array_intersect("x", "y"))
-        enough = 5 * shared >= 4 * (F.size("x") + F.size("y") - shared)
-        return C.store(chosen.join(x, "a").join(y, "b").where(enough).select("a", "b"))
-
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    links = verified(best.select("a", "b"))
-    linked = links.select(F.col("b").alias("id")).distinct().withColumn("linked", F.lit(True))
-    again = postings.join(large, "word").join(linked, "id", "left").withColumn("open", F.lit(True) if every else F.col("linked").isNull())
-    again = again.drop("linked").repartition(parts, "word").sortWithinPartitions("word", "size", "id")
-    more = again.select("word", "id", "size", "at", "s0", "s1", "open").mapInArrow(_pairs(True, LARGE_GROUP), paired).select("a", "b")
-    rest = pairs.select("a", "b").unionAll(more).distinct().join(links, ["a", "b"], "left_anti")
-    if not every:
-        rest = rest.join(linked.select(F.col("id").alias("b")), "b", "left_anti")
-    return classes, links.unionAll(verified(rest.select("a", "b")))
+    hot = C.store(postings.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_GROUP).select("word", F.ceil(F.col("n") / LARGE_GROUP).alias("k")))
+    # Under a hot word a tile is a pair of blocks (low, high), and a class is in the tiles of its block.
+    tiles = F.expr("if(k is null, array(0L), transform(sequence(0L, k - 1), j -> shiftleft(least(side, j), 32) | greatest(side, j)))")
+    sided = postings.join(hot, "word", "left").withColumn("side", F.expr("coalesce(pmod(xxhash64(id), k), 0L)"))
+    dealt = sided.withColumn("tile", F.explode(tiles)).drop("k")
+    sorted_ = dealt.repartition(parts, "word", "tile").sortWithinPartitions("word", "tile", "size", "id")
+    made = sorted_.select("word", "tile", "id", "size", "at", "side", "s0", "s1").mapInArrow(_tiles(_candidates(DENSE)), "word long, tile long, a long, b long")
+    found = C.store(made)
+    # A pair is settled under its first common word: here, or in the tile that is verified in place.
+    pairs = C.store(found.where("a >= 0").groupBy("a", "b").agg(F.min(F.col("word").bitwiseXOR(F.lit(_SIGN))).alias("least")))
+    dense = C.store(found.where("a < 0").select("word", "tile").distinct())
+    rows = C.store(dealt.select("word", "tile", "id", "side").join(dense, ["word", "tile"], "left_semi"))
+
+    used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(rows.select("id")).distinct()
+    wanted = classes.join(used, "id", "left_semi").select("id", "first.key", "first.line")
+    sets = C.store(sets_of(docs, wanted, text, doc_id, level))
+    x, y = (sets.select(F.col("id").alias(i), F.col("words").alias(w)) for i, w in (("a", "x"), ("b", "y")))
+    shared = F.size("common")
+    enough = 5 * shared >= 4 * (F.size("x") + F.size("y") - shared)
+    first = F.array_min(F.transform("common", lambda w: w.bitwiseXOR(F.lit(_SIGN))))
+    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.array_intersect("x", "y"))
+    links = C.store(both.where(enough & (first == F.col("least"))).select("a", "b"))
+
+    whole = rows.join(sets, "id").repartition(parts, "word", "tile").sortWithinPartitions("word", "tile", "id")
+    schema = "a long, b long" if every else "id long, n long, earlier long"
+    placed = C.store(whole.select("word", "tile", "id", "side", "words").mapInArrow(_tiles(_links_in(every)), schema))
+    classes = classes.select("id", "sig", "first")
+    if every:
+        return classes, links.unionAll(placed)
+    ends = [links.select(F.col(c).alias("id"), F.lit(1).cast("long").alias("n"), F.lit(e).cast("long").alias("earlier")) for c, e in (("a", 0), ("b", 1))]
+    counts = ends[0].unionAll(ends[1]).unionAll(placed).groupBy("id").agg(F.sum("n").alias("n"), F.sum("earlier").alias("earlier"))
+    return classes, counts
 
 
 def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, lines): lines of each document that stay although they take part."""
-    classes, links = similar_classes(docs, text, doc_id)
-    stay = classes.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-    return stay.groupBy("first.key").agg(F.array_sort(F.collect_list("first.line")).alias("lines"))
+    """(key, lines, classes) of each document in which classes begin.
+
+    ``lines`` are those that stay although they take part; ``classes`` has the id and the
+    number of links of each class that begins in the document, in the order of the lines.
+    """
+    classes, counts = similar_classes(docs, text, doc_id)
+    judged = classes.join(counts, "id", "left").select(
+        "first.key", F.struct(F.col("first.line"), F.col("sig").alias("id"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("earlier", F.lit(0)) == 0).alias("stays")).alias("c")
+    )
+    own = judged.groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return own.select("key", F.expr("transform(filter(c, x -> x.stays), x -> x.line)").alias("lines"), F.expr("transform(c, x -> struct(x.id as id, x.n as n))").alias("classes"))
 
 
 def cut_lines(text: str, kept: list[int]) -> tuple[str, int, int]:
@@ -319,24 +412,34 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         gone.append(m)
         sha.append(hashlib.sha256(left.encode()).hexdigest())
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(texts, pa.string()), pa.array(taking, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)],
-        ["rest", "text", "n_lines", "n_removed", "kept_sha256"],
+        [batch.column(0), pa.array(texts, pa.string()), pa.array(taking, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), batch.column(3)],
+        ["rest", "text", "n_lines", "n_removed", "kept_sha256", "classes"],
     )
 
 
 def without_similar_lines(docs: DataFrame, rest: F.Column, rest_type: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(rest, text, n_lines, n_removed, kept_sha256); ``rest`` is carried along."""
-    kept = C.store(kept_lines(docs, text, doc_id).select(_plain("key").alias("__k"), F.col("lines").alias("__lines")))
+    """(rest, text, n_lines, n_removed, kept_sha256, classes); ``rest`` is carried along."""
+    kept = C.store(kept_lines(docs, text, doc_id).select(_plain("key").alias("__k"), F.col("lines").alias("__lines"), F.col("classes").alias("__classes")))
     rows = docs.select(rest.alias("__rest"), F.col(text).alias("__text"), _plain_of(doc_id, text).alias("__k"))
     joined = rows.join(kept, "__k", "left")
-    schema = f"rest {rest_type}, text string, n_lines long, n_removed long, kept_sha256 string"
-    return C.map_batches(joined, ["__rest", "__text", "__lines"], "__text", schema, _cut)
+    schema = f"rest {rest_type}, text string, n_lines long, n_removed long, kept_sha256 string, classes array<struct<id: binary, n: long>>"
+    return C.map_batches(joined, ["__rest", "__text", "__lines", "__classes"], "__text", schema, _cut)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (that take part), n_removed and kept_sha256 of each document."""
-    out = without_similar_lines(docs, F.col("doc_id"), "long")
-    return out.select(F.col("rest").alias("doc_id"), "n_lines", "n_removed", "kept_sha256")
+    """doc_id, n_lines (that take part), n_removed, classes and links, and kept_sha256 of each document.
+
+    A class counts for the document that it begins in: class_ids and class_links have the
+    classes' ids and numbers of links in the order of the lines, n_links is their sum.
+    """
+    out = without_similar_lines(docs, F.col("doc_id"), "long").withColumn("classes", F.expr("coalesce(classes, array())"))
+    return out.select(
+        F.col("rest").alias("doc_id"), "n_lines", "n_removed",
+        F.expr("aggregate(classes, 0L, (s, c) -> s + c.n)").alias("n_links"),
+        F.expr("transform(classes, c -> lower(hex(c.id)))").alias("class_ids"),
+        F.expr("transform(classes, c -> c.n)").alias("class_links"),
+        "kept_sha256",
+    )
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:

@@ -81,3 +81,28 @@ def test_links_are_all_pairs(spark):
     classes, links = L.similar_classes(frame, every=True)
     assert classes.count() == len(sets)
     assert links.count() == want > 50
+
+
+@pytest.mark.parametrize(("large", "dense"), [(512, 16), (3, 0)])
+def test_classes_report_all_their_links(spark, monkeypatch, large, dense):
+    monkeypatch.setattr(L, "LARGE_GROUP", large)
+    monkeypatch.setattr(L, "DENSE", dense)
+    rng = random.Random(5)
+    copy = [f"w{i}" for i in range(30)]
+    rows = made() + [(1000 + i, " ".join(edited(rng, copy, rng.randint(0, 3)))) for i in range(60)]
+    rows += [rows[-1]] * 20
+    firsts = {}
+    for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())):
+        for line in (text or "").split("\n"):
+            if len(s := words_of(line)) >= 5:
+                firsts.setdefault(s, (doc_id, text))
+    want = collections.defaultdict(list)
+    for s, row in firsts.items():
+        want[row].append(sum(s != t and 5 * len(s & t) >= 4 * len(s | t) for t in firsts))
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expect = collections.Counter((d, tuple(want.get((d, t), ()))) for d, t in rows)
+    assert collections.Counter((r.doc_id, tuple(r.class_links)) for r in got) == expect
+    assert all(r.n_links == sum(r.class_links) for r in got)
+    assert len({i for r in got for i in r.class_ids}) == len(firsts)
+    _, links = L.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), every=True)
+    assert links.distinct().count() == links.count() == sum(map(sum, want.values())) // 2 > 800
