@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words (lower-cased A-Z, split at white space). A line of MIN_WORDS
-or more different words goes if a similar one (Jaccard 0.8 or more) comes before it in the
+A line is the set of its words (lower-cased A-Z, split at white space). A line of
+``min_words`` or more different words (1 in the query and the pipeline) goes if a similar one (Jaccard 0.8 or more) comes before it in the
 order (doc_id, digest of the text, line number); the first of each kind stays.
 
 Words are ordered by rarity: a table of COUNT_CELLS hashed counts over all words of the
@@ -23,7 +23,8 @@ Classes are found with partial aggregation before the shuffle, so a line that a
 documents carry is one row a task. Only the hashed counts reach the driver, COUNT_CELLS rows
 at most.
 
-Defined results: null and empty texts stay as they are; lines with fewer words always stay;
+Defined results: null and empty texts stay as they are; lines with fewer words, and blank
+lines in any case, always stay;
 rows equal in doc_id and text are one document and keep the same lines; null ids come last
 in the order; other columns pass through unchanged whatever their names; an empty table
 gives no rows.
@@ -41,7 +42,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common as C
 
+#: Least number of different words of a line that takes part, where the caller names none.
 MIN_WORDS = 5
+#: What the query and the pipeline name: every line that has a word.
+ANY_LINE = 1
+#: Sets of fewer words are similar to their equals only (3 of 4 words is under 0.8).
+_LEAST_JOINED = 4
 COUNT_CELLS = 1 << 16
 _KEY = "struct<none: boolean, id: long, digest: binary>"
 
@@ -129,13 +135,13 @@ def sketches(words: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_or.reduceat(h, first) if len(size) else h for h in halves]
 
 
-def lines(docs: DataFrame, text: str, doc_id: str, level: np.ndarray) -> DataFrame:
+def lines(docs: DataFrame, text: str, doc_id: str, level: np.ndarray, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, line, sig, size, s0, s1, prefix) of each line that takes part."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, number, size, words = line_sets(*C.text_buffer(batch.column(1)), level)
         first = np.cumsum(size) - size
-        use = size >= MIN_WORDS
+        use = size >= min_words
         sig = signatures(words, size).filter(pa.array(use))
         s0, s1 = (pa.array(x[use].view(np.int64)) for x in sketches(words, size))
         row, number, size, first = row[use], number[use], size[use], first[use]
@@ -324,7 +330,7 @@ def _links_in(every: bool):
     return work
 
 
-def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", every: bool = False, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """Classes (id, sig, first: key and line) and their verified links.
 
     Class ids follow the order of the lines they begin with. With ``every`` each link is a
@@ -335,12 +341,12 @@ def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     parts = C.shuffle_parts(spark)
     level = np.minimum(127, 4 * np.log2(1.0 + word_counts(docs, text))).astype(np.uint64)
-    own = lines(docs, text, doc_id, level)
+    own = lines(docs, text, doc_id, level, min_words)
     grouped = C.store(own.groupBy("sig").agg(F.min(F.struct("key", "line")).alias("first"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "prefix")]))
     # Stored at once, so the ids of this one sort are the ids for good.
     ordered = grouped.repartitionByRange(parts, "first").sortWithinPartitions("first")
     classes = C.store(ordered.withColumn("id", F.monotonically_increasing_id()))
-    postings = classes.select("id", "size", "s0", "s1", F.posexplode("prefix").alias("at", "word"))
+    postings = classes.where(F.col("size") >= _LEAST_JOINED).select("id", "size", "s0", "s1", F.posexplode("prefix").alias("at", "word"))
     hot = C.store(postings.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_GROUP).select("word", F.ceil(F.col("n") / LARGE_GROUP).alias("k")))
     # Under a hot word a tile is a pair of blocks (low, high), and a class is in the tiles of its block.
     tiles = F.expr("if(k is null, array(0L), transform(sequence(0L, k - 1), j -> shiftleft(least(side, j), 32) | greatest(side, j)))")
@@ -375,13 +381,13 @@ def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return classes, counts
 
 
-def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, lines, classes) of each document in which classes begin.
 
     ``lines`` are those that stay although they take part; ``classes`` has the id and the
     number of links of each class that begins in the document, in the order of the lines.
     """
-    classes, counts = similar_classes(docs, text, doc_id)
+    classes, counts = similar_classes(docs, text, doc_id, min_words=min_words)
     judged = classes.join(counts, "id", "left").select(
         "first.key", F.struct(F.col("first.line"), F.col("sig").alias("id"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("earlier", F.lit(0)) == 0).alias("stays")).alias("c")
     )
@@ -389,12 +395,12 @@ def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return own.select("key", F.expr("transform(filter(c, x -> x.stays), x -> x.line)").alias("lines"), F.expr("transform(c, x -> struct(x.id as id, x.n as n))").alias("classes"))
 
 
-def cut_lines(text: str, kept: list[int]) -> tuple[str, int, int]:
+def cut_lines(text: str, kept: list[int], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
     """The text without lines that take part and are not kept; how many took part and went."""
     keep, out, taking, gone = set(kept), [], 0, 0
     for n, line in enumerate(text.split("\n")):
         words = line.encode().lower().split()
-        if len(words) >= MIN_WORDS and len(set(words)) >= MIN_WORDS:
+        if len(words) >= min_words and len(set(words)) >= min_words:
             taking += 1
             if n not in keep:
                 gone += 1
@@ -403,36 +409,39 @@ def cut_lines(text: str, kept: list[int]) -> tuple[str, int, int]:
     return "\n".join(out), taking, gone
 
 
-def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts, taking, gone, sha = [], [], [], []
-    for text, kept in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-        left, n, m = cut_lines(text or "", kept or [])
-        texts.append(None if text is None else left)
-        taking.append(n)
-        gone.append(m)
-        sha.append(hashlib.sha256(left.encode()).hexdigest())
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(texts, pa.string()), pa.array(taking, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), batch.column(3)],
-        ["rest", "text", "n_lines", "n_removed", "kept_sha256", "classes"],
-    )
+def _cut(min_words: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, taking, gone, sha = [], [], [], []
+        for text, kept in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            left, n, m = cut_lines(text or "", kept or [], min_words)
+            texts.append(None if text is None else left)
+            taking.append(n)
+            gone.append(m)
+            sha.append(hashlib.sha256(left.encode()).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(texts, pa.string()), pa.array(taking, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), batch.column(3)],
+            ["rest", "text", "n_lines", "n_removed", "kept_sha256", "classes"],
+        )
+
+    return work
 
 
-def without_similar_lines(docs: DataFrame, rest: F.Column, rest_type: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def without_similar_lines(docs: DataFrame, rest: F.Column, rest_type: str, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(rest, text, n_lines, n_removed, kept_sha256, classes); ``rest`` is carried along."""
-    kept = C.store(kept_lines(docs, text, doc_id).select(_plain("key").alias("__k"), F.col("lines").alias("__lines"), F.col("classes").alias("__classes")))
+    kept = C.store(kept_lines(docs, text, doc_id, min_words).select(_plain("key").alias("__k"), F.col("lines").alias("__lines"), F.col("classes").alias("__classes")))
     rows = docs.select(rest.alias("__rest"), F.col(text).alias("__text"), _plain_of(doc_id, text).alias("__k"))
     joined = rows.join(kept, "__k", "left")
     schema = f"rest {rest_type}, text string, n_lines long, n_removed long, kept_sha256 string, classes array<struct<id: binary, n: long>>"
-    return C.map_batches(joined, ["__rest", "__text", "__lines", "__classes"], "__text", schema, _cut)
+    return C.map_batches(joined, ["__rest", "__text", "__lines", "__classes"], "__text", schema, _cut(min_words))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines (that take part), n_removed, classes and links, and kept_sha256 of each document.
 
     A class counts for the document that it begins in: class_ids and class_links have the
     classes' ids and numbers of links in the order of the lines, n_links is their sum.
     """
-    out = without_similar_lines(docs, F.col("doc_id"), "long").withColumn("classes", F.expr("coalesce(classes, array())"))
+    out = without_similar_lines(docs, F.col("doc_id"), "long", min_words=min_words).withColumn("classes", F.expr("coalesce(classes, array())"))
     return out.select(
         F.col("rest").alias("doc_id"), "n_lines", "n_removed",
         F.expr("aggregate(classes, 0L, (s, c) -> s + c.n)").alias("n_links"),
@@ -442,15 +451,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def cut_documents(docs: DataFrame) -> DataFrame:
+def cut_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without the lines that go; n_chars, where there is one, follows the text."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     kind = ", ".join(f"c{i}: {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    out = without_similar_lines(docs, rest, f"struct<{kind}>")
+    out = without_similar_lines(docs, rest, f"struct<{kind}>", min_words=min_words)
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
     return out.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(C.table(spark, sf_dir, "documents"))
+    return dedup_lines(C.table(spark, sf_dir, "documents"), ANY_LINE)

@@ -106,3 +106,12 @@ def test_classes_report_all_their_links(spark, monkeypatch, large, dense):
     assert len({i for r in got for i in r.class_ids}) == len(firsts)
     _, links = L.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), every=True)
     assert links.distinct().count() == links.count() == sum(map(sum, want.values())) // 2 > 800
+
+
+def test_short_lines_take_part(spark, tmp_path):
+    texts = ["All rights reserved\nShare\n\na b c d", "ALL rights reserved reserved\nshare it\na b c d e", "a a a a a a\nShare\n \na b c", "A"]
+    want = [(3, 0, texts[0]), (3, 2, "share it"), (3, 1, "a a a a a a\n \na b c"), (1, 1, "")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in L.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (n, m, hashlib.sha256(t.encode()).hexdigest()) for i, (n, m, t) in enumerate(want)}
