@@ -7,10 +7,12 @@ Grammar of the rendered text, one turn after the other:
     close  = "[/INST]" | "<</SYS>>" | "</s>" | "[/ROLE]"
 
 User turns use the first open and close, system turns the second, assistant turns the third
-and all other roles the fourth. Content ends at the first SPACE close of its own kind. Each
-turn is rendered as it is, read back with the parser and compared with its source; where
-that differs, the turn is marked ESCAPED, every control string in it gets an escape sign in
-front (and every escape sign another one), and it is read back again until it is identical.
+and all other roles the fourth. Content ends at the first SPACE close of its own kind. A
+turn whose text contains any control string, of whatever kind, is marked ESCAPED: every
+control string in it gets an escape sign in front (and every escape sign another one), so no
+control string of a text is live. All other turns are rendered as they are. Each turn is
+read back with the parser and compared with its source; one that differs is escaped too, and
+read back again until it is identical.
 
 A turn is self-delimiting, so rendering needs no grouping: one piece a turn, in the order of
 turns. Reading back goes through the pieces sorted by conversation as one stream and keeps a
@@ -86,8 +88,9 @@ def _render(role: str, text: str, escaped: bool) -> str:
 
 
 def format_turn(role: str, text: str) -> str:
-    """The turn as it is if it reads back the same, else escaped."""
-    for escaped in (False, True):
+    """The turn as it is if it has no control string and reads back the same, else escaped."""
+    live = any(control in text for control in CONTROLS)
+    for escaped in (True,) if live else (False, True):
         piece = _render(role, text, escaped)
         try:
             if parse(piece)[:2] == (role, text) and parse(piece)[3] == len(piece):
