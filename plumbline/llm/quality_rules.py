@@ -3,7 +3,10 @@
 Every document becomes a vector of transformed statistics. For each group (language,
 source) the centre and scatter of the most concentrated three quarters of its documents
 are estimated by concentration steps (minimum covariance determinant); a document whose
-Mahalanobis distance from that centre is beyond a chi-square limit is rejected.
+Mahalanobis distance from that centre is beyond a chi-square limit is rejected. The scatter
+is the group's own, with the measurement noise of the document's statistics added: one
+character, symbol, line, window or word at its length, since most statistics of clean text
+are constant and a scatter of zero would reject every other value.
 
 A concentration step is one aggregation over all documents: distances are put into
 logarithmic bins, and count and moments are summed per (group, bin), partially before the
@@ -39,13 +42,12 @@ CORE_SHARE = 0.75
 STEPS = 6
 BINS = 512
 DIMENSIONS = ["length", "symbols", "lines", "repeats", "size"]
-#: Least scatter per dimension, in the units of the vector: most statistics of clean text
-#: are constant, and a scatter of zero would reject every other value.
-FLOOR = np.array([2.5, 0.7, 0.7, 0.9, 0.8])
 #: Squared distance beyond which a document goes: chi-square with five degrees of freedom
-#: at 1 - 1e-7, and the factor that makes the scatter of the inner 75 % consistent.
-LIMIT = 41.8
+#: at 0.999, and the factor that makes the scatter of the inner 75 % consistent.
+LIMIT = 20.52
 CONSISTENCY = 1.38
+#: Lengths that share their measurement noise: half octaves of the word count.
+LENGTHS = range(8, 41)
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -125,7 +127,8 @@ def vectors(stats: DataFrame) -> DataFrame:
     """Statistics of documents the base rules pass, as a vector of near-normal numbers.
 
     The mean word length of a short text varies more, so its distance from the group's
-    median is scaled by the root of the word count.
+    median is scaled by the root of the word count. The base rule bounds the share of
+    repeated words, so it is not put on a logarithmic scale.
     """
     passed = stats.where("NOT base_failed").withColumn("mean_length", F.col("word_chars") / F.col("n_words"))
     middle = passed.groupBy("grp").agg(F.percentile_approx("mean_length", 0.5, 1000).alias("middle"))
@@ -135,24 +138,28 @@ def vectors(stats: DataFrame) -> DataFrame:
         ((F.col("mean_length") - F.col("middle")) * F.sqrt("n_words")).alias("length"),
         _rate("n_symbols").alias("symbols"),
         _rate("n_dup_lines").alias("lines"),
-        _rate("n_repeat_words").alias("repeats"),
+        (100 * F.col("n_repeat_words") / F.col("n_words")).alias("repeats"),
         F.log("n_words").alias("size"),
     )
 
 
-def _inverse(scatter: np.ndarray) -> np.ndarray:
-    """Inverse of a scatter matrix that is at least FLOOR wide in every direction."""
-    scaled = scatter / np.outer(FLOOR, FLOOR)
-    values, axes = np.linalg.eigh(scaled)
-    return (axes / np.maximum(values, 1.0)) @ axes.T / np.outer(FLOOR, FLOOR)
+def noise(n_words: float) -> np.ndarray:
+    """What one character, symbol, line, window or word changes in the vector of a text this long."""
+    rate = lambda n: np.log1p(100 * n / n_words)
+    return np.array([n_words**-0.5, rate(1), rate(1), 100 * WINDOW / n_words, np.log1p(1 / n_words)])
+
+
+def _inverses(scatter: np.ndarray) -> list[list[float]]:
+    """Inverse of a scatter matrix with the measurement noise added, for each of LENGTHS."""
+    return [np.linalg.inv(scatter + np.diag(noise(2 ** ((k + 0.5) / 2)) ** 2)).ravel().tolist() for k in LENGTHS]
 
 
 _PAIRS = [(i, j) for i in range(len(DIMENSIONS)) for j in range(i, len(DIMENSIONS))]
-_PARAMS = "grp string, centre array<double>, inverse array<double>"
+_PARAMS = "grp string, centre array<double>, inverses array<array<double>>"
 
 
 def _params(group, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"grp": [group], "centre": [centre.tolist()], "inverse": [_inverse(scatter).ravel().tolist()]})
+    return pd.DataFrame({"grp": [group], "centre": [centre.tolist()], "inverses": [_inverses(scatter)]})
 
 
 def _start(vecs: DataFrame) -> DataFrame:
@@ -170,7 +177,10 @@ def distances(vecs: DataFrame, params: DataFrame) -> DataFrame:
     n = len(DIMENSIONS)
     off = [f"({d} - centre[{i}])" for i, d in enumerate(DIMENSIONS)]
     square = " + ".join(f"{1 if i == j else 2} * inverse[{n * i + j}] * {off[i]} * {off[j]}" for i, j in _PAIRS)
-    return spread_join(vecs, params, ["grp"], spread_by=["row_key"]).withColumn("d2", F.expr(square)).drop("centre", "inverse")
+    last = len(LENGTHS) - 1
+    length = F.greatest(F.lit(0), F.least(F.lit(last), (F.floor(2 * F.col("size") / np.log(2)) - LENGTHS[0]).cast("int")))
+    joined = spread_join(vecs, params, ["grp"], spread_by=["row_key"]).withColumn("inverse", F.col("inverses")[length])
+    return joined.withColumn("d2", F.expr(square)).drop("centre", "inverse", "inverses")
 
 
 def concentrate(vecs: DataFrame, params: DataFrame) -> DataFrame:

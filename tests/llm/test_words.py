@@ -58,6 +58,26 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert {r.doc_id for r in Q.keep_clean(frame.withColumn("k0", F.lit(1)).withColumn("bin", F.lit(2))).collect()} == kept
 
 
+def test_each_rate_rejects_in_a_tight_group(spark):
+    """Symbols, repeated lines and repeated windows that the base rules pass, one at a time."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(3000)]
+    draw = lambda n: list(rng.choice(words, n))
+    texts = [" ".join(draw(rng.integers(80, 300))) for _ in range(300)]
+    symbols = draw(200)
+    symbols[::5] = [w + "*" for w in symbols[::5]]
+    lines = "\n".join([" ".join(draw(160))] + ["again"] * 40)
+    window = draw(20)
+    far = [" ".join(symbols), lines, " ".join(draw(75) + window + draw(75) + window + draw(10))]
+    one = [" ".join(draw(150)) + "*", " ".join(draw(150)) + "\nx\nx"]
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts + one + far)], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in Q.quality_rules(frame).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert not any(rows[302 + i].kept for i in range(3))
+    assert all(rows[300 + i].kept for i in range(2))
+    assert sum(rows[i].kept for i in range(300)) >= 298
+
+
 def brute_hits(texts, items):
     windows, lengths = collections.defaultdict(set), set()
     for item_id, text in items:
