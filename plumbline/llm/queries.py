@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontaminate, extraction, line_dedup, packing, quality_rules, sharding, simhash, suffixes, warc
+from plumbline.llm import chat, decontaminate, exact, extraction, line_dedup, packing, quality_rules, sharding, simhash, suffixes, warc
 from plumbline.llm.common import Query
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,4 +42,5 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": Query(extraction.op8_extraction),
     "op9_sharding": Query(sharding.op9_sharding),
     "op10_quality_rules": Query(quality_rules.op10_quality_rules),
+    "op11_exact": Query(exact.op11_exact, exact.SQL),
 }
