@@ -194,13 +194,18 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def map_batches(
-    df: DataFrame, columns: list, text: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]
+    df: DataFrame,
+    columns: list,
+    text: str,
+    schema: str,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    limit: int = STEP_BYTES,
 ) -> DataFrame:
     """Run ``work`` over slices of bounded text size of the chosen columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, limit):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
