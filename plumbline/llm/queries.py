@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontaminate, exact, extraction, line_dedup, packing, quality_rules, resampling, sharding, simhash, suffixes, warc
+from plumbline.llm import alignment, chat, decontaminate, exact, extraction, line_dedup, packing, quality_rules, resampling, sharding, simhash, suffixes, warc
 from plumbline.llm.common import Query
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,5 +43,6 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": Query(sharding.op9_sharding),
     "op10_quality_rules": Query(quality_rules.op10_quality_rules),
     "op11_exact": Query(exact.op11_exact, exact.SQL),
+    "op12_alignment": Query(alignment.op12_alignment),
     "op13_resampling": Query(resampling.op13_resampling),
 }
