@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common as C
+from plumbline.operators.joins import spread_join
 
 SEED = 42
 SHINGLE = 3
@@ -219,12 +220,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-#: For whole documents: shingle length, least Jaccard similarity, candidate bins, and the
-#: radius of their fingerprints. At a similarity of 0.8 two fingerprints differ in 9.7 bits
-#: on average with a deviation of 2.9, and all bins disagree with a chance of 0.2 ** 8.
+#: For whole documents: shingle length, candidate bins, and the radius of their fingerprints.
+#: At a similarity of 0.8 two fingerprints differ in 9.7 bits on average with a deviation of
+#: 2.9 (12 and 3.1 for the shortest texts), and all bins disagree with a chance of 0.2 ** 8.
 DOC_SHINGLE = 5
 DOC_BINS = 8
-DOC_RADIUS = 20
+DOC_RADIUS = 24
+#: Rows and shingles of a block; a bucket is dealt to tasks as pairs of blocks.
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1 << 20
+#: Parts of the hash range whose shingles are counted, to bound what two sets can share.
+FOLDS = 256
 
 
 def shingle_hashes(text: bytes, length: int = DOC_SHINGLE) -> np.ndarray:
@@ -237,25 +243,30 @@ def shingle_hashes(text: bytes, length: int = DOC_SHINGLE) -> np.ndarray:
 
 
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    prints, bins = [], []
+    prints, sizes, bins = [], [], []
     for text in batch.column(1).cast(pa.binary()):
         hashes = shingle_hashes(text.as_py() or b"")
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         prints.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(">i8")[0]))
+        sizes.append(len(hashes))
         # Hashes are sorted: the first one at or after each bin's begin is the bin's smallest.
         at = np.searchsorted(hashes, np.arange(DOC_BINS, dtype=np.uint64) << np.uint64(64 - DOC_BINS.bit_length() + 1))
         bins.append(hashes[np.minimum(at, len(hashes) - 1)].view(np.int64).tolist())
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(prints, pa.int64()), pa.array(bins, pa.list_(pa.int64()))], ["id", "fp", "bins"]
-    )
+    columns = [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "fp", "size", "bins"])
+
 
+def _shingle_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = [shingle_hashes(t.as_py() or b"").tobytes() for t in batch.column(1).cast(pa.binary())]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-def _each_bucket(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole buckets, as many as a batch ends; rows come sorted by bucket."""
+
+def _whole_tiles(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole tiles, as many as a batch ends; rows come sorted by tile."""
     rest: list[pd.DataFrame] = []
     for batch in rows:
-        last = batch["bucket"] == batch["bucket"].iloc[-1]
-        if rest and batch["bucket"].iloc[0] != rest[-1]["bucket"].iloc[-1] or rest and not last.all():
+        last = batch["tile"] == batch["tile"].iloc[-1]
+        if rest and batch["tile"].iloc[0] != rest[-1]["tile"].iloc[-1] or rest and not last.all():
             yield pd.concat([*rest, batch[~last]], ignore_index=True)
             rest = [batch[last]]
         elif not rest and not last.all():
@@ -267,52 +278,79 @@ def _each_bucket(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(rest, ignore_index=True)
 
 
-def _with_middle(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row with its bucket's middle: the row nearest to the bits that most rows have."""
-    for part in _each_bucket(rows):
-        bits = np.unpackbits(part["fp"].to_numpy(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], part["bucket"].to_numpy()[1:] != part["bucket"].to_numpy()[:-1]]))
-        many = np.diff(np.append(first, len(part)))
+class _Tiles:
+    """Groups of similar rows inside tiles, and the verified links that made them."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.tile = part["tile"].to_numpy(np.int64)
+        self.prints = part["fp"].to_numpy(np.int64)
+        self.sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        row = np.repeat(np.arange(len(part)), self.size)
+        fold = (np.concatenate(self.sets) >> np.uint64(56)).astype(np.int64)
+        self.folds = np.bincount(row * FOLDS + fold, minlength=len(part) * FOLDS).reshape(-1, FOLDS).astype(np.int32)
+        self.group = np.arange(len(part))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.group[x] != x:
+            self.group[x] = x = self.group[self.group[x]]
+        return x
+
+    def similar(self, x: int, y: int) -> bool:
+        """Whether two sets have a Jaccard similarity of 0.8 or more."""
+        one, other = sorted((self.sets[x], self.sets[y]), key=len)
+        at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+        shared = int((other[at] == one).sum())
+        return 5 * shared >= 4 * (len(one) + len(other) - shared)
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Verify the pairs of rows that are not in one group yet."""
+        for at in range(0, len(x), 4096):
+            u, v = x[at : at + 4096], y[at : at + 4096]
+            most = np.minimum(self.folds[u], self.folds[v]).sum(axis=1)  # they share no more than this
+            able = 5 * most >= 4 * (self.size[u] + self.size[v] - most)
+            for i, j in zip(u[able].tolist(), v[able].tolist(), strict=True):
+                a, b = self.root(i), self.root(j)
+                if a != b and self.similar(i, j):
+                    self.group[max(a, b)] = min(a, b)
+                    self.links.append((i, j))
+
+    def with_middle(self) -> None:
+        """Each row with the row of its tile that is nearest to the bits most rows have."""
+        n = len(self.tile)
+        bits = np.unpackbits(self.prints.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], self.tile[1:] != self.tile[:-1]]))
+        many = np.diff(np.append(first, n))
         most = np.repeat(2 * np.add.reduceat(bits, first) > many[:, None], many, axis=0)
-        away = (bits != most).sum(axis=1)
-        order = np.lexsort((np.arange(len(part)), away, np.repeat(np.arange(len(first)), many)))
+        order = np.lexsort((np.arange(n), (bits != most).sum(axis=1), np.repeat(np.arange(len(first)), many)))
         middle = np.repeat(order[first], many)
-        ids = part["id"].to_numpy()
-        near = ((bits != bits[middle]).sum(axis=1) <= DOC_RADIUS) & (middle != np.arange(len(part)))
-        yield pd.DataFrame({"a": ids[near], "b": ids[middle[near]]})
-
-
-def _across(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Close pairs of a bucket that are not in one group yet."""
-    for part in _each_bucket(rows):
-        bucket, group, ids = (part[c].to_numpy() for c in ("bucket", "grp", "id"))
-        planes = _planes(part["fp"].to_numpy(np.int64))
-        _, number = np.unique(group, return_inverse=True)
-        n, j = len(part), 1
-        while True:
-            same = bucket[:-j] == bucket[j:]
-            if not same.any():
-                break
-            at = close_pairs(planes, j, np.pad(same & (number[:-j] != number[j:]), (0, j)), DOC_RADIUS)
-            yield pd.DataFrame({"a": ids[at], "b": ids[at + j]})
+        near = np.flatnonzero(((bits != bits[middle]).sum(axis=1) <= DOC_RADIUS) & (middle != np.arange(n)))
+        self.link(near, middle[near])
+
+    def with_all(self) -> None:
+        """The bit-sliced comparison of all rows that are still in different groups."""
+        planes, n, j = _planes(self.prints), len(self.tile), 1
+        groups = np.array([self.root(i) for i in range(n)])
+        while j < n and (same := self.tile[:-j] == self.tile[j:]).any():
+            wanted = same & (groups[:-j] != groups[j:])
+            if wanted.any():
+                at = close_pairs(planes, j, np.pad(wanted, (0, j)), DOC_RADIUS)
+                before = len(self.links)
+                self.link(at, at + j)
+                if len(self.links) > before:
+                    groups = np.array([self.root(i) for i in range(n)])
             j += 1
-            if j >= n:
-                break
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    pairs = C.store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t.as_py() or b"").view(np.int64).tolist() for t in batch.column(1).cast(pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    sets = C.store(C.map_batches(docs.join(used, "id"), ["id", "text"], "text", "id binary, shingles array<long>", work))
-    x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(n)) for i, n in (("a", "x"), ("b", "y")))
-    shared = F.size(F.array_intersect("x", "y"))
-    return C.store(pairs.join(x, "a").join(y, "b").where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+def _compare_tiles(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verified links of each tile, a forest of them: fewer than the tile has rows."""
+    for part in _whole_tiles(rows):
+        tiles, ids = _Tiles(part), part["id"].to_numpy()
+        tiles.with_middle()
+        tiles.with_all()
+        a, b = (np.array([link[i] for link in tiles.links], np.int64) for i in (0, 1))
+        yield pd.DataFrame({"a": ids[a], "b": ids[b]})
 
 
 def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -320,27 +358,27 @@ def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Five-word shingles at a Jaccard similarity of 0.8 or more. Texts are taken once for all
     their rows. They meet in buckets by the smallest shingle hash of each of DOC_BINS parts
-    of the hash range, where fingerprints are compared; what is close is verified on whole
-    shingle sets. First each text is compared with the middle of its bucket, which settles
-    most of a large group of copies with one pair a text; then the bit-sliced comparison
-    finds all close pairs that are still in different groups.
+    of the hash range. A bucket is cut into blocks of bounded rows and shingles, and each pair
+    of blocks is a tile of its own, so a large bucket is spread over tasks. In a tile, rows are
+    first compared with its middle, which settles most of a large group of copies with one
+    pair a row; the bit-sliced comparison then finds all close fingerprints among rows that
+    are still apart. Every pair is verified on whole shingle sets where it is found, and a
+    tile passes on a forest of verified links, never its pairs.
     """
-    texts = C.store(docs.select(C.digest_of(F.col(text)).alias("id"), F.col(text).alias("text")).groupBy("id").agg(F.first("text").alias("text")))
-    sketches = C.store(C.map_batches(texts, ["id", "text"], "text", "id binary, fp long, bins array<long>", _sketch))
-    buckets = sketches.select("id", "fp", F.explode(F.array_distinct("bins")).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = C.store(buckets.join(shared, "bucket"))
     parts = C.shuffle_parts(docs.sparkSession)
-
-    def compared(rows: DataFrame, columns: list[str], work) -> DataFrame:
-        dealt = rows.select(*columns).repartition(parts, "bucket").sortWithinPartitions("bucket", "fp", "id")
-        return dealt.mapInPandas(work, "a binary, b binary")
-
-    links = _verified(texts, compared(buckets, ["bucket", "fp", "id"], _with_middle))
-    groups = C.components(links)
-    grouped = buckets.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("root", "id"))
-    more = _verified(texts, compared(grouped, ["bucket", "fp", "id", "grp"], _across))
-    return C.components(links.unionAll(more)).select(F.col("node").alias("id"), "root")
+    texts = C.store(docs.select(C.digest_of(F.col(text)).alias("id"), F.col(text).alias("text")).groupBy("id").agg(F.first("text").alias("text")))
+    sketches = C.store(C.map_batches(texts, ["id", "text"], "text", "id binary, fp long, size long, bins array<long>", _sketch))
+    buckets = sketches.select("id", "fp", "size", F.explode(F.array_distinct("bins")).alias("bucket"))
+    count = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), count.alias("blocks")).where("n > 1").select("bucket", "blocks")
+    rows = spread_join(buckets, shared, ["bucket"], spread_by=["id"])
+    rows = C.store(rows.withColumn("block", F.expr("pmod(xxhash64(id, bucket), blocks)")).drop("size"))
+    sets = C.map_batches(texts.join(rows.select("id").distinct(), "id", "left_semi"), ["id", "text"], "text", "id binary, shingles binary", _shingle_sets)
+    tile = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = rows.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("id", "fp", tile.alias("tile"))
+    dealt = dealt.join(C.store(sets), "id").repartition(parts, "tile").sortWithinPartitions("tile", "fp", "id")
+    links = dealt.select("tile", "id", "fp", "shingles").mapInPandas(_compare_tiles, "a binary, b binary")
+    return C.components(C.store(links)).select(F.col("node").alias("id"), "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
@@ -170,7 +171,9 @@ def test_simhash(docs, no_docs):
     assert S.near_duplicates(no_docs).count() == 0
 
 
-def test_keep_one(spark, docs, no_docs):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_keep_one(spark, docs, no_docs, block, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", block)
     rng = np.random.default_rng(5)
     base = [["w%d" % n for n in rng.integers(0, 5000, rng.integers(30, 200))] for _ in range(12)]
     made = []
@@ -215,3 +218,30 @@ def test_dense_and_large_buckets(spark, monkeypatch):
         for p in prints:
             got[root.get(p, p)].add(p)
         assert {frozenset(g) for g in got.values()} == want
+
+
+def test_a_bucket_of_thousands_of_near_copies(spark):
+    """Variants of one text in one bucket: tiles find the groups of the brute-force comparison."""
+    rng = np.random.default_rng(9)
+    base = ["w%d" % n for n in range(60)]
+    made = []
+    for i in range(5000):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            words[at] = "x%d" % rng.integers(0, 99999)
+        made.append((i, " ".join(words)))
+    sets = [S.shingle_hashes(t.encode()) for _, t in made]
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    holds = np.zeros((len(sets), code.max() + 1), np.float32)
+    holds[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), code] = 1
+    size, label = holds.sum(axis=1), np.arange(len(sets))
+    shared = np.concatenate([holds[i : i + 500] @ holds.T for i in range(0, len(sets), 500)])
+    near = 5 * shared >= 4 * (size[:, None] + size[None, :] - shared)
+    while True:
+        low = np.array([label[n].min() for n in near])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    kept = S.keep_one(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.tolist()))
