@@ -26,7 +26,9 @@ gives no rows. Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -75,7 +77,18 @@ class Vocabulary:
         return self.data[at + np.arange(len(at))]
 
 
+#: Fixed value: how byte-level tokenizers cut a text into words.
+BYTE_LEVEL_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+#: White space on which the encoder by rank would run out of stack; such texts take the file's own.
+LONG_SPACE = re.compile(r"\s{2048}")
+
+
 class ByteLevel(Vocabulary):
+    """A byte-level file. Where its merges are numbered as they are ordered, a text is encoded
+    by rank, which gives the same ids in a quarter of the time; otherwise as the file says."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -87,9 +100,33 @@ class ByteLevel(Vocabulary):
         for name, i in names.items():
             pieces[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         super().__init__(pieces)
+        self.by_rank = self._by_rank(json.loads(self.tokenizer.to_str()), names, pieces)
+
+    @staticmethod
+    def _by_rank(file: dict, names: dict[str, int], pieces: list[bytes]):
+        """An encoder by rank, or None if the file could mean something else."""
+        import tiktoken
+
+        model, words = file["model"], file["pre_tokenizer"] or {}
+        merged = [names["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        plain = not file["normalizer"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        cut = words.get("type") == "ByteLevel" and words.get("use_regex", True)
+        special = {t["id"] for t in file["added_tokens"]}
+        ranks = {p: i for i, p in enumerate(pieces) if i not in special and p}
+        singles = {i for p, i in ranks.items() if len(p) == 1}
+        whole = len(singles) == 256 and set(ranks.values()) == singles | set(merged)
+        if plain and cut and whole and merged == sorted(merged) and max(singles) < min(merged):
+            return tiktoken.Encoding("by-rank", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+        return None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        by_rank, plain = self.by_rank, self.tokenizer
+        if by_rank is None:
+            return [e.ids for e in plain.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [
+            plain.encode(" " + t, add_special_tokens=False).ids if LONG_SPACE.search(t) else by_rank.encode_ordinary(" " + t)
+            for t in texts
+        ]
 
 
 class Pieces(Vocabulary):

@@ -93,3 +93,11 @@ def test_joined_tokens_give_back_the_text(spark, vocabs):
             assert ends[-1] == len(text.encode()) + 1
         assert r.cuts == sorted(set(r.a_ends) & set(r.b_ends))
         assert len(r.link_a) == len(r.link_b) >= max(len(r.a_ids), len(r.b_ids))
+
+
+def test_ranks_give_the_ids_of_the_file(docs, vocabs):
+    assert vocabs[0].by_rank is not None
+    texts = [r.text for r in docs.select("text").collect() if r.text] + [t for t in TEXTS if t]
+    texts += [" " * 500_000, "\n" * 300_000 + "x", "9" * 5000, "it's we'LL don't", "\u00a0\u2003 \t\r\n", "e\u0301" * 50, "\ud7ff\ue000\ufffd"]
+    want = [e.ids for e in vocabs[0].tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert vocabs[0].encode(texts) == want
