@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans import crossfile as X
 from plumbline.plans import detect as D
+from plumbline.operators import scopes as S
 from plumbline.plans import patterns as P
+from plumbline.plans import scoped
 from plumbline.session import cut_lineage
+from plumbline.workloads import enclosing as E
 from plumbline.workloads import seed
 from plumbline.workloads.common import Query
 from plumbline.workloads.detection import flag_sql, helpers_sql, q, rx
@@ -38,6 +41,14 @@ def own(extractor):
     return run([extractor], lambda facts, flags: X.own_findings(facts, flags))
 
 
+def within(*rules):
+    return lambda: scoped.scoped_facts(*rules)
+
+
+def scoped_own(rule):
+    return own(within(rule))
+
+
 def pos(text: str, pattern: str) -> str:
     """1-based start of the first match, 0 when absent."""
     lead = q("^([\\s\\S]*?)(?:" + pattern.replace("(?i)", "(?i:", 1) + (")" if pattern.startswith("(?i)") else "") + ")")
@@ -65,14 +76,6 @@ TSJS = rx("path", r"\.(ts|js|mjs)$")
 CODE = rx("path", P.CODE)
 ROUTE = rx("path", r"(^|/)app/.*/route\.(ts|js)$|(^|/)pages/api/.*\.(ts|js)$")
 MODULE = "regexp_replace(split_part(path, '/', -1), '[.][^.]+$', '')"
-BODY_SQL = """
-bd AS (SELECT l.*, (SELECT string_agg(x.text, chr(10) ORDER BY x.line_no) FROM cl x WHERE x.project = l.project AND x.path = l.path
-        AND x.line_no >= coalesce(l.head, 1) AND x.line_no < coalesce(l.nxt, 1000000)) AS body
-  FROM (SELECT *, max(CASE WHEN {head} THEN line_no END) OVER (PARTITION BY project, path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head,
-               min(CASE WHEN {head} THEN line_no END) OVER (PARTITION BY project, path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
-        FROM cl WHERE NOT is_test) l WHERE {gate})
-"""
-
 PERMISSION = f"""{BASE}, s AS (SELECT project, path, clean, list_filter(string_split(clean, 'export async function ')[2:],
    lambda b: regexp_matches(b, '^(POST|PATCH|PUT|DELETE)') AND {pos('b', X.VALIDATES)} > 0 AND {pos('b', X.AUTHORISES)} > {pos('b', X.VALIDATES)}) AS late
    FROM files WHERE NOT is_test AND {ROUTE}),
@@ -91,11 +94,7 @@ g AS (SELECT project, path, tb, bool_or(contains(upper(ev), 'UPDATE')) AS u, boo
 r AS (SELECT project, path, 1 AS line, string_agg(tb, ', ' ORDER BY tb) AS snippet FROM g WHERE u AND NOT dl GROUP BY ALL)
 {finding()}"""
 
-REVOKE = f"""{BASE}, s AS (SELECT project, path, clean, unnest(string_split_regex(clean, 'export (?:async )?function ')[2:]) AS b FROM files
-   WHERE NOT is_test AND {TSJS} AND regexp_matches(clean, '(?i)session|oturum')),
-r AS (SELECT project, path, trim(split_part(b, '(', 1)) AS snippet,
-      {lines_before('clean', "strpos(clean, regexp_extract(clean, 'export (?:async )?function ' || trim(split_part(b, '(', 1))))")} AS line
-      FROM s WHERE {rx('b', X.REVOKES)} AND NOT {rx('substr(b, 1, 2500)', X.ENDS_SESSION)})
+REVOKE = f"""{BASE}, {E.revoke_sql()}
 {finding()}"""
 
 VALUE = f"regexp_extract(text, {q(X.ASSIGNED)}, 1)"
@@ -115,17 +114,9 @@ r AS (SELECT project, path, {lines_before('clean', pos_of_part('p', 'v', 'i'))}
    WHERE NOT regexp_matches(v[i], '(?i)\\bintegrity\\s*=') AND NOT regexp_matches(v[i], '(?i)https?://(localhost|127[.]0[.]0[.]1|0[.]0[.]0[.]0)'))
 {finding(severity="'medium'")}"""
 
-_SRC = "regexp_matches(path, '[.](py|js|ts|tsx|jsx|mjs|cjs|rb|go)$') AND NOT regexp_matches(path, '(test|spec|conftest|fixtures?)')"
-UPSERT = f"""{BASE}, {BODY_SQL.format(head=rx('text', X.HEAD), gate=f"{_SRC} AND ({rx('text', X.INSERT)} OR {rx('text', X.FIND)})")},
-k AS (SELECT *, regexp_extract(text, {q(X.INSERT)}, 1) AS t, regexp_extract(text, {q(X.FIND)}, 1) AS a FROM bd),
-r AS (SELECT project, path, line_no AS line, 'INSERT INTO ' || t AS snippet FROM k WHERE t <> ''
-   AND NOT regexp_matches(body, '(?i)ON ?CONFLICT|ON ?DUPLICATE ?KEY|except[^:]*IntegrityError')
-   AND regexp_matches(body, '(?i)SELECT[^;]{{1,200}}FROM +["`]?' || t || '\\b[^;]{{0,160}}\\bWHERE\\b')
-   AND regexp_matches(body, '(?i)UPDATE +["`]?' || t || '\\b[^;]{{0,80}}\\bSET\\b')
-   UNION ALL
-   SELECT project, path, line_no, text FROM k WHERE a <> '' AND regexp_matches(body, '\\bif\\s*[(]')
-   AND NOT regexp_matches(body, '[.]' || a || '\\s*[.]\\s*upsert\\s*[(]') AND NOT regexp_matches(body, '[$]\\s*transaction\\s*[(]')
-   AND regexp_matches(body, '[.]' || a || '\\s*[.]\\s*(create|update)\\s*[(]'))
+PARSE = f"""{BASE}, {E.parse_sql()}
+{finding(severity="'low'")}"""
+UPSERT = f"""{BASE}, {E.upsert_sql()}
 {finding(severity="'low'")}"""
 
 
@@ -288,40 +279,24 @@ _IMPORTS = f"""im AS (SELECT DISTINCT project, path, regexp_replace(split_part(m
    (SELECT project, path, unnest(regexp_extract_all(clean, {q(X.IMPORT)}, 1)) AS m FROM files WHERE {CODE})
    UNION SELECT DISTINCT project, path, split_part(m, '.', -1), m FROM (SELECT project, path, unnest(regexp_extract_all(clean, {q(X.PY_IMPORT)}, 1)) AS m FROM files WHERE regexp_matches(path, '[.]py$')))"""
 ACTIONS = f"""{BASE}, {helpers_sql()}, {_IMPORTS},
-gt AS (SELECT DISTINCT project, path FROM calling WHERE spec = 'identity'),
-a0 AS (SELECT project, path, clean, regexp_extract_all(clean, {q(X.EXPORTED)}) AS v, string_split_regex(clean, {q(X.EXPORTED)}) AS p FROM files
-   WHERE NOT is_test AND regexp_matches(path, '[.](ts|tsx|js|jsx|mjs)$') AND {rx('clean', X.USE_SERVER)} AND {rx('clean', P.DB_ACCESS)} AND NOT {rx('path', X.PRE_AUTH_PATH)}),
-a1 AS (SELECT *, unnest(generate_series(1, len(v))) AS i FROM a0),
-a2 AS (SELECT project, path, clean, v[i] AS d, {pos_of_part('p', 'v', 'i')} AS pa FROM a1),
-r AS (SELECT project, path, {lines_before('clean', 'pa')} AS line, d AS snippet, CASE WHEN {rx('clean', X.BYPASS)} THEN 'high' ELSE 'medium' END AS severity FROM a2
-   WHERE NOT {rx("regexp_extract(d, '(?:function|const)\\s+(\\w+)', 1)", X.PRE_AUTH_NAME)} AND NOT {rx('substr(clean, pa, 1500)', X.ONE_TIME)}
-   AND NOT EXISTS (SELECT 1 FROM gt WHERE gt.project = a2.project AND gt.path = a2.path)
+gt AS (SELECT DISTINCT project, path FROM calling WHERE spec = 'identity'), {E.action_sql()},
+r AS (SELECT project, path, line, d AS snippet, CASE WHEN {rx('clean', scoped.BYPASS)} THEN 'high' ELSE 'medium' END AS severity FROM a2
+   WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.project = a2.project AND gt.path = a2.path)
    AND NOT EXISTS (SELECT 1 FROM im JOIN gt ON gt.project = im.project AND regexp_replace(split_part(gt.path, '/', -1), '[.][^.]+$', '') = im.k
                    WHERE im.project = a2.project AND im.path = a2.path AND regexp_matches(im.m, '^([.]|@/)')))
 {finding(severity='severity')}"""
 
-_FN = r"(?:export\s+)?(?:async\s+)?function\s+\w+"
-UNBOUND = f"""{BASE}, {helpers_sql()},
-u0 AS (SELECT project, path, clean, regexp_extract_all(clean, {q(_FN)}) AS v, string_split_regex(clean, {q(_FN)}) AS p FROM files
-   WHERE NOT is_test AND regexp_matches(path, '[.](ts|js|mjs|cjs)$') AND {rx('clean', X.BINDING)}),
-u1 AS (SELECT *, unnest(generate_series(1, len(v))) AS i FROM u0),
-u2 AS (SELECT project, path, clean, regexp_extract(v[i], 'function\\s+(\\w+)', 1) AS n, {pos_of_part('p', 'v', 'i')} AS pa FROM u1),
-u3 AS (SELECT *, substr(clean, pa, 2500) AS body FROM u2),
-u4 AS (SELECT *, {pos('body', X.BINDING)} AS b, regexp_extract(body, {q(X.BINDING)}) AS m FROM u3),
-r AS (SELECT u4.project, path, {lines_before('clean', 'pa + b - 1')} AS line, m AS snippet FROM u4 JOIN h3 h ON h.project = u4.project AND h.name = u4.n AND h.spec = 'identity'
-   WHERE b > 0 AND NOT {rx('body', X.REJECTED)} AND {rx('substr(body, CAST(b + length(m) AS BIGINT))', X.IDENTITY_OUT)}
-   QUALIFY row_number() OVER (PARTITION BY u4.project, path ORDER BY pa + b) = 1)
+UNBOUND = f"""{BASE}, {helpers_sql()}, {E.unbound_sql()},
+r AS (SELECT u.project, path, line, m AS snippet FROM u JOIN h3 h ON h.project = u.project AND h.name = u.n AND h.spec = 'identity'
+   QUALIFY row_number() OVER (PARTITION BY u.project, path ORDER BY line) = 1)
 {finding()}"""
 
-_KNOWN_FN = r"function\s+(?:has(?:Any|Some)\w*|any\w*Exists|\w*Exists|count\w*)\b"
 BROAD = f"""{BASE}, {flag_sql(['record_kinds'])},
 w AS (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY project, path ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 5 FOLLOWING) AS near FROM cl
    WHERE NOT is_test AND regexp_matches(path, '[.](ts|js|mjs|cjs)$')),
-b AS (SELECT *, regexp_extract(text, {q(X.BROAD)}, 1) AS fn FROM w WHERE {rx('text', X.BROAD)} AND NOT {rx('text', X.KIND_WORD)} AND NOT contains(text, 'function ')
+b AS (SELECT *, regexp_extract(text, {q(X.BROAD)}, 1) AS fn FROM w WHERE {rx('text', X.BROAD)} AND NOT {rx('text', scoped.KIND_WORD)} AND NOT contains(text, 'function ')
    AND ({rx('path', X.GATE_WORD)} OR {rx('near', X.GATE_WORD)})),
-k0 AS (SELECT project, clean, regexp_extract_all(clean, {q(_KNOWN_FN)}) AS v, string_split_regex(clean, {q(_KNOWN_FN)}) AS p FROM files WHERE NOT is_test AND regexp_matches(path, '[.](ts|js|mjs|cjs)$')),
-k1 AS (SELECT *, unnest(generate_series(1, len(v))) AS i FROM k0),
-k AS (SELECT DISTINCT project, regexp_extract(v[i], 'function\\s+(\\w+)', 1) AS fn FROM k1 WHERE {rx(f"substr(clean, {pos_of_part('p', 'v', 'i')}, 400)", X.KIND_WORD)}),
+{E.kind_sql()},
 r AS (SELECT project, path, line_no AS line, text AS snippet FROM b WHERE EXISTS (SELECT 1 FROM fl WHERE fl.project = b.project)
    AND NOT EXISTS (SELECT 1 FROM k WHERE k.project = b.project AND k.fn = b.fn) QUALIFY row_number() OVER (PARTITION BY project, path ORDER BY line_no) = 1)
 {finding()}"""
@@ -349,26 +324,27 @@ r AS (SELECT cl.project, cl.path, line_no AS line, text AS snippet FROM cl JOIN
    QUALIFY row_number() OVER (PARTITION BY cl.project, cl.path ORDER BY line_no) = 1)
 {finding(severity="'medium'")}"""
 
-PAID = f"""{BASE}, {_IMPORTS},
-l AS (SELECT *, {MODULE} AS md,
-   coalesce(max(CASE WHEN {rx('text', X.FN_LINE)} THEN line_no END) OVER (PARTITION BY project, path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head,
-   max(CASE WHEN {rx('text', P.LOOP)} THEN line_no END) OVER (PARTITION BY project, path ORDER BY line_no ROWS BETWEEN 40 PRECEDING AND CURRENT ROW) AS lp
-   FROM cl WHERE NOT is_test AND regexp_matches(path, '[.](py|js|ts|mjs|cjs|rb|go)$') AND NOT regexp_matches(path, '(test|spec|conftest|fixtures?)')),
-h AS (SELECT *, (SELECT string_agg(x.text, chr(10) ORDER BY x.line_no) FROM cl x WHERE x.project = l.project AND x.path = l.path
-        AND x.line_no BETWEEN greatest(l.lp - 7, 1) AND l.line_no + 7) AS win FROM l WHERE {rx('text', P.PAID_API)} AND lp > head),
-f AS (SELECT * FROM h WHERE NOT {rx('win', P.CAP)} QUALIFY row_number() OVER (PARTITION BY project, path ORDER BY line_no) = 1),
-r AS (SELECT project, path, line_no AS line, text AS snippet FROM f WHERE {rx('clean', X.ENTRY)}
+PAID = f"""{BASE}, {_IMPORTS}, {E.paid_sql()},
+r AS (SELECT project, path, line, lt AS snippet FROM f WHERE {rx('clean', scoped.ENTRY)}
    OR EXISTS (SELECT 1 FROM im WHERE im.project = f.project AND im.k = f.md AND NOT regexp_matches(im.path, '(?i)(test|spec|conftest|[.]md$)')))
 {finding(severity="'medium'")}"""
 
+
+def run_intervals(spark: SparkSession, d: str) -> DataFrame:
+    files = D.prepare(seed.seeded_files(spark, d)).where("not is_test and path rlike '[.](py|ts|tsx|js|jsx|mjs|cjs)$'")
+    return S.scopes(files.select("project", "path", "clean")).where("kind <> 'block'").select("project", "path", "kind", "start")
+
+
 QUERIES = {
     "rule_permission_after_validation": Query(own(X.permission_after_validation), PERMISSION),
     "rule_scan_after_write": Query(own(X.scan_after_write), SCAN),
     "rule_update_guard_without_delete": Query(own(X.update_guard_without_delete), GUARD),
-    "rule_session_revoke_missing": Query(own(X.session_revoke_missing), REVOKE),
+    "rule_session_revoke_missing": Query(scoped_own(scoped.session_revoke_missing), REVOKE),
     "rule_hardcoded_secret": Query(own(X.hardcoded_secret), SECRETS),
     "rule_external_script_no_sri": Query(own(X.external_script), SRI),
-    "rule_check_then_act_upsert": Query(own(X.check_then_act), UPSERT),
+    "rule_unguarded_json_parse": Query(scoped_own(scoped.unguarded_parse), PARSE),
+    "scope_intervals": Query(run_intervals, f"{BASE}, {E.interval_sql()}"),
+    "rule_check_then_act_upsert": Query(run([within(scoped.check_then_act)], lambda f, g: X.check_then_act_findings(f)), UPSERT),
     "rule_pii_in_repo": Query(own(X.pii_in_repo), PII_REPO),
     "rule_pii_in_logs": Query(own(X.pii_in_logs), logs_sql()),
     "rule_missing_rls": Query(run([X.tables], lambda f, g: X.missing_rls(f, g)), RLS),
@@ -391,15 +367,15 @@ QUERIES = {
         run([X.audience_pages], lambda f, g, h, c: X.page_api_divergence(f, h), helpers=True), DIVERGE
     ),
     "rule_server_action_auth_missing": Query(
-        run([X.server_actions, X.imports], lambda f, g, h, c: X.server_action_findings(f, c), helpers=True), ACTIONS
+        run([within(scoped.server_actions), X.imports], lambda f, g, h, c: X.server_action_findings(f, c), helpers=True), ACTIONS
     ),
     "rule_unbound_session_fallthrough": Query(
-        run([X.unbound_sessions], lambda f, g, h, c: X.unbound_findings(f, h), helpers=True), UNBOUND
+        run([within(scoped.unbound_sessions)], lambda f, g, h, c: X.unbound_findings(f, h), helpers=True), UNBOUND
     ),
-    "rule_gate_condition_too_broad": Query(run([X.broad_gates], lambda f, g: X.broad_gate_findings(f, g)), BROAD),
+    "rule_gate_condition_too_broad": Query(run([X.broad_gates, within(scoped.kind_aware)], lambda f, g: X.broad_gate_findings(f, g)), BROAD),
     "rule_path_traversal": Query(run([X.file_paths, X.imports], lambda f, g: X.path_traversal(f)), TRAVERSAL),
     "rule_inmemory_ratelimit": Query(
         run([X.memory_limiters, X.imports], lambda f, g: X.memory_limiter_findings(f, g)), MEMORY
     ),
-    "rule_unbounded_paid_loop": Query(run([X.paid_loops, X.imports], lambda f, g: X.paid_loop_findings(f)), PAID),
+    "rule_unbounded_paid_loop": Query(run([within(scoped.paid_loops), X.imports], lambda f, g: X.paid_loop_findings(f)), PAID),
 }

@@ -43,6 +43,11 @@ def ok(rule, *files, tracked=True):
 SK = "sk_" + "live_"
 HEX40 = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
 
+def steps(n: int, line: str) -> str:
+    """Many lines of plain code, longer than any fixed window."""
+    return "".join(line.format(i=i) + "\n" for i in range(n))
+
+
 SEEDS: list[Seed] = [
     *bad("a01-client-controlled-entitlement", ("src/lib/{id}tenant.ts", "export async function save(req) {\n  const body = await req.json();\n  await orm.tenant.update({\n    plan: body.plan,\n  });\n}")),
     *bad("a01-client-controlled-entitlement", ("src/lib/{id}member.ts", "export async function join(req) {\n  const wanted = req.body.role;\n  await orm.member.create({\n    role: wanted,\n  });\n}")),
@@ -228,6 +233,19 @@ SEEDS: list[Seed] = [
     *bad("a07-weak-random-token", ("src/lib/{id}nonce.ts", "export function start() {\n  const loginNonce = Math.random();\n  return loginNonce;\n}")),
     *ok("a07-weak-random-token", ("src/lib/{id}times.ts", "export function start() {\n  const resetTime = Date.now();\n  return resetTime;\n}")),
     *bad("a01-mass-assignment", ("src/lib/{id}model.ts", "export async function add(req) {\n  return new UserModel(req.body);\n}")),
+    # Scopes that reach further than a window of lines or characters.
+    *bad("a04-unguarded-json-parse", ("app/{id}read.py", "import json\n\ndef read(x):\n    try:\n        g(x)\n    except ValueError:\n        h(x)\n    return json.loads(x)")),
+    *bad("a04-unguarded-json-parse", ("src/server/{id}each.ts", "export function each(rows) {\n  try {\n    rows.forEach((row) => {\n      use(JSON.parse(row));\n    });\n  } catch (e) {\n    return null;\n  }\n}")),
+    *ok("a04-unguarded-json-parse", ("app/{id}read2.py", "import json\n\ndef read(x):\n    try:\n" + steps(50, "        x = step{i}(x)") + "        return json.loads(x)\n    except ValueError:\n        return None")),
+    *ok("a04-unguarded-json-parse", ("src/server/{id}late.ts", "export function late(row) {\n  try {\n" + steps(50, "    row = step{i}(row);") + "    return JSON.parse(row);\n  } catch (e) {\n    return null;\n  }\n}")),
+    *ok("int-session-revoke-missing", ("src/lib/{id}accounts3.ts", "export async function suspendMember(user) {\n" + steps(120, "  await store.write{i}(user, 'row');") + "  await invalidateSessions(user);\n}")),
+    *bad("int-session-revoke-missing", ("src/lib/{id}accounts4.ts", "export async function suspendMember(user) {\n  await store.close(user);\n  helper();\n}\nexport async function other(user) {\n  await revokeAllSessions(user);\n}")),
+    *ok("a01-server-action-auth-missing", ("src/app/{id}once/actions.ts", '"use server";\nexport async function useLink(id) {\n' + steps(60, "  await note.step{i}(id, 'seen');") + "  if (row.expires_at < now) return;\n  await prisma.item.delete({ where: { id } });\n}")),
+    *bad("int-unbound-session-fallthrough", ("src/lib/{id}who3.ts", "export async function resolveOwner(req) {\n  const s = await readCookie(cookies());\n" + steps(90, "  trace.mark{i}(req, 'entered');") + "  if (s?.subjectKind === 'staff') return loadStaff(s);\n  return { id: 1, role: 'owner' };\n}")),
+    *bad("a04-check-then-act-upsert", ("app/{id}upsert3.py", "def save(con, k):\n    row = con.execute('SELECT v FROM stock WHERE k = ?', (k,))\n" + steps(30, "    k = step{i}(k)") + "    def write():\n        return k\n    con.execute('UPDATE stock SET v = 1 WHERE k = ?', (k,))\n    con.execute('INSERT INTO stock VALUES (?, 1)', (k,))")),
+    *ok("a04-check-then-act-upsert", ("app/{id}upsert4.py", "def look(con, k):\n    return con.execute('SELECT v FROM stock WHERE k = ?', (k,))\n\ndef save(con, k):\n    con.execute('UPDATE stock SET v = 1 WHERE k = ?', (k,))\n    con.execute('INSERT INTO stock VALUES (?, 1)', (k,))")),
+    *bad("a04-unbounded-paid-loop", ("jobs/{id}enrich3.py", "def main():\n    for row in rows:\n" + steps(50, "        row = step{i}(row)") + "        client.messages.create(row)\n\nif __name__ == '__main__':\n    main()")),
+    *ok("a04-unbounded-paid-loop", ("jobs/{id}enrich4.py", "def main():\n    for row in rows:\n        show(row)\n    client.messages.create(rows)\n\nif __name__ == '__main__':\n    main()")),
     Seed("plain", "docs/{id}readme.md", "Notes on the project.", ()),
     Seed("plain", "src/lib/{id}util.ts", "export const one = 1;\nexport function add(a, b) {\n  return a + b;\n}", ()),
 ]
