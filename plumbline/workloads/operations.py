@@ -12,6 +12,7 @@ from plumbline.functions import text as T
 from plumbline.functions import web as W
 from plumbline.operators import clean as CL
 from plumbline.operators import graph as G
+from plumbline.operators import suggest
 from plumbline.plans import audit as A
 from plumbline.plans import card, dependencies, heartbeats, links, past, profiles, responses, scoring, standards
 from plumbline.plans import crossfile as X
@@ -188,13 +189,39 @@ r0 AS (SELECT url, 1.0 / k AS r FROM n, c)
 RANK_SQL = _GRAPH_SQL + " SELECT url, pagerank, in_links, orphan FROM out"
 
 
+def suggestions(spark: SparkSession, d: str) -> DataFrame:
+    return suggest.link_suggestions(table(spark, d, "pages")).withColumn("similarity", F.round("similarity", 9))
+
+
+# All pairs of pages of a host, scored and ranked: another way than the join under test.
+_SUGGEST_SQL = _GRAPH_SQL[: _GRAPH_SQL.index("n AS (SELECT")] + f"""
+x0 AS (SELECT {_HOST_SQL} AS host, {PAGE_PATH_SQL} AS node, min(coalesce(html, '')) AS html FROM pages GROUP BY ALL),
+x1 AS (SELECT host, node, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav)\\b.*?</(script|style|nav)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM x0),
+wd AS (SELECT DISTINCT host, node, unnest(regexp_extract_all(lower(text), '\\pL{{4,}}')) AS word FROM x1),
+ww AS (SELECT host, word, CAST(floor(1000 * ln(n / count(*)::DOUBLE)) AS BIGINT) AS w FROM wd JOIN (SELECT host, count(*) AS n FROM x1 GROUP BY host) USING (host) GROUP BY host, word, n),
+pw AS (SELECT host, node, word, w FROM wd JOIN ww USING (host, word) WHERE w > 0),
+tw AS (SELECT node, CAST(sum(w) AS BIGINT) AS weight FROM pw GROUP BY node),
+pr AS (SELECT a.node AS source, b.node AS target, CAST(sum(a.w) AS BIGINT) AS score, arg_min(a.word, (-a.w, a.word)) AS anchor
+       FROM pw a JOIN pw b ON a.host = b.host AND a.word = b.word AND a.node <> b.node GROUP BY ALL),
+sm AS (SELECT pr.*, score / (s.weight + t.weight - score)::DOUBLE AS similarity FROM pr JOIN tw s ON s.node = source JOIN tw t ON t.node = target
+       WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = source AND e.dst = target)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) AS rank FROM sm QUALIFY rank <= 3)
+"""
+SUGGEST_SQL = _SUGGEST_SQL + f"""
+SELECT source, target, trim(list_filter(string_split_regex(text, '[.!?] '), lambda s: list_contains(regexp_extract_all(lower(s), '\\pL{{4,}}'), anchor))[1]) AS sentence,
+       anchor, score, round(similarity, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM bs JOIN x1 ON x1.node = source
+"""
+
+
 def link_summary(spark: SparkSession, d: str) -> DataFrame:
-    return links.link_summary(links.link_health(table(spark, d, "pages"), ROUNDS)).select(
+    pages = table(spark, d, "pages")
+    return links.link_summary(links.link_health(pages, ROUNDS), suggest.link_suggestions(pages)).select(
         "pages", "orphans", F.round("top_rank", 9).alias("top_rank"), "suggestions"
     )
 
 
-LINKSUM_SQL = _GRAPH_SQL + " SELECT count(*) AS pages, count(*) FILTER (WHERE orphan) AS orphans, max(pagerank) AS top_rank, 0 AS suggestions FROM out"
+LINKSUM_SQL = _GRAPH_SQL + " SELECT count(*) AS pages, count(*) FILTER (WHERE orphan) AS orphans, max(pagerank) AS top_rank, (SELECT count(*) FROM bs) AS suggestions FROM out"
+LINKSUM_SQL = _SUGGEST_SQL.rstrip() + ", " + LINKSUM_SQL[LINKSUM_SQL.index("n AS (SELECT"):]
 
 
 def top_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -893,6 +920,7 @@ QUERIES = {
     "local_day_counts": Query(local_days, LOCAL_SQL),
     "host_dga": Query(host_dga, DGA_SQL),
     "link_rank": Query(link_rank, RANK_SQL),
+    "link_suggestions": Query(suggestions, SUGGEST_SQL),
     "link_summary": Query(link_summary, LINKSUM_SQL),
     "top_pages": Query(top_pages, TOP_PAGES_SQL),
     "redirect_chain": Query(redirects, REDIRECT_SQL),
