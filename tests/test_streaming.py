@@ -79,18 +79,49 @@ def test_breakage_stream_is_stateless(spark, tmp_path):
     assert {r.project for r in spark.read.parquet(str(tmp_path / "brk_out")).collect()} == {"a", "b"}
 
 
+GROUPS = ("bad:int-generated-file-hand-edited", "bad:a07-jwt-weak-verification", "bad:int-contract-two-writers", "bad:a04-check-then-act-upsert")
+
+
+def found(df):
+    return {(r.project, r.rule_id, r.file, r.line, r.severity) for r in df.collect()}
+
+
 def test_incremental_scan_equals_batch(spark, tmp_path):
-    """Files of one project arrive in two batches; cross-file rules still see both."""
+    """Files of one project arrive in batches, change and go; cross-file rules see all of them."""
     rows = [
-        (s.group, s.path.replace("{id}", "d7"), s.body.replace("{id}", "d7").replace("{prev}", "d7"), s.tracked)
+        (s.group, s.path.replace("{id}", "d7"), s.body.replace("{id}", "d7").replace("{prev}", "d7"), s.tracked, False)
         for s in seed.SEEDS
-        if s.group in ("bad:int-generated-file-hand-edited", "bad:a07-jwt-weak-verification", "bad:int-contract-two-writers")
+        if s.group in GROUPS
     ]
+    extra = [(GROUPS[1], "src/lib/gone.ts", "export const o = { alg: 'none' };", True, False), ("whole", "a.py", "import json\ndef f(x):\n    return json.loads(x)", True, False)]
+    gone = [(*r[:2], None, None, True) for r in extra]
+    old = [(*r[:2], "export const nothing = 1;", *r[3:]) for r in rows[1::2]]
     src = tmp_path / "files"
-    for part in (rows[::2], rows[1::2]):
+    for part in (rows[::2] + extra, old + [(GROUPS[0], "never/there.ts", None, None, True)], rows[1::2] + gone):
         spark.createDataFrame(part, I.FILE_SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
-    I.incremental_audit(I.read_files(spark, str(src), 1), str(tmp_path / "inc"), str(tmp_path / "inc_cp")).awaitTermination()
-    got = {(r.project, r.rule_id, r.file, r.line) for r in I.current_findings(spark, str(tmp_path / "inc")).collect()}
+    out = str(tmp_path / "inc")
+    I.incremental_audit(I.read_files(spark, str(src), 1), out, str(tmp_path / "inc_cp")).awaitTermination()
+    got = found(I.current_findings(spark, out))
     batch, _ = A.static_findings(A.scan(spark.createDataFrame(rows, I.FILE_SCHEMA)))
-    assert got == {(r.project, r.rule_id, r.file, r.line) for r in batch.collect()}
-    assert any(r == "int-generated-file-hand-edited" for _, r, _, _ in got)
+    assert got == found(batch)
+    assert any(r == "int-generated-file-hand-edited" for _, r, _, _, _ in got)
+    assert I.current_facts(spark, out).where("project = 'whole'").count() == 0
+
+
+def test_a_batch_touches_its_own_buckets_and_may_run_twice(spark, tmp_path):
+    out = str(tmp_path / "state")
+    body = "import json\ndef f(x):\n    return json.loads(x)"
+    first = [(f"p{i}", "a.py", body, True, False) for i in range(12)]
+    frame = lambda rows: spark.createDataFrame(rows, I.FILE_SCHEMA)
+    I.upsert(frame(first), 0, out)
+    before = I.generations(spark, out)
+    I.upsert(frame([("p3", "b.py", body, True, False)]), 1, out)
+    once = found(I.current_findings(spark, out))
+    after = I.generations(spark, out)
+    assert [b for b in after if after[b] != before[b]] == [b for b, g in after.items() if g == 1] and list(after.values()).count(1) == 1
+    I.upsert(frame([("p3", "b.py", body, True, False)]), 1, out)
+    assert found(I.current_findings(spark, out)) == once
+    assert {(p, f) for p, r, f, _, _ in once if r == "a04-unguarded-json-parse"} == {(f"p{i}", "a.py") for i in range(12)} | {("p3", "b.py")}
+    I.upsert(frame([("p3", "b.py", None, None, True), ("p3", "a.py", None, None, True)]), 2, out)
+    assert "p3" not in {r[0] for r in found(I.current_findings(spark, out))}
+    assert I.current_facts(spark, out).select("project").distinct().count() == 11
