@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import previous_value
+from plumbline.operators.ordered import carry_forward, previous_value
+from plumbline.session import cut_lineage
 
 # Silence that raises an alarm, and the pause between two alarms.
 SILENCE_SECONDS = 1800
@@ -51,28 +52,53 @@ def deadman(beats: DataFrame, now: Column, silence_seconds: int = SILENCE_SECOND
     return closed.unionByName(still).withColumn("silent_from", F.col("last_beat") + limit)
 
 
+def next_alarm(silences: DataFrame, pause: int) -> DataFrame:
+    """(project, at, next, run_start): for each silence the first one more than ``pause`` later.
+
+    Times are whole microseconds. In slots of the pause's width that one lies in the next slot
+    or is the first of a later slot. So a window sees one slot of a project, and the first of
+    later slots is carried back over a table of slots, block by block.
+    """
+    points = silences.select("project", "at", F.floor(F.col("at") / pause).alias("slot"), F.col("at").alias("point"))
+    probes = points.select("project", (F.col("at") + pause).alias("at"), (F.col("slot") + 1).alias("slot"), F.lit(None).cast("long").alias("point"))
+    later = Window.partitionBy("project", "slot").orderBy("at", F.col("point").isNull()).rowsBetween(1, Window.unboundedFollowing)
+    near = points.unionByName(probes).withColumn("near", F.first("point", ignorenulls=True).over(later)).where("point is null")
+    near = near.select("project", (F.col("at") - pause).alias("at"), (F.col("slot") + 1).alias("slot"), "near")
+
+    firsts = points.groupBy("project", "slot").agg(F.min("at").alias("first"))
+    asked = firsts.select("project", (F.col("slot") + 2).alias("slot"), F.lit(None).cast("long").alias("first"))
+    slots = firsts.unionByName(asked).groupBy("project", "slot").agg(F.min("first").alias("first")).withColumn("back", -F.col("slot"))
+    carried = carry_forward(slots, ["project"], "back", {"far": F.col("first")}, 1000).select("project", "slot", "far")
+    linked = near.join(carried, ["project", "slot"], "left").select("project", "at", F.coalesce("near", "far").alias("next"))
+
+    before = previous_value(points.select("project", "at", "slot"), ["project"], ["at"], "at", F.floor(F.col("slot") / 1000), "prev")
+    starts = before.select("project", "at", (F.col("prev").isNull() | (F.col("at") - F.col("prev") > pause)).alias("run_start"))
+    return linked.join(starts, ["project", "at"])
+
+
 def alarm_dedup(silences: DataFrame, pause_seconds: int = ALARM_PAUSE_SECONDS) -> DataFrame:
     """Alarms left when a project may raise at most one per pause.
 
-    Which alarm is raised depends on the one raised before, so each project is folded
-    in order. A project has at most two silences per hour whatever its beat rate, so
-    the folded array is bounded by the time range and not by the number of beats.
+    Which alarm is raised depends on the one raised before, so alarms are a path: from each
+    alarm to the first silence after its pause. A silence that follows a whole pause without
+    one is an alarm whatever came before, so paths begin there and are short; they are walked
+    by pointer doubling, in as many rounds as the longest of them has binary digits. All keys
+    are single silences, so a project with very many of them is spread like any other.
     """
     pause = pause_seconds * 1_000_000
-    at = F.array_sort(F.collect_list(F.unix_micros("silent_from")))
-    raised = F.aggregate(
-        F.col("at"),
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) > pause), F.array_append(acc, t)
-        ).otherwise(acc),
-    )
-    return (
-        silences.groupBy("project")
-        .agg(at.alias("at"))
-        .select("project", F.explode(raised).alias("__t"))
-        .select("project", F.timestamp_micros("__t").alias("alarm_ts"))
-    )
+    times = cut_lineage(silences.select("project", F.unix_micros("silent_from").alias("at")).distinct())
+    links = cut_lineage(next_alarm(times, pause))
+    raised = links.where("run_start").select("project", "at")
+    # A step onto the beginning of another run adds nothing: that one has its own path.
+    inside = links.where("not run_start").select("project", F.col("at").alias("next"))
+    jumps = cut_lineage(links.where("next is not null").select("project", "at", "next").join(inside, ["project", "next"], "left_semi"))
+    while True:
+        fresh = cut_lineage(raised.join(jumps, ["project", "at"]).select("project", F.col("next").alias("at")))
+        if fresh.isEmpty():
+            return raised.select("project", F.timestamp_micros("at").alias("alarm_ts"))
+        raised = raised.unionByName(fresh)
+        further = jumps.select("project", F.col("at").alias("next"), F.col("next").alias("__to"))
+        jumps = cut_lineage(jumps.join(further, ["project", "next"]).select("project", "at", F.col("__to").alias("next")))
 
 
 def breakage(beats: DataFrame) -> DataFrame:
