@@ -15,7 +15,9 @@ the generator knows the label of every block. Held-out accuracy is measured in t
 Only the sample goes to the driver. Extraction is a narrow map over whole pages.
 
 Defined results: null and empty pages, and pages of which no block is content, have empty
-text; cut-off markup is read up to the cut, a cut-off tag is dropped; text outside any
+text; cut-off markup is read up to the cut, a cut-off tag is dropped; scripts, styles, titles
+and text areas without an end tag reach to the end of the page, other opaque elements without
+one are ordinary tags, and formulas are text; text outside any
 element is a block; repeated rows get a row each; an empty table gives no rows (the model is
 then trained on made-up text).
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,19 @@ TRAIN_PAGES = 200
 LAYOUTS_PER_PAGE = 3
 SEED = 42
 
-#: Elements that border blocks, elements whose content is not text, and void elements
-#: (fixed values of HTML).
+#: Labelled sample: most blocks of a page, and of an article that is set into other layouts.
+TRAIN_BLOCKS = 80
+ARTICLE_BLOCKS = 40
+
+#: Elements that border blocks, elements whose content is not text up to their end tag, those
+#: of them that run to the end of the page without one, and void elements (fixed values of HTML).
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section "
     "select summary table tbody td tfoot th thead tr ul head button".split()
 )
-OPAQUE = frozenset("script style title noscript template textarea svg math iframe object canvas video audio".split())
+OPAQUE = frozenset("script style title textarea noscript template svg iframe object canvas video audio".split())
+RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 TAG = re.compile(
@@ -92,17 +100,28 @@ def _concepts(attributes: str) -> tuple[list[str], str | None]:
     return found, label
 
 
+NOTHING_AROUND = (frozenset(), frozenset(), frozenset())
+
+
 class Block:
-    __slots__ = ("text", "linked", "path", "label")
+    """``tag`` is the innermost open block element, ``around`` what all open ones say."""
 
-    def __init__(self, text: str, linked: int, path: tuple, label: str | None):
-        self.text, self.linked, self.path, self.label = text, linked, path, label
+    __slots__ = ("text", "linked", "tag", "around", "label")
+
+    def __init__(self, text: str, linked: int, tag: str, around: tuple, label: str | None):
+        self.text, self.linked, self.tag, self.around, self.label = text, linked, tag, around, label
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; ``path`` holds (tag, concepts) of open block elements."""
+    """Leaf blocks in page order.
+
+    An open element carries what it and those around it say (tags, concepts, the innermost
+    concepts, the label), so a block costs the same however deep it lies.
+    """
     out: list[Block] = []
-    stack: list[tuple] = []  # (tag, concepts, label)
+    stack: list[tuple] = []  # (tag, (tags, concepts, inner concepts), label)
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # opaque elements that have no end tag any more
     pieces: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -111,8 +130,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                label = next((e[2] for e in reversed(stack) if e[2]), None)
-                out.append(Block(text, linked, tuple(e[:2] for e in stack), label))
+                tag, around, label = stack[-1] if stack else ("none", NOTHING_AROUND, None)
+                out.append(Block(text, linked, tag, around, label))
             pieces.clear()
         linked = 0
 
@@ -138,22 +157,30 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if name in OPAQUE:
-            if not closing and not attributes.endswith("/"):
+            if not closing and not attributes.endswith("/") and name not in endless:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
+                else:  # an ordinary tag that nobody closed
+                    endless.add(name)
         elif name in BLOCKS:
             close_block()
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+                while opened[name]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
                         break
             elif name not in VOID:
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dd", "dt", "option")):
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 concepts, label = _concepts(attributes) if attributes else ([], None)
-                own = TAG_CONCEPTS.get(name)
-                stack.append((name, frozenset(concepts + [own] if own else concepts), label))
+                own = frozenset([*concepts, TAG_CONCEPTS[name]] if name in TAG_CONCEPTS else concepts)
+                _, (tags, outer, inner), outer_label = stack[-1] if stack else ("none", NOTHING_AROUND, None)
+                stack.append((name, (tags | {name}, outer | own, own or inner), label or outer_label))
+                opened[name] += 1
         elif name == "br":
             pieces.append(" ")
         elif name == "a":
@@ -162,27 +189,22 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
-_path_features: dict[tuple, list[str]] = {}
+_around_features: dict[tuple, list[str]] = {}
 
 
-def _of_path(path: tuple) -> list[str]:
-    found = _path_features.get(path)
+def _of_around(tag: str, around: tuple) -> list[str]:
+    found = _around_features.get((tag, around))
     if found is None:
-        found = ["tag=" + (path[-1][0] if path else "none")]
-        concepts: list[str] = []
-        for tag, own in reversed(path):
-            found.append("in=" + tag)
-            concepts += [c for c in sorted(own) if c not in concepts]
-        inner = next((sorted(own) for _, own in reversed(path) if own), [])
-        found += ["concept=" + c for c in concepts] + ["inner=" + c for c in inner]
+        tags, concepts, inner = around
+        found = ["tag=" + tag, *("in=" + t for t in sorted(tags))]
+        found += ["concept=" + c for c in sorted(concepts)] + ["inner=" + c for c in sorted(inner)]
         if "content" in concepts:
-            found += ["content+" + c for c in concepts if c != "content"]
+            found += ["content+" + c for c in sorted(concepts) if c != "content"]
         elif not concepts:
             found.append("no concept")
-        found = list(dict.fromkeys(found))
-        if len(_path_features) > 50_000:
-            _path_features.clear()
-        _path_features[path] = found
+        if len(_around_features) > 50_000:
+            _around_features.clear()
+        _around_features[tag, around] = found
     return found
 
 
@@ -191,7 +213,7 @@ def features(block: Block, first: bool, last: bool) -> list[str]:
     n = len(text)
     share = block.linked / n
     out = [
-        *_of_path(block.path),
+        *_of_around(block.tag, block.around),
         "length=%d" % min(10, n.bit_length()),
         "links=%d" % min(4, int(5 * share)),
         "words=%d" % min(5, text.count(" ").bit_length()),
@@ -291,12 +313,11 @@ def train(pages: list[list[Block]], rounds: int = 120, rate: float = 0.1, decay:
 def label_by_article(page: str) -> list[Block] | None:
     """Blocks of a page that names its article, labelled by it; None for other pages."""
     blocks = leaf_blocks(page)
-    inside = [any(tag == "article" for tag, _ in b.path) for b in blocks]
+    inside = ["article" in b.around[0] for b in blocks]
     if not any(inside):
         return None
     for block, content in zip(blocks, inside, strict=True):
-        names = [own for _, own in block.path]
-        other = any(own - {"content"} for own in names)
+        other = block.around[1] - {"content"}
         block.label = "1" if content and not other else "0"
     return blocks
 
@@ -341,15 +362,19 @@ def laid_out(article: list[tuple[str, str]], others: list[str], rng: random.Rand
 
 
 def labelled_pages(sample: list[str], layouts: int = LAYOUTS_PER_PAGE, seed: int = SEED) -> list[list[Block]]:
-    """Labelled block sequences: the sample's own, and its articles in drawn layouts."""
+    """Labelled block sequences: the sample's own, and its articles in drawn layouts.
+
+    Of a page the first TRAIN_BLOCKS blocks, of an article the first ARTICLE_BLOCKS are
+    learned from; extraction reads whole pages.
+    """
     rng = random.Random(seed)
     own = [b for b in map(label_by_article, sample) if b]
-    articles = [[(b.path[-1][0] if b.path[-1][0] in ("p", "h1", "h2", "li") else "p", b.text) for b in page if b.label == "1"][:40] for page in own]
+    articles = [[(b.tag if b.tag in ("p", "h1", "h2", "li") else "p", b.text) for b in page if b.label == "1"][:ARTICLE_BLOCKS] for page in own]
     while len(articles) < 40:
         articles.append([("h1", _made_up(rng, 6))] + [("p", _made_up(rng, rng.randint(5, 80))) for _ in range(rng.randint(1, 8))])
     others = [b.text for page in own for b in page] or [_made_up(rng, 40) for _ in range(100)]
     laid = [leaf_blocks(laid_out(a, others, rng)) for a in articles if a for _ in range(layouts)]
-    return [page[:80] for page in own + laid]
+    return [page[:TRAIN_BLOCKS] for page in own + laid]
 
 
 def fit(pages: DataFrame, key: str = "page_id", markup: str = "html", most: int = TRAIN_PAGES) -> Chain:

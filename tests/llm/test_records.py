@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -193,6 +194,31 @@ def test_extraction(spark, shared_folder):
     assert extraction.extract(frame.limit(0), extraction.fit(frame.limit(0))).count() == 0
 
 
+def test_opaque_elements():
+    texts = lambda page: [b.text for b in extraction.leaf_blocks(page)]
+    assert texts("<article><p>one</p><svg width=1><p>two</p></article><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>a <svg><title>icon</title><text>no</text></svg> b</p>") == ["a b"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x=1 holds"]
+    assert texts("<p>a</p><script>var b = '<p>no</p>'") == ["a"]
+    assert texts("<p>a</p><video src=x><p>b</p><iframe src=y><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a<textarea>no<p>no</textarea>b") == ["ab"]
+
+
+@pytest.mark.parametrize("one", ["<div class=content>x", "<svg><p>x", "<p>x</div>", "<section>x</table>"])
+def test_nesting_takes_linear_time(one):
+    def seconds(n):
+        start = time.process_time()
+        blocks = extraction.leaf_blocks(one * n)
+        for i, b in enumerate(blocks):
+            extraction.features(b, i == 0, False)
+        assert len(blocks) == n
+        return time.process_time() - start
+
+    seconds(500)
+    small, large = min(seconds(4000) for _ in range(3)), min(seconds(16000) for _ in range(3))
+    assert large < 2.2**2 * small
+
+
 def test_extraction_held_out(spark, shared_folder):
     """Accuracy on layouts and texts that training has not seen."""
     rng = random.Random(5)
