@@ -197,7 +197,7 @@ def paid_loops() -> tuple[str, str]:
     loop = f"case when p.loop > 0 then p.loop when {rlike('p.text', EACH)} then p.start else 0 end"
     start = f"greatest({loop} - 7, 1)"
     window = f"array_join(slice(lines, {start}, p.start + 8 - {start}), '\\n')"
-    hit = f"{rlike('p.text', P.PAID_API)} and {loop} > 0 and not {rlike(window, P.CAP)}"
+    hit = f"{rlike('p.text', P.PAID_API)} and {loop} > 0 and not {rlike(window, P.C.BOUNDED)}"
     entry = f"case when {rlike('clean', ENTRY)} then 1 else 0 end"
     return _gate(
         [rlike("path", r"\.(py|js|ts|mjs|cjs|rb|go)$"), f"not {rlike('path', NOT_OWN)}", rlike("dense", P.PAID_API)],

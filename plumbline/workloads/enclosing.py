@@ -126,7 +126,7 @@ def paid_sql() -> str:
 h AS (SELECT p.*, {LINE_TEXT} AS lt, CASE WHEN loop > 0 THEN loop WHEN {rx('text', S.EACH)} THEN line ELSE 0 END AS lp FROM pc p WHERE {rx('text', X.P.PAID_API)}),
 g AS (SELECT h.project, h.path, h.tok, h.line, h.lt, (SELECT string_agg(x.text, chr(10) ORDER BY x.line_no) FROM cl x WHERE x.project = h.project AND x.path = h.path
         AND x.line_no BETWEEN greatest(h.lp - 7, 1) AND h.line + 7) AS win FROM h WHERE lp > 0),
-f AS (SELECT g.*, s.clean, regexp_replace(split_part(g.path, '/', -1), '[.][^.]+$', '') AS md FROM g JOIN src s USING (project, path) WHERE NOT {rx('win', X.P.CAP)}
+f AS (SELECT g.*, s.clean, regexp_replace(split_part(g.path, '/', -1), '[.][^.]+$', '') AS md FROM g JOIN src s USING (project, path) WHERE NOT {rx('win', X.P.C.BOUNDED)}
       QUALIFY row_number() OVER (PARTITION BY g.project, g.path ORDER BY tok) = 1)"""
 
 
