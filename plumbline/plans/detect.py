@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators.clean import clean_corpus
-from plumbline.operators.graph import BODY_CHARS, DEFINITION
+from plumbline.operators.graph import DEFINITION
 from plumbline.operators.joins import spread_join
 from plumbline.operators.lines import numbered, split_lines
 from plumbline.operators.ordered import first_per_group
+from plumbline.operators.scopes import scope_rows
 from plumbline.plans import patterns as P
 from plumbline.plans import rules as R
 from plumbline.plans import vocabulary as V
@@ -79,10 +80,15 @@ def prepare(files: DataFrame) -> DataFrame:
         "project", path.alias("path"), F.coalesce("content", F.lit("")).alias("content"), tracked.alias("tracked")
     )
     cleaned = clean_corpus(base).withColumn("is_test", T.is_test_path(F.col("path")))
+    from plumbline.plans.scoped import concerned
+
+    # Scopes are found once per file, and only where a rule or a helper could need them.
+    needed = f"({HELPER_FILE}) or not is_test and ({concerned()})"
     return (
         cleaned.withColumn("dense", squeeze(F.col("clean")))
         .withColumn("lines", split_lines(F.col("clean")))
         .withColumn("nl", numbered(F.col("lines")))
+        .withColumn("sc", F.expr(f"case when {needed} then {scope_rows('clean')} end"))
     )
 
 
@@ -240,24 +246,32 @@ def flag_facts() -> str:
 CALLS = "array_distinct(regexp_extract_all({text}, '\\\\b(\\\\w+)\\\\s*\\\\(', 1))"
 
 
+HELPER_FILE = f"{rlike('path', P.CODE)} and not {rlike('path', P.TESTISH)} and {rlike('dense', DEFINITION)}"
+
+
 def helper_facts() -> str:
-    """Definitions with gated names (level = signal bits) and calls of gated names."""
-    code = f"{rlike('path', P.CODE)} and not {rlike('path', P.TESTISH)}"
-    gated = "(" + " or ".join(rlike("n", HELPER_SPECS[s][0]) for s in SPECS) + ")"
+    """Definitions with gated names (level = signal bits) and calls of gated names.
+
+    A definition is the header of a function scope, whose body is the scope, or a statement
+    without one, such as an arrow or a wrapped function, whose body is the statement.
+    """
+    gated = lambda n: "(" + " or ".join(rlike(n, HELPER_SPECS[s][0]) for s in SPECS) + ")"
     named = lambda v: f"regexp_extract({v}, '(?:function|const)\\\\s+(\\\\w+)', 1)"
-    body = f"substring(clean, d.column_no, {BODY_CHARS})"
-    bits = " + ".join(
-        f"case when {rlike(body, HELPER_SPECS[s][1])} then {1 << i} else 0 end" for i, s in enumerate(SPECS)
-    )
-    line = "char_length(regexp_replace(substring(clean, 1, d.column_no - 1), '[^\\n]', '')) + 1"
-    define = fact(
-        "def", named("d.value"), line, f"array_join(filter({CALLS.format(text=body)}, n -> {gated}), ' ')", bits
-    )
-    gated_d = gated.replace("(n rlike", f"({named('d.value')} rlike")
-    defs = f"case when {code} and {rlike('dense', DEFINITION)} then transform(filter({matches_sql('clean', DEFINITION)}, d -> {gated_d}), d -> {define}) end"
+
+    def defined(rows: str, body: str) -> str:
+        bits = " + ".join(f"case when {rlike('body', HELPER_SPECS[s][1])} then {1 << i} else 0 end" for i, s in enumerate(SPECS))
+        called = f"array_join(filter({CALLS.format(text='body')}, n -> {gated('n')}), ' ')"
+        of_one = let("body", body, fact("def", named("d.text"), "d.start", called, bits))
+        return f"transform(filter(sc, d -> {rows} and {rlike('d.text', DEFINITION)} and {gated(named('d.text'))}), d -> {of_one})"
+
+    scope = "array_join(slice(lines, d.start, d.stop - d.start + 1), '\\n')"
+    # A statement may go on below; its end is the next semicolon.
+    statement = "substring_index(array_join(slice(lines, d.start, 20), '\\n'), ';', 1)"
+    functions, statements = defined("d.scope and d.kind = 'function'", scope), defined("not d.scope", statement)
+    defs = f"case when {HELPER_FILE} then concat({functions}, {statements}) end"
     calls = (
         f"case when {rlike('path', P.CODE)} and not is_test then "
-        f"transform(filter({CALLS.format(text='dense')}, n -> {gated}), n -> {fact('call', 'n')}) end"
+        f"transform(filter({CALLS.format(text='dense')}, n -> {gated('n')}), n -> {fact('call', 'n')}) end"
     )
     return f"flatten(array_compact(array({defs}, {calls})))"
 

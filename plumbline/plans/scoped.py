@@ -8,7 +8,7 @@ lines, however long; a guard counts only if it encloses the call inside the same
 from __future__ import annotations
 
 from plumbline.functions import severity as S
-from plumbline.operators.scopes import EACH, PYTHON, scope_rows
+from plumbline.operators.scopes import EACH
 from plumbline.plans import patterns as P
 from plumbline.plans import rules as R
 from plumbline.plans import vocabulary as V
@@ -208,9 +208,14 @@ def paid_loops() -> tuple[str, str]:
 RULES = [unguarded_parse, check_then_act, session_revoke_missing, server_actions, unbound_sessions, kind_aware, paid_loops]
 
 
+def concerned() -> str:
+    """Whether one of the rules could concern a file."""
+    return " or ".join(condition for condition, _ in (rule() for rule in RULES))
+
+
 def scoped_facts(*rules) -> str:
-    """Facts of the rules (all by default) in one expression: scopes are found once per file."""
+    """Facts of the rules (all by default) from the file's scopes, the column ``sc``."""
     made = [rule() for rule in rules or RULES]
     rows = "flatten(array_compact(array(" + ", ".join(r for _, r in made) + ")))"
-    bound = let("sc", scope_rows("clean"), let("ps", "filter(sc, r -> not r.scope)", let("fs", "filter(sc, r -> r.scope)", rows)))
+    bound = let("ps", "filter(sc, r -> not r.scope)", let("fs", "filter(sc, r -> r.scope)", rows))
     return f"case when not is_test and ({' or '.join(c for c, _ in made)}) then {bound} end"

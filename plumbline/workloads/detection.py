@@ -18,6 +18,7 @@ from plumbline.plans import rules as R
 from plumbline.session import cut_lineage
 from plumbline.workloads import seed
 from plumbline.workloads.common import Query
+from plumbline.workloads.enclosing import rx, scope_sql
 
 q = seed.quote
 
@@ -49,10 +50,6 @@ def run_category(category: int):
     return run
 
 
-def rx(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, {q(pattern)})"
-
-
 def flag_sql(names: Sequence[str]) -> str:
     parts = []
     for n in sorted(set(names)):
@@ -70,6 +67,7 @@ def flag_sql(names: Sequence[str]) -> str:
 
 def helpers_sql() -> str:
     """Helper names by three rounds over call edges, and the files that call them."""
+    name = "regexp_extract({}, '(?:function|const)\\s+(\\w+)', 1)"
     specs = " UNION ALL ".join(
         f"SELECT '{s}' AS spec, {q(gate)} AS gate, {q(signal)} AS signal" for s, (gate, signal) in D.HELPER_SPECS.items()
     )
@@ -81,12 +79,11 @@ def helpers_sql() -> str:
         )
     return f"""
 specs AS ({specs}),
-df0 AS (SELECT project, path, clean, regexp_extract_all(clean, {q(D.DEFINITION)}) AS v, string_split_regex(clean, {q(D.DEFINITION)}) AS p
-        FROM files WHERE {rx('path', P.CODE)} AND NOT {rx('path', P.TESTISH)} AND {rx('clean', D.DEFINITION)}),
-df1 AS (SELECT *, unnest(generate_series(1, len(v))) AS i FROM df0),
-defs AS (SELECT project, regexp_extract(v[i], '(?:function|const)\\s+(\\w+)', 1) AS name,
-                substr(clean, CAST(1 + list_sum(list_transform(p[1:i], lambda x: length(x)))
-                       + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0) AS BIGINT), {D.BODY_CHARS}) AS body FROM df1),
+{scope_sql(f"{rx('path', P.CODE)} AND NOT {rx('path', P.TESTISH)} AND {rx('clean', D.DEFINITION)}", "h_", "true")},
+defs AS (SELECT project, {name.format('head')} AS name, body FROM h_fb WHERE func > 0 AND {rx('head', D.DEFINITION)}
+         UNION ALL
+         SELECT project, {name.format('text')} AS name, split_part((SELECT string_agg(x.text, chr(10) ORDER BY x.line_no) FROM cl x WHERE x.project = p.project AND x.path = p.path
+           AND x.line_no BETWEEN p.line AND p.line + 19), ';', 1) AS body FROM h_pc p WHERE {rx('text', D.DEFINITION)}),
 gated AS (SELECT d.project, s.spec, d.name, d.body, s.signal FROM defs d JOIN specs s ON regexp_matches(d.name, s.gate)),
 edges AS (SELECT DISTINCT project, spec, name AS caller, callee FROM (
           SELECT project, spec, name, unnest(regexp_extract_all(body, '\\b(\\w+)\\s*\\(', 1)) AS callee FROM gated) WHERE callee <> name),

@@ -7,22 +7,30 @@ belongs to every interval that holds it, and what counts is the innermost functi
 
 from __future__ import annotations
 
+import re
+
 from plumbline.operators import scopes as S
 from plumbline.plans import scoped as X
-from plumbline.workloads.detection import q, rx
+from plumbline.workloads import seed
+
+q = seed.quote
+
+
+def rx(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {q(pattern)})"
 
 _TOKEN = "(?:[^{}\\n\"'`]|\"(?:[^\"\\\\\\n]|\\\\.)*\"|'(?:[^'\\\\\\n]|\\\\.)*'|`(?:[^`\\\\]|\\\\[\\s\\S])*`)+|[{}\\n\"'`]"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
-def scope_sql(where: str) -> str:
+def scope_sql(where: str, prefix: str = "", on: str = "NOT is_test") -> str:
     """iv(project, path, a, b, start, stop, head, kind), pc(project, path, tok, line, text, func, guarded, loop), fb: functions with bodies.
 
     ``a`` and ``b`` are positions that pieces are compared with: tokens, or lines in Python.
     """
     head = "h"
-    return f"""
-src AS (SELECT * FROM files WHERE NOT is_test AND {where}),
+    out = f"""
+src AS (SELECT * FROM files WHERE {on} AND {where}),
 t0 AS (SELECT project, path, unnest(t) AS t, generate_subscripts(t, 1) AS i
        FROM (SELECT project, path, regexp_extract_all(clean, {q(_TOKEN)}) AS t FROM src WHERE NOT regexp_matches(path, '[.]py$'))),
 t1 AS (SELECT *, CAST(1 + coalesce(sum(length(t) - length(replace(t, chr(10), ''))) OVER (PARTITION BY project, path ORDER BY i {_BEFORE}), 0) AS INTEGER) AS line,
@@ -56,6 +64,8 @@ fb AS (SELECT f.project, f.path, f.a AS func, f.start, f.stop, f.head,
        FROM iv f WHERE kind = 'function'
        UNION ALL SELECT project, path, 0, 1, 1, '', string_agg(text, chr(10) ORDER BY tok) FROM pc WHERE func = 0 GROUP BY project, path)
 """
+    # Two of these in one statement need names of their own.
+    return re.sub(r"\b(src|t0|t1|t2|br|b1|ls|iv|p0|p1|pc|fb)\b(?= AS \(| WHERE|\)| [a-z] |,| USING| ON| JOIN| LEFT| GROUP| WINDOW)", prefix + r"\1", out) if prefix else out
 
 
 LINE_TEXT = "(SELECT x.text FROM cl x WHERE x.project = p.project AND x.path = p.path AND x.line_no = p.line)"
