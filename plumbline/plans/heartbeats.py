@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import carry_forward, previous_value
+from plumbline.operators.ordered import previous_value
 from plumbline.session import cut_lineage
 
 # Silence that raises an alarm, and the pause between two alarms.
@@ -56,24 +56,30 @@ def next_alarm(silences: DataFrame, pause: int) -> DataFrame:
     """(project, at, next, run_start): for each silence the first one more than ``pause`` later.
 
     Times are whole microseconds. In slots of the pause's width that one lies in the next slot
-    or is the first of a later slot. So a window sees one slot of a project, and the first of
-    later slots is carried back over a table of slots, block by block.
+    or is the first of a later one, and a silence begins a run if none in its own slot and the
+    one before is less than a pause earlier. So a window sees the silences of one slot, or the
+    slots of one project, of which there are four a day.
     """
-    points = silences.select("project", "at", F.floor(F.col("at") / pause).alias("slot"), F.col("at").alias("point"))
-    probes = points.select("project", (F.col("at") + pause).alias("at"), (F.col("slot") + 1).alias("slot"), F.lit(None).cast("long").alias("point"))
+    points = silences.select("project", "at", F.floor(F.col("at") / pause).alias("slot"))
+    by_slot = Window.partitionBy("project").orderBy("slot")
+    slots = points.groupBy("project", "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    follows = F.lead("slot").over(by_slot) == F.col("slot") + 1
+    slots = slots.select(
+        "project",
+        "slot",
+        F.when(follows, F.lead("first", 2).over(by_slot)).otherwise(F.lead("first").over(by_slot)).alias("far"),
+        F.when(F.lag("slot").over(by_slot) == F.col("slot") - 1, F.lag("last").over(by_slot)).alias("last_before"),
+    )
+    in_slot = Window.partitionBy("project", "slot").orderBy("at")
+    before = F.coalesce(F.lag("at").over(in_slot), F.col("last_before"))
+    known = points.join(slots, ["project", "slot"]).select(
+        "project", "slot", "at", "far", (before.isNull() | (F.col("at") - before > pause)).alias("run_start")
+    )
+    probes = known.select("project", (F.col("slot") + 1).alias("slot"), (F.col("at") + pause).alias("at"), "far", "run_start", F.lit(None).cast("long").alias("point"))
+    both = points.select("project", "slot", "at", F.col("at").alias("point")).unionByName(probes, allowMissingColumns=True)
     later = Window.partitionBy("project", "slot").orderBy("at", F.col("point").isNull()).rowsBetween(1, Window.unboundedFollowing)
-    near = points.unionByName(probes).withColumn("near", F.first("point", ignorenulls=True).over(later)).where("point is null")
-    near = near.select("project", (F.col("at") - pause).alias("at"), (F.col("slot") + 1).alias("slot"), "near")
-
-    firsts = points.groupBy("project", "slot").agg(F.min("at").alias("first"))
-    asked = firsts.select("project", (F.col("slot") + 2).alias("slot"), F.lit(None).cast("long").alias("first"))
-    slots = firsts.unionByName(asked).groupBy("project", "slot").agg(F.min("first").alias("first")).withColumn("back", -F.col("slot"))
-    carried = carry_forward(slots, ["project"], "back", {"far": F.col("first")}, 1000).select("project", "slot", "far")
-    linked = near.join(carried, ["project", "slot"], "left").select("project", "at", F.coalesce("near", "far").alias("next"))
-
-    before = previous_value(points.select("project", "at", "slot"), ["project"], ["at"], "at", F.floor(F.col("slot") / 1000), "prev")
-    starts = before.select("project", "at", (F.col("prev").isNull() | (F.col("at") - F.col("prev") > pause)).alias("run_start"))
-    return linked.join(starts, ["project", "at"])
+    near = both.withColumn("near", F.first("point", ignorenulls=True).over(later)).where("point is null")
+    return near.select("project", (F.col("at") - pause).alias("at"), F.coalesce("near", "far").alias("next"), "run_start")
 
 
 def alarm_dedup(silences: DataFrame, pause_seconds: int = ALARM_PAUSE_SECONDS) -> DataFrame:
@@ -86,12 +92,12 @@ def alarm_dedup(silences: DataFrame, pause_seconds: int = ALARM_PAUSE_SECONDS) -
     are single silences, so a project with very many of them is spread like any other.
     """
     pause = pause_seconds * 1_000_000
-    times = cut_lineage(silences.select("project", F.unix_micros("silent_from").alias("at")).distinct())
+    times = silences.select("project", F.unix_micros("silent_from").alias("at")).distinct()
     links = cut_lineage(next_alarm(times, pause))
     raised = links.where("run_start").select("project", "at")
     # A step onto the beginning of another run adds nothing: that one has its own path.
     inside = links.where("not run_start").select("project", F.col("at").alias("next"))
-    jumps = cut_lineage(links.where("next is not null").select("project", "at", "next").join(inside, ["project", "next"], "left_semi"))
+    jumps = links.where("next is not null").select("project", "at", "next").join(inside, ["project", "next"], "left_semi")
     while True:
         fresh = cut_lineage(raised.join(jumps, ["project", "at"]).select("project", F.col("next").alias("at")))
         if fresh.isEmpty():
