@@ -1,8 +1,8 @@
 """Scopes of source files: who encloses a line, from brackets or from indentation.
 
 ``scope_rows`` turns a file into rows of two kinds in one pass: *pieces* of code with what
-encloses them (innermost function, whether a try of that function does, the line of the
-innermost loop), and *scopes* as intervals of lines with their parent and header. Braces open
+encloses them (innermost function and the chain of functions around it, whether a try of that
+function does, the line of the innermost loop), and *scopes* as intervals of lines with their parent and header. Braces open
 scopes in most languages, indentation does in Python; strings, templates and continuation
 lines do neither.
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: Elements of a block and of a run.
 BLOCK, RUN = 1024, 16
 
-ROW = "struct<scope:boolean,id:int,parent:int,kind:string,func:int,guarded:boolean,loop:int,start:int,stop:int,text:string>"
-_FRAME = "struct<id:int,parent:int,kind:string,func:int,guarded:boolean,loop:int,start:int,head:string,mark:int>"
+ROW = "struct<scope:boolean,id:int,parent:int,kind:string,func:int,guarded:boolean,loop:int,start:int,stop:int,text:string,chain:string>"
+_FRAME = "struct<id:int,parent:int,kind:string,func:int,guarded:boolean,loop:int,start:int,head:string,mark:int,chain:string>"
 
 # A piece of code without braces or line breaks outside strings and templates, or one of these.
 TOKEN = (
@@ -102,14 +102,14 @@ def blocked_fold(items: str, start: str, step: str) -> str:
 def _piece(top: str, line: str, text: str) -> str:
     return (
         f"named_struct('scope', false, 'id', {top}.id, 'parent', {top}.parent, 'kind', {top}.kind, 'func', {top}.func, "
-        f"'guarded', {top}.guarded, 'loop', {top}.loop, 'start', {line}, 'stop', {line}, 'text', {text})"
+        f"'guarded', {top}.guarded, 'loop', {top}.loop, 'start', {line}, 'stop', {line}, 'text', {text}, 'chain', {top}.chain)"
     )
 
 
 def _closed(frames: str, stop: str) -> str:
     return (
         f"transform({frames}, f -> named_struct('scope', true, 'id', f.id, 'parent', f.parent, 'kind', f.kind, 'func', f.func, "
-        f"'guarded', f.guarded, 'loop', f.loop, 'start', f.start, 'stop', {stop}, 'text', f.head))"
+        f"'guarded', f.guarded, 'loop', f.loop, 'start', f.start, 'stop', {stop}, 'text', f.head, 'chain', f.chain))"
     )
 
 
@@ -120,12 +120,13 @@ def _frame(kind: str, ident: str, top: str, start: str, head: str, mark: str) ->
         f"'func', case when {kind} = 'function' then {ident} else {top}.func end, "
         f"'guarded', case when {kind} in ('function', 'class') then false else {kind} in ('try', 'rescue') or {top}.guarded end, "
         f"'loop', case when {kind} = 'loop' or {kind} = 'function' and {_is(head, EACH)} then {start} when {kind} = 'function' then 0 else {top}.loop end, "
-        f"'start', {start}, 'head', {head}, 'mark', {mark})"
+        f"'start', {start}, 'head', {head}, 'mark', {mark}, "
+        f"'chain', case when {kind} = 'function' then concat({top}.chain, ',', string({ident})) else {top}.chain end)"
     )
 
 
 #: What lies outside all scopes: id 0, no function.
-_ROOT = "named_struct('id', 0, 'parent', -1, 'kind', 'file', 'func', 0, 'guarded', false, 'loop', 0, 'start', 1, 'head', '', 'mark', -1)"
+_ROOT = "named_struct('id', 0, 'parent', -1, 'kind', 'file', 'func', 0, 'guarded', false, 'loop', 0, 'start', 1, 'head', '', 'mark', -1, 'chain', '0')"
 _NONE = f"cast(array() as array<{ROW}>)"
 
 

@@ -205,7 +205,41 @@ def paid_loops() -> tuple[str, str]:
     )
 
 
-RULES = [unguarded_parse, check_then_act, session_revoke_missing, server_actions, unbound_sessions, kind_aware, paid_loops]
+# Values from assignment to assignment, into calls and to file sinks.
+NAME = r"[A-Za-z_$][\w$]*"
+ASSIGN = rf"(?:\b(?:const|let|var)\s+|^\s*)({NAME})\s*(?::[^=\n]+)?=\s*([^=>\s][^\n]*)"
+KILLED = rf"^(?:await\s+)?(?:{NAME}\s*\.\s*)*" + P.C.MADE_SAFE
+CALL_WITH = rf"({NAME})\s*\(([^()]*)\)"
+FUNCTION_NAME = rf"\b(?:function|const|let|var)\s+({NAME})"
+PARAMETER_LIST = r"\(([^()]*)\)"
+SINK_ARGUMENT = P.FS_CALL + r"\s*([^,)\n]*)"
+
+
+def value_flow() -> tuple[str, str]:
+    """Assignments, parameters, calls, functions that read the caller's data, and file sinks.
+
+    Keys begin with the chain of functions around the piece, since a name may be any of theirs.
+    """
+    target, value = f"regexp_extract(p.text, {lit(ASSIGN)}, 1)", f"regexp_extract(p.text, {lit(ASSIGN)}, 2)"
+    level = f"case when {rlike(value, KILLED)} then 2 when {rlike(value, P.C.FROM_CALLER)} then 1 else 0 end"
+    name = f"regexp_extract(s.text, {lit(FUNCTION_NAME)}, 1)"
+    named = f"s.kind = 'function' and {rlike('s.text', FUNCTION_NAME)}"
+    calls = f"arrays_zip(regexp_extract_all(p.text, {lit(CALL_WITH)}, 1), regexp_extract_all(p.text, {lit(CALL_WITH)}, 2))"
+    argument = f"regexp_extract(p.text, {lit(SINK_ARGUMENT)}, 2)"
+    parts = [
+        f"transform(filter(ps, p -> {rlike('p.text', ASSIGN)}), p -> {fact('flow', f'concat(p.chain, {lit("|")}, {target})', 'p.start', value, level)})",
+        f"flatten(transform(filter(ps, p -> {rlike('p.text', CALL_WITH)}), p -> transform({calls}, z -> {fact('pass', f'concat(p.chain, {lit("|")}, z[{lit("0")}])', 'p.start', 'z[' + lit('1') + ']')})))",
+        f"transform(filter(fs, s -> {named}), s -> {fact('param', name, 's.start', f'regexp_extract(s.text, {lit(PARAMETER_LIST)}, 1)', 's.id')})",
+        f"transform(filter(fs, s -> {named} and {rlike(BODY, P.C.FROM_CALLER)}), s -> {fact('reads_caller', name)})",
+        f"transform(filter(ps, p -> {rlike('p.text', P.FS_CALL)} and not {rlike(argument, P.C.MADE_SAFE)}), p -> {fact('sink', f'concat(p.chain, {lit("|")}, {argument})', 'p.start', LINE)})",
+    ]
+    return _gate(
+        [rlike("path", P.CODE), f"not {rlike('path', '(test|spec|fixtures?)')}", f"({rlike('dense', P.C.FROM_CALLER)} or {rlike('dense', P.FS_CALL)} and {rlike('dense', P.FS_IMPORT)})"],
+        f"concat({', '.join(parts)})",
+    )
+
+
+RULES = [unguarded_parse, check_then_act, session_revoke_missing, server_actions, unbound_sessions, kind_aware, paid_loops, value_flow]
 
 
 def concerned() -> str:

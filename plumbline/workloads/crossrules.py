@@ -301,14 +301,10 @@ r AS (SELECT project, path, line_no AS line, text AS snippet FROM b WHERE EXISTS
    AND NOT EXISTS (SELECT 1 FROM k WHERE k.project = b.project AND k.fn = b.fn) QUALIFY row_number() OVER (PARTITION BY project, path ORDER BY line_no) = 1)
 {finding()}"""
 
-_ASSIGN = r"\b(?:const|let|var)\s+([a-zA-Z_$][\w$]*)\s*=\s*[^;\n]*" + P.C.FROM_CALLER
-TRAVERSAL = f"""{BASE}, {_IMPORTS},
+TRAVERSAL = f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {_IMPORTS}, {E.flow_sql()},
 su AS (SELECT project, path FROM files WHERE NOT is_test AND {CODE} AND ({rx('clean', X.SURFACE_TEXT)} OR {rx('path', X.SURFACE_PATH)})),
-s AS (SELECT cl.*, regexp_extract(text, {q(X.FS_USE)}, 2) AS a, {MODULE} AS md FROM cl WHERE NOT is_test AND {CODE} AND NOT regexp_matches(path, '(test|spec|fixtures?)')
-   AND {rx('clean', P.FS_IMPORT)} AND {rx('text', X.FS_USE)} AND NOT {rx('text', P.C.MADE_SAFE)}),
-r AS (SELECT project, path, line_no AS line, text AS snippet FROM s WHERE ({rx('a', P.C.FROM_CALLER)} OR list_contains(regexp_extract_all(clean, {q(_ASSIGN)}, 1), a))
-   AND (EXISTS (SELECT 1 FROM su WHERE su.project = s.project AND su.path = s.path)
-        OR EXISTS (SELECT 1 FROM im JOIN su ON su.project = im.project AND su.path = im.path WHERE im.project = s.project AND im.k = s.md)))
+r AS (SELECT project, path, line, snippet FROM sk WHERE EXISTS (SELECT 1 FROM su WHERE su.project = sk.project AND su.path = sk.path)
+      OR EXISTS (SELECT 1 FROM im JOIN su ON su.project = im.project AND su.path = im.path WHERE im.project = sk.project AND im.k = {MODULE.replace("path", "sk.path")}))
 {finding()}"""
 
 _RL = ["serverless", "own_server", "cluster", "vercel_json", "vercel_hint"]
@@ -373,7 +369,7 @@ QUERIES = {
         run([within(scoped.unbound_sessions)], lambda f, g, h, c: X.unbound_findings(f, h), helpers=True), UNBOUND
     ),
     "rule_gate_condition_too_broad": Query(run([X.broad_gates, within(scoped.kind_aware)], lambda f, g: X.broad_gate_findings(f, g)), BROAD),
-    "rule_path_traversal": Query(run([X.file_paths, X.imports], lambda f, g: X.path_traversal(f)), TRAVERSAL),
+    "rule_path_traversal": Query(run([X.surfaces, within(scoped.value_flow), X.imports], lambda f, g: X.path_traversal(f)), TRAVERSAL),
     "rule_inmemory_ratelimit": Query(
         run([X.memory_limiters, X.imports], lambda f, g: X.memory_limiter_findings(f, g)), MEMORY
     ),

@@ -144,3 +144,43 @@ def interval_sql() -> str:
     """The interval table itself, of all script and Python files."""
     return f"""{scope_sql("regexp_matches(path, '[.](py|ts|tsx|js|jsx|mjs|cjs)$')")}
 SELECT iv.project, iv.path, iv.kind, CAST(iv.start AS INTEGER) AS start FROM iv WHERE kind <> 'block'"""
+
+
+def flow_sql() -> str:
+    """sk(project, path, line, snippet): file sinks that the caller's data reaches; needs im(project, path, k)."""
+    where = (
+        f"{rx('path', X.P.CODE)} AND NOT regexp_matches(path, '(test|spec|fixtures?)') "
+        f"AND ({rx('clean', X.P.C.FROM_CALLER)} OR {rx('clean', X.P.FS_CALL)} AND {rx('clean', X.P.FS_IMPORT)})"
+    )
+    strings, members = q("\"[^\"]*\"|'[^']*'"), q(r"\.\s*[A-Za-z_$][\w$]*")
+    names = lambda text: f"unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace({text}, {strings}, ' ', 'g'), {members}, ' ', 'g'), {q(X.NAME)})))"
+    module = "regexp_replace(split_part({0}, '/', -1), '[.][^.]+$', '')"
+    callee, parameter, argument = q(rf"({X.NAME})\s*\("), q(rf"^\s*({X.NAME})"), q(rf"^\s*({X.NAME})\s*$")
+    return f"""{scope_sql(where)},
+ch AS (SELECT project, path, tok, 0 AS func FROM p0
+       UNION ALL SELECT p.project, p.path, p.tok, v.a FROM p0 p JOIN iv v ON v.project = p.project AND v.path = p.path AND v.kind = 'function' AND v.a < p.tok AND v.b > p.tok),
+fa AS (SELECT project, path, tok, func, regexp_extract(text, {q(X.ASSIGN)}, 1) AS dst, regexp_extract(text, {q(X.ASSIGN)}, 2) AS val FROM pc WHERE {rx('text', X.ASSIGN)}),
+fk AS (SELECT * FROM fa WHERE NOT {rx('val', X.KILLED)}),
+fn AS (SELECT *, {names('val')} AS name FROM fk),
+rd AS (SELECT DISTINCT project, regexp_extract(head, {q(X.FUNCTION_NAME)}, 1) AS callee FROM fb WHERE func > 0 AND {rx('head', X.FUNCTION_NAME)} AND {rx('body', X.P.C.FROM_CALLER)}),
+fc AS (SELECT project, path, func, dst, unnest(regexp_extract_all(val, {callee}, 1)) AS callee FROM fk),
+pm0 AS (SELECT project, path, func, regexp_extract(head, {q(X.FUNCTION_NAME)}, 1) AS callee, string_split(regexp_extract(head, {q(X.PARAMETER_LIST)}, 1), ',') AS l
+        FROM fb WHERE func > 0 AND {rx('head', X.FUNCTION_NAME)}),
+pm1 AS (SELECT project, path, func, callee, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM pm0),
+pm AS (SELECT project, path, func, callee, pos, regexp_extract(x, {parameter}, 1) AS param FROM pm1),
+ps0 AS (SELECT project, path, tok, unnest(regexp_extract_all(text, {q(X.CALL_WITH)}, 1)) AS callee, unnest(regexp_extract_all(text, {q(X.CALL_WITH)}, 2)) AS args FROM pc),
+ps1 AS (SELECT project, path, tok, callee, unnest(string_split(args, ',')) AS arg, generate_subscripts(string_split(args, ','), 1) AS pos FROM ps0),
+mt AS (SELECT s.project, s.path, s.tok, s.arg, m.path AS tp, m.func AS tf, m.param AS tn FROM ps1 s JOIN pm m ON m.project = s.project AND m.callee = s.callee AND m.pos = s.pos
+       WHERE m.param <> '' AND (m.path = s.path OR EXISTS (SELECT 1 FROM im WHERE im.project = s.project AND im.path = s.path AND im.k = {module.format('m.path')}))),
+ed AS (SELECT DISTINCT n.project, n.path, ch.func, n.name, n.path AS tp, n.func AS tf, n.dst AS tn FROM fn n JOIN ch USING (project, path, tok)
+       UNION SELECT mt.project, mt.path, ch.func, regexp_extract(arg, {argument}, 1), tp, tf, tn FROM mt JOIN ch USING (project, path, tok)),
+tt AS (SELECT project, path, func, dst AS name FROM fk WHERE {rx('val', X.P.C.FROM_CALLER)}
+       UNION SELECT fc.project, fc.path, fc.func, fc.dst FROM fc JOIN rd USING (project, callee)
+       UNION SELECT project, tp, tf, tn FROM mt WHERE {rx('arg', X.P.C.FROM_CALLER)} AND NOT {rx('arg', X.P.C.MADE_SAFE)}
+       UNION SELECT ed.project, ed.tp, ed.tf, ed.tn FROM tt JOIN ed ON ed.project = tt.project AND ed.path = tt.path AND ed.func = tt.func AND ed.name = tt.name AND ed.name <> ''),
+s0 AS (SELECT p.project, p.path, p.tok, p.line, {LINE_TEXT} AS snippet, regexp_extract(text, {q(X.SINK_ARGUMENT)}, 2) AS arg FROM pc p WHERE {rx('text', X.P.FS_CALL)}),
+s1 AS (SELECT * FROM s0 WHERE NOT {rx('arg', X.P.C.MADE_SAFE)}),
+s2 AS (SELECT *, {names('arg')} AS name FROM s1),
+sk AS (SELECT project, path, line, snippet FROM s1 WHERE {rx('arg', X.P.C.FROM_CALLER)}
+       UNION SELECT s2.project, s2.path, s2.line, s2.snippet FROM s2 JOIN ch USING (project, path, tok)
+             JOIN tt ON tt.project = s2.project AND tt.path = s2.path AND tt.func = ch.func AND tt.name = s2.name)"""

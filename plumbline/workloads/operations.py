@@ -697,8 +697,11 @@ def _inner(sql: str) -> str:
     """A twin without its copy of the seeded corpus, to be nested under one."""
     head = f"WITH {seed.seeded_sql()}"
     body = sql.strip()
+    recursive = body.startswith("WITH RECURSIVE")
+    if recursive:
+        body = body.replace("WITH RECURSIVE", "WITH", 1)
     assert body.startswith(head.strip()), body[:80]
-    return "WITH " + body[len(head.strip()):].lstrip().lstrip(",")
+    return ("WITH RECURSIVE " if recursive else "WITH ") + body[len(head.strip()):].lstrip().lstrip(",")
 
 
 def all_findings_sql() -> str:

@@ -233,6 +233,10 @@ SEEDS: list[Seed] = [
     *bad("a07-weak-random-token", ("src/lib/{id}nonce.ts", "export function start() {\n  const loginNonce = Math.random();\n  return loginNonce;\n}")),
     *ok("a07-weak-random-token", ("src/lib/{id}times.ts", "export function start() {\n  const resetTime = Date.now();\n  return resetTime;\n}")),
     *bad("a01-mass-assignment", ("src/lib/{id}model.ts", "export async function add(req) {\n  return new UserModel(req.body);\n}")),
+    # Values that take more than one step to a file.
+    *bad("a01-path-traversal", ("src/app/api/{id}steps/route.ts", "import fs from 'fs';\nexport async function GET(req) {\n  const asked = req.query.name;\n  const full = join(base, asked);\n  let place = full;\n  return fs.readFile(place);\n}")),
+    *bad("a01-path-traversal", ("src/app/api/{id}deep/route.ts", "import fs from 'fs';\nfunction load(root, place) {\n  return fs.readFile(place);\n}\nexport async function GET(req) {\n  const asked = req.query.name;\n  return load(base, asked);\n}")),
+    *ok("a01-path-traversal", ("src/app/api/{id}safe/route.ts", "import fs from 'fs';\nexport async function GET(req) {\n  const asked = sanitizePath(req.query.name);\n  const place = asked;\n  return fs.readFile(place);\n}")),
     # Scopes that reach further than a window of lines or characters.
     *bad("a04-unguarded-json-parse", ("app/{id}read.py", "import json\n\ndef read(x):\n    try:\n        g(x)\n    except ValueError:\n        h(x)\n    return json.loads(x)")),
     *bad("a04-unguarded-json-parse", ("src/server/{id}each.ts", "export function each(rows) {\n  try {\n    rows.forEach((row) => {\n      use(JSON.parse(row));\n    });\n  } catch (e) {\n    return null;\n  }\n}")),
