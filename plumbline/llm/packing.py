@@ -39,7 +39,7 @@ ROOM = 2048
 END_ID = 0
 #: Words, and lower-case stems of words, whose ids a Python worker remembers. A full memory is
 #: emptied, which changes no result.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 MEMORY_STEMS = 1_200_000
 #: ASCII signs that this vocabulary always parts from letters before them. The apostrophe is
 #: not one of them, since it begins contractions.
@@ -88,14 +88,21 @@ class Encoder:
             self.stems[stem] = data[4 * at : 4 * end]
             at = end
 
+    def _learn_others(self, new: list[bytes]) -> None:
+        """Encode many words in one call, each on its own."""
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+
     def _learn(self, new: set[bytes]) -> None:
-        split = {}
+        split, others = {}, []
         for w in new:
             stem = w.rstrip(TAIL)
             if stem.isalpha():  # ASCII letters only
                 split[w] = stem.lower(), w[len(stem) :]
             else:
-                self.words[w] = self.plain(w.decode())
+                others.append(w)
+        if others:
+            self._learn_others(others)
         stems = list({stem for stem, _ in split.values() if stem not in self.stems})
         if stems:
             self._learn_stems(stems)
