@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.workloads import crossrules, detection, measure, operations
+from plumbline.workloads import crossrules, detection, exchange, measure, operations
 from plumbline.workloads.common import Query
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for module in (measure, detection, crossrules, operations):
+    for module in (measure, detection, crossrules, operations, exchange):
         out.update(module.QUERIES)
     return out
