@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators.joins import spread_join
+from plumbline.sources.tree import dot_files
 
 # What is scanned and what is never scanned.
 INCLUDE = (
@@ -62,13 +63,17 @@ def scan_corpus(
     With ``size_limit`` larger files are not opened; ``oversized`` lists them. The path is
     tested before content is decoded.
 
-    Spark's file sources skip names that start with a dot. Such files (.env,
-    .gitignore) come in through ``hidden(project, path, content, size)``.
+    Files whose names start with a dot (.env, .gitignore) come from a data source of their
+    own where ``root`` is a folder that driver and executors share, and through
+    ``hidden(project, path, content, size)`` where it is not, such as a bucket.
     """
     named = _named_files(spark, root)
     if size_limit is not None:
         named = named.where(F.col("size") <= size_limit)
     files = named.select("project", "path", lenient(F.col("__bytes")).alias("content"), "size")
+    if hidden is None and root.startswith(("/", "file:")):
+        dotted = dot_files(spark, root, INCLUDE, IGNORE, size_limit)
+        hidden = dotted.select("project", "path", lenient(F.col("content")).alias("content"), "size")
     if hidden is not None:
         files = files.unionByName(hidden.where(wanted_path(F.col("path"))).select(*files.columns))
     return with_path_columns(drop_minified(files))
