@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +89,9 @@ def oversized(spark: SparkSession, root: str, size_limit: int) -> DataFrame:
 def _named_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.substring_index(F.col("path"), base + "/", -1)
+    # File names come back with a scheme of Spark's own spelling.
+    folder = re.sub("^[a-z0-9]+:(//[^/]*)?(?=/)", "", base)
+    relative = F.substring_index(F.col("path"), folder + "/", -1)
     return raw.select(
         F.regexp_extract(relative, "^([^/]+)/", 1).alias("project"),
         F.regexp_replace(relative, "^[^/]+/", "").alias("path"),
