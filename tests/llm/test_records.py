@@ -236,3 +236,36 @@ def test_extraction_held_out(spark, shared_folder):
 @pytest.mark.parametrize("junk", ["<", "<a", "<p class='x", "&am", "<!-- open", "<script>x", "a < b > c", "</p></div>", "<p" * 50, '<a "' * 3000])
 def test_broken_markup(junk):
     assert re.sub(r"\s", "", "".join(b.text for b in extraction.leaf_blocks("<p>kept</p>" + junk))).startswith("kept")
+
+
+def plain_permutation(x, n, seed=sharding.SEED):
+    """The network and its walk in plain Python, with the hash of the same name from its own library."""
+    import math
+
+    import xxhash
+
+    def value(half, i):
+        h = 42
+        for width, v in ((8, half), (4, i), (4, seed)):
+            h = xxhash.xxh64_intdigest(v.to_bytes(width, "little"), h)
+        return h & (2**63 - 1)
+
+    a = math.ceil(math.sqrt(n))
+    b = math.ceil(n / a)
+    while True:
+        left, right = x % a, x // a
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + value(right, i)) % a
+            else:
+                right = (right + value(left, i)) % b
+        x = right * a + left
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 97, 1000])
+def test_permutation_is_the_feistel_network(spark, n):
+    got = spark.range(n).select("id", F.lit(n).cast("long").alias("n")).select("id", sharding.permuted("id", "n").alias("p")).collect()
+    assert {r.id: r.p for r in got} == {x: plain_permutation(x, n) for x in range(n)}
+    assert sorted(r.p for r in got) == list(range(n))
