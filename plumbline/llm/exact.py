@@ -131,7 +131,7 @@ def shared_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", patt
 
 
 def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(C.table(spark, sf_dir, "documents"))
+    return exact_duplicates(C.table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 SQL = """
