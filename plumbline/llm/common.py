@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpoint_dir
+from plumbline.session import checkpoint_dir, ship
 
 #: Text bytes that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -27,20 +25,6 @@ class Query:
     sql: str | None = None
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, where their PYTHONPATH doesn't have it.
-
-    Spark itself hands the archive from the driver to the executors.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    context = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_plumbline_shipped", False):
-        return
-    base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "plumbline")
-    context.addPyFile(shutil.make_archive(base, "zip", root, "plumbline"))
-    context._plumbline_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,6 +52,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, where their PYTHONPATH doesn't have it.
+
+    Spark itself hands the archive from the driver to the executors.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_plumbline_shipped", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "plumbline")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "plumbline"))
+    context._plumbline_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and stops plans from growing.
 

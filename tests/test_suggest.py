@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -78,3 +79,26 @@ def test_common_words_make_no_pairs(spark):
     finally:
         S._scored = scored
     assert sum(seen) < 1000 < 200 * 199
+
+
+@pytest.mark.parametrize("dense,at_once", [(0.07, 4_000_000), (0.5, 40), (2, 500)])
+def test_blocks_of_a_host_against_all_pairs(spark, monkeypatch, dense, at_once):
+    """A host in many blocks, few sums at a time; Python workers get what is set here."""
+    for name, value in (("LEAST", 5), ("BLOCK", 7), ("FEW", 2)):
+        monkeypatch.setattr(S, name, value)
+    tile = S._tile
+    monkeypatch.setattr(S, "_tile", lambda k, few: tile(k, few, dense, at_once))
+    rows = site(80, 5)
+    got = defaultdict(list)
+    for r in S.link_suggestions(spark.createDataFrame(rows, "url string, html string"), 2).where("source like '%.example%'").orderBy("source", "rank").collect():
+        got[r.source].append((r.target, r.score))
+    assert got == brute(rows, 2)
+
+
+def test_long_pages_are_scored_in_proportion_to_their_words(spark):
+    """300 pages of 400 common words: comparing each word with each took 14 thousand million steps."""
+    names = ["w" + "".join("abcdefghij"[int(c)] for c in f"{i:03}") for i in range(1000)]
+    rows = [(f"http://h/{i}", f"<p>{' '.join(random.Random(i).sample(names, 400))}</p>") for i in range(300)]
+    start = time.monotonic()
+    assert S.link_suggestions(spark.createDataFrame(rows, "url string, html string")).count() == 900
+    assert time.monotonic() - start < 60
