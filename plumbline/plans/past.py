@@ -42,7 +42,10 @@ ENV_VALUE = r"^[A-Z0-9_]+\s*=\s*[^\s#]{6,}"
 
 
 def history_secrets(diff: DataFrame) -> DataFrame:
-    """Secret literals and environment files among added lines; expressions do not count."""
+    """Secret literals and environment files among added lines; expressions do not count.
+
+    ``line`` has the type of ``line_no``: places in a table of diffs can pass the range of an int.
+    """
     added = added_lines(diff).where(F.col("file").isNotNull())
     production = added.where(
         ~T.is_test_path(F.col("file")) & ~F.col("file").rlike("(?i)[.](md|mdx|txt|rst)$|[.](example|sample|template)$")
@@ -60,7 +63,7 @@ def history_secrets(diff: DataFrame) -> DataFrame:
         F.col("diff_id").alias("project"),
         F.lit("a02-secrets-git-history").alias("rule_id"),
         "file",
-        F.col("line_no").cast("int").alias("line"),
+        F.col("line_no").alias("line"),
         F.concat_ws(" ", F.lit("commit"), F.substring("commit", 1, 8)).alias("snippet"),
         F.lit("high").alias("severity"),
         F.when(F.col("name") == "secret literal", F.lit("likely")).otherwise(F.lit("certain")).alias("confidence"),

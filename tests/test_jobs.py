@@ -157,6 +157,20 @@ def test_history_secrets(spark):
     assert got == {(".env", "committed environment file"), ("src/config.ts", "provider key")}
 
 
+def test_history_secrets_far_down_a_diff(spark, tmp_path):
+    """Lines past the range of an int keep their number; below it the query keeps the twin's type."""
+    from plumbline.workloads import operations
+
+    def run(doc):
+        text = 'api_key = "a1b2c3d4e5f6g7h8"'
+        spark.createDataFrame([(1, "x", "s"), (doc, text, "s")], "doc_id long, text string, source string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return operations.history_secrets(spark, str(tmp_path))
+
+    assert [(r.file, r.line) for r in run(51_281).collect()] == [("src/51281.ts", 51_281_000_002)]
+    small = run(2_001)
+    assert small.schema["line"].dataType.simpleString() == "int" and [r.line for r in small.collect()] == [2_001_000_002]
+
+
 def test_gaps_missing_targets_and_custom_rules(spark):
     files = spark.createDataFrame([("a", "README.md", "hello", None)], "project string, path string, content string, tracked boolean")
     projects = spark.createDataFrame([("a", "/a", False, None), ("b", "/b", False, None), ("c", "/c", False, None)], "name string, path string, owned boolean, url string")
