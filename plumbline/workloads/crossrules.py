@@ -21,18 +21,18 @@ from plumbline.workloads.measure import ENTROPY_SQL
 COLS = ["project", "file", "line", "snippet", "severity"]
 
 
-def run(extractors: list, build: Callable, helpers: bool = False):
-    """Scan with the given extractors only, then build the findings."""
+def run(extractors: list, build: Callable, helpers: bool = False, flags: bool = True):
+    """Scan with the given extractors only, then build the findings; ``flags`` where a rule asks for them."""
 
     def go(spark: SparkSession, d: str) -> DataFrame:
         facts = cut_lineage(
-            D.scan_facts(seed.seeded_files(spark, d), [], [e() for e in extractors], with_flags=True, with_helpers=helpers)
+            D.scan_facts(seed.seeded_files(spark, d), [], [e() for e in extractors], with_flags=flags, with_helpers=helpers)
         )
-        flags = cut_lineage(D.project_flags(facts))
+        held = cut_lineage(D.project_flags(facts)) if flags else None
         if not helpers:
-            return build(facts, flags).select(*COLS)
+            return build(facts, held).select(*COLS)
         known = D.helper_names(facts)
-        return build(facts, flags, known, D.files_calling(facts, known)).select(*COLS)
+        return build(facts, held, known, D.files_calling(facts, known)).select(*COLS)
 
     return go
 
@@ -369,7 +369,7 @@ QUERIES = {
         run([within(scoped.unbound_sessions)], lambda f, g, h, c: X.unbound_findings(f, h), helpers=True), UNBOUND
     ),
     "rule_gate_condition_too_broad": Query(run([X.broad_gates, within(scoped.kind_aware)], lambda f, g: X.broad_gate_findings(f, g)), BROAD),
-    "rule_path_traversal": Query(run([X.surfaces, within(scoped.value_flow), X.imports], lambda f, g: X.path_traversal(f)), TRAVERSAL),
+    "rule_path_traversal": Query(run([X.surfaces, within(scoped.value_flow), X.imports], lambda f, g: X.path_traversal(f), flags=False), TRAVERSAL),
     "rule_inmemory_ratelimit": Query(
         run([X.memory_limiters, X.imports], lambda f, g: X.memory_limiter_findings(f, g)), MEMORY
     ),
