@@ -102,8 +102,9 @@ def squeeze(text: Column) -> Column:
     Blanked comments are most of many files. No pattern can tell a run of 310 blanks
     from a longer one, and whole-file tests then skip them.
     """
-    inner = F.regexp_replace(text, f"([ \\t]{{{LONGEST_GAP}}})[ \\t]+", "$1")
-    return F.regexp_replace(inner, f"(\\s{{{LONGEST_GAP}}})\\s*\\n", "$1\n")
+    # A run is looked at from its start only, so the work is linear in its length.
+    inner = F.regexp_replace(text, f"(?<![ \\t])([ \\t]{{{LONGEST_GAP}}})[ \\t]++", "$1")
+    return F.regexp_replace(inner, f"(?<!\\s)(\\s{{{LONGEST_GAP}}})\\s*\\n", "$1\n")
 
 
 def _surface_text(surface: str) -> str:
