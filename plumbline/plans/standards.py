@@ -147,12 +147,12 @@ def standards_profile(flags: DataFrame, findings: DataFrame, stacks: DataFrame)
     rank = F.when(F.col("rule_id") == "a02-hardcoded-secret", F.when(certain_secret, 0).otherwise(1)).otherwise(
         S.order(F.col("severity"))
     )
-    env = findings.where((F.col("rule_id") == "a02-env-file-committed") & (F.col("note") == "tracked")).select(
-        "project", F.lit("env-tracked").alias("rule_id"), F.lit(0).alias("rank")
-    )
+    # A tracked environment file counts twice. Both rows come from one, so findings are made once.
+    env = F.when((F.col("rule_id") == "a02-env-file-committed") & (F.col("note") == "tracked"), F.struct(F.lit("env-tracked").alias("rule_id"), F.lit(0).alias("rank")))
+    both = F.array_compact(F.array(F.struct("rule_id", rank.alias("rank")), env))
     worst = (
-        findings.select("project", "rule_id", rank.alias("rank"))
-        .unionByName(env)
+        findings.select("project", F.explode(both).alias("r"))
+        .select("project", "r.*")
         .groupBy("project", "rule_id")
         .agg(F.min("rank").alias("rank"))
         .groupBy("project")
