@@ -22,7 +22,7 @@ from plumbline.operators.joins import spread_join
 from plumbline.plans import audit as A
 from plumbline.plans import crossfile as X
 from plumbline.plans import detect as D
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, store_by
 
 FILE_SCHEMA = "project string, path string, content string, tracked boolean, deleted boolean"
 FACT_SCHEMA = "project string, path string, kind string, key string, line int, text string, level int"
@@ -98,7 +98,8 @@ def upsert(batch: DataFrame, batch_id: int, path: str) -> None:
     stay = spread_join(old, came, ["project", "path"], "left_anti", spread_by=["kind", "key"])
     state = cut_lineage(stay.unionByName(facts.select(*stay.columns)))
     again = spread_join(state, projects.select("project"), ["project"], "left_semi", spread_by=["path", "key"])
-    found = audit_facts(cut_lineage(again)).select(*[c.split()[0] for c in FINDING_SCHEMA.split(", ")])
+    # Stored by kind: some sixty branches read it, each its own kinds.
+    found = audit_facts(store_by(again, "kind")).select(*[c.split()[0] for c in FINDING_SCHEMA.split(", ")])
     others = _current(spark, path, "findings", named, FINDING_SCHEMA).join(projects.select("project"), "project", "left_anti")
     for table, rows in (("facts", state), ("findings", others.unionByName(found))):
         # A bucket whose last file is gone keeps an empty generation.
