@@ -42,6 +42,8 @@ DENSE = 0.07
 FEW = 32
 #: Sums taken at a time.
 AT_ONCE = 4_000_000
+#: Words of a host that are looked up first where suggestions are only counted. It changes the cost, not the result.
+WITNESSES = 64
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1))"
 _PATH = "coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
@@ -53,20 +55,38 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"\s+", " "))
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """node, host, text, weight, words (heaviest first), ids and ws (words of several pages) of each page; stored.
+def page_texts(pages: DataFrame) -> DataFrame:
+    """host, node, text of each page; stored.
 
-    A page is its host and path; of several rows for one page the smallest markup counts.
+    A page is its host and path; of several rows for one page the smallest markup counts. The
+    number of partitions is given, since a small table would else become few tasks here.
     """
     page = pages.select(F.expr(_HOST).alias("host"), F.expr(f"concat({_HOST}, {_PATH})").alias("node"), F.coalesce("html", F.lit("")).alias("html"))
-    texts = cut_lineage(page.groupBy("host", "node").agg(F.min("html").alias("html")).select("host", "node", plain_text(F.col("html")).alias("text")))
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
-    words = texts.select("host", "node", F.explode(found).alias("word"))
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.sparkSession.sparkContext.defaultParallelism)
+    markup = page.repartition(n, "host", "node").groupBy("host", "node").agg(F.min("html").alias("html"))
+    return cut_lineage(markup.select("host", "node", plain_text(F.col("html")).alias("text")))
+
+
+def _found() -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
+
+
+def _words_of(texts: DataFrame) -> DataFrame:
+    return texts.select("host", "node", F.explode(_found()).alias("word"))
+
+
+def _weighed(texts: DataFrame) -> DataFrame:
+    """host, word, df (pages with the word), w of each word of a host."""
     total = texts.groupBy("host").agg(F.count("*").alias("n"))
-    common = words.groupBy("host", "word").agg(F.count("*").alias("df"))
-    weighed = spread_join(common, total, ["host"], spread_by=["word"]).select(
-        "host", "word", F.floor(1000 * F.log(F.col("n") / F.col("df"))).cast("long").alias("w"), F.when(F.col("df") > 1, F.monotonically_increasing_id()).alias("id")
-    )
+    common = _words_of(texts).groupBy("host", "word").agg(F.count("*").alias("df"))
+    return spread_join(common, total, ["host"], spread_by=["word"]).select("host", "word", "df", F.floor(1000 * F.log(F.col("n") / F.col("df"))).cast("long").alias("w"))
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """node, host, text, weight, words (heaviest first), ids and ws (words of several pages) of each page; stored."""
+    texts = page_texts(pages)
+    words = _words_of(texts)
+    weighed = _weighed(texts).select("host", "word", "w", F.when(F.col("df") > 1, F.monotonically_increasing_id()).alias("id"))
     rows = spread_join(words, cut_lineage(weighed.where("w > 0")), ["host", "word"], spread_by=["node"])
     shared = F.when(F.col("id").isNotNull(), F.struct("id", "w"))
     listed = rows.groupBy("node").agg(
@@ -239,6 +259,42 @@ def similar_pages(words: DataFrame, linked: DataFrame, k: int = TOP) -> DataFram
     return _best(_scored(pairs, _Site(placed, linked, k)), k)
 
 
+def suggestion_counts(pages: DataFrame, edges: DataFrame, k: int = TOP) -> DataFrame:
+    """source, n: how many suggestions ``link_suggestions`` makes for each page that gets any.
+
+    Every page that shares a word of some weight and is not linked can be suggested, so no pair
+    has to be scored for the number. A word of ``df`` pages settles a page of fewer than
+    ``df - k`` links: it gets ``k``. The ``WITNESSES`` words of a host that most pages have
+    settle nearly all, all words of the others come next. What is left has only words of few
+    pages, at most ``k`` more than its links; their pages are listed and counted.
+    """
+    texts = page_texts(pages)
+    weighed = cut_lineage(_weighed(texts).where("w > 0 AND df > 1").select("host", "word", "df"))
+    links = edges.join(texts.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("links"))
+    enough = F.col("most") > F.coalesce("links", F.lit(0)) + k
+    front = weighed.withColumn("__at", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("df"), "word"))).where(F.col("__at") <= WITNESSES)
+    witnesses = front.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("dfs"))
+    most = F.array_max(F.transform(F.array_intersect(_found(), F.map_keys("dfs")), lambda x: F.col("dfs")[x]))
+    seen = spread_join(texts, witnesses, ["host"], spread_by=["node"]).select("node", most.alias("most"))
+    first = cut_lineage(seen.join(links, "node", "left").select("node", F.coalesce(enough, F.lit(False)).alias("enough")))
+    settled = first.where("enough").select("node")
+    # Pages of hosts without such words are not in ``first``; they get none.
+    rest = texts.join(first.where("NOT enough"), "node", "left_semi")
+    # Few pages against many words: salting would repeat the larger side.
+    held = cut_lineage(_words_of(rest).join(weighed, ["host", "word"]))
+    second = cut_lineage(held.groupBy("node").agg(F.max("df").alias("most")).join(links, "node", "left").select("node", enough.alias("enough")))
+    settled = settled.unionByName(second.where("enough").select("node"))
+    out = settled.select(F.col("node").alias("source"), F.lit(k).cast("long").alias("n"))
+    mine = held.join(second.where("NOT enough"), "node", "left_semi").select("host", "word", "node")
+    asked = cut_lineage(mine.select("host", "word").distinct())
+    if asked.isEmpty():
+        return out
+    others = spread_join(_words_of(texts), asked, ["host", "word"], spread_by=["node"]).withColumnRenamed("node", "other")
+    pairs = mine.join(others, ["host", "word"]).where("node <> other").select("node", "other").distinct()
+    free = pairs.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")), ["node", "other"], "left_anti")
+    return out.unionByName(free.groupBy(F.col("node").alias("source")).agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("n")))
+
+
 def link_suggestions(pages: DataFrame, k: int = TOP) -> DataFrame:
     """source, target, sentence, anchor, score, similarity, rank.
 

@@ -14,12 +14,12 @@ def link_health(pages: DataFrame, rounds: int = 10) -> DataFrame:
     return page_rank(nodes, edges, rounds)
 
 
-def link_summary(ranks: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
-    """One row: pages, orphans and number of link suggestions."""
+def link_summary(ranks: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row: pages, orphans and number of link suggestions; ``counts`` has n of each page."""
     counted = ranks.agg(
         F.count("*").alias("pages"), F.sum(F.col("orphan").cast("long")).alias("orphans"), F.max("pagerank").alias("top_rank")
     )
-    made = F.lit(0) if suggestions is None else suggestions.agg(F.count("*").alias("n")).scalar()
+    made = F.lit(0) if counts is None else counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     return counted.withColumn("suggestions", made.cast("long"))
 
 

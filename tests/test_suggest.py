@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from plumbline.operators import suggest as S
+from plumbline.operators.graph import page_links, page_rank
+from plumbline.plans import links
 
 
 def site(n, seed):
@@ -102,3 +104,32 @@ def test_long_pages_are_scored_in_proportion_to_their_words(spark):
     start = time.monotonic()
     assert S.link_suggestions(spark.createDataFrame(rows, "url string, html string")).count() == 900
     assert time.monotonic() - start < 60
+
+
+@pytest.mark.parametrize("witnesses,k", [(64, 3), (1, 3), (1, 40)])
+def test_counts_are_those_of_the_suggestions(spark, monkeypatch, witnesses, k):
+    """Without witnesses, with many links and with more wanted than a word has pages, the counts stay exact."""
+    monkeypatch.setattr(S, "WITNESSES", witnesses)
+    rows = site(90, 11)
+    everything = "".join(f'<a href="/p{i}">x</a>' for i in range(88))
+    rows += [("https://a.example/map", f"<p>{rows[1][1]}</p>{everything}"), ("https://c.example/1", "<p>alone together</p>"), ("https://c.example/2", "<p>alone apart</p>")]
+    rows += [("https://c.example/3", "<p>together nothing</p>"), ("https://c.example/4", "<p>different</p>")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = {r.source: r.n for r in S.suggestion_counts(pages, page_links(pages)[1], k).collect()}
+    assert got == {a: len(found) for a, found in brute(rows, k).items()}
+    assert got["c.example/1"] == 2 and "c.example/4" not in got
+
+
+def test_counting_scores_no_pair(spark, monkeypatch):
+    """The summary needs the number alone; scoring all pairs for it took 85 s on 12,820 pages."""
+    monkeypatch.setattr(S, "_scored", lambda *_: pytest.fail("pairs were scored"))
+    pages = spark.createDataFrame(site(90, 3), "url string, html string")
+    nodes, edges = page_links(pages)
+    row = links.link_summary(page_rank(nodes, edges, 2), S.suggestion_counts(pages, edges)).first()
+    assert row.suggestions == sum(len(x) for x in brute(site(90, 3), 3).values())
+
+
+def test_summary_of_no_pages(spark):
+    pages = spark.createDataFrame([], "url string, html string")
+    nodes, edges = page_links(pages)
+    assert links.link_summary(page_rank(nodes, edges, 2), S.suggestion_counts(pages, edges)).first().suggestions == 0
