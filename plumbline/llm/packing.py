@@ -3,9 +3,9 @@
 Documents are tokenised and closed with an end id; longer ones are cut into full pieces and
 a rest. Pieces are range-sorted by length, gaps (room left in open sequences) by size. In
 each superstep all pieces of one length, the longest left, look for their successor gap: the
-smallest gap that holds them. Pieces compete for gaps of that size by rank, the k-th piece
-of the length gets the k-th gap, those left go on to the next larger gap, and those without
-any open sequences of their own. Gaps are updated and the next length follows. That is
+smallest gap that holds them. A gap that holds several takes them before the next one, since
+what is left of it is the smallest gap that does. Pieces compete for gaps of that size by
+rank, those left go on to the next larger gap, and those without any open sequences of their own. Gaps are updated and the next length follows. That is
 best-fit decreasing, done for a whole length at a time.
 
 What is distributed: tokenising, counting lengths, ranking the pieces of a length (each task
@@ -196,27 +196,26 @@ def sweep(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int,
         rank, left = 0, counts[length]
         while left:
             at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):  # no successor: sequences of their own, one after the other full
-                per = room // length
-                full, more = divmod(left, per)
-                for first, many, slots in ((next_sequence, full, per), (next_sequence + full, 1, more)):
-                    for slot in range(slots if many else 0):
-                        out.append((length, rank, first, slot * length))
-                        rank += many
-                    if many and slots:
-                        open_gap(room - slots * length, first, many)
-                        next_sequence += many
-                break
-            size = sizes[at]
-            first, many = gaps[size].pop()
-            if not gaps[size]:
-                sizes.pop(at)
-            take = min(many, left)
-            out.append((length, rank, first, room - size))
-            rank, left = rank + take, left - take
-            if take < many:
-                open_gap(size, first + take, many - take)
-            open_gap(size - length, first, take)
+            if at == len(sizes):  # no successor: sequences of their own
+                size, first, many = room, next_sequence, -(-left // (room // length))
+                next_sequence += many
+            else:
+                size = sizes[at]
+                first, many = gaps[size].pop()
+                if not gaps[size]:
+                    sizes.pop(at)
+            # The rest of a gap that holds one more piece is the smallest that does, so each is filled before the next.
+            per = size // length
+            full, more = divmod(min(left, many * per), per)
+            for begin, width, slots in ((first, full, per), (first + full, 1, more)):
+                for slot in range(slots if width else 0):
+                    out.append((length, rank, begin, room - size + slot * length))
+                    rank, left = rank + width, left - width
+                if width and slots:
+                    open_gap(size - slots * length, begin, width)
+            used = full + (more > 0)
+            if used < many:
+                open_gap(size, first + used, many - used)
     return out
 
 

@@ -157,6 +157,12 @@ def test_encoder_equals_the_tokenizer(texts):
     assert list(own.encode([t.encode() for t in texts])) == [own.plain(t) for t in texts]
 
 
+def test_sweep_fills_a_gap_before_the_next():
+    """Pieces of 9 share one gap of 18, so pieces of 7 and 3 find room: four sequences, not five."""
+    runs = packing.sweep({22: 4, 9: 3, 7: 5, 3: 2}, 40)
+    assert all(first < 4 for _, _, first, _ in runs)
+
+
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_sweep_is_best_fit_decreasing(counts):
