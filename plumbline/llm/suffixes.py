@@ -82,6 +82,12 @@ class _Sorter:
         np.add.at(edge, self.heads, 1)
         np.add.at(edge, self.heads + larger, -1)
         self.large_slot = np.cumsum(edge[:-1]) > 0
+        # The letter before each place, turned if its suffix is a small one; the last entry is for slots without a suffix.
+        self.bytes = size == 256
+        self.before = np.empty(n + 1, np.int16 if self.bytes else np.int32)
+        self.before[1:] = text
+        self.before[1:][self.small] ^= -1
+        self.count = np.arange(1 << 16)
 
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """Order of all suffixes that follows from the order of the leftmost-smaller ones."""
@@ -93,6 +99,8 @@ class _Sorter:
         heads = self.heads.copy()
         out[heads[text[-1]]] = n - 1
         heads[text[-1]] += 1
+        before = self.before
+        before[[0, n]] = -1
         at, width = 0, 256
         while at < n:
             stretch = out[at : at + width]
@@ -100,16 +108,19 @@ class _Sorter:
             stop = int(holes.argmax())
             if not holes[stop]:
                 stop = len(stretch)
-            left = stretch[:stop]
-            left = left[left > 0] - 1
-            left = left[~small[left]]
-            if len(left):
-                order, rank, keys, many = _ranks(text[left])
-                out[np.repeat(heads[keys], many) + rank] = left[order]
+            stretch = stretch[:stop]
+            found = before.take(stretch)
+            live = (found >= 0).nonzero()[0]
+            if len(live):
+                order, keys, many, first = self._grouped(found[live])
+                place = (heads[keys] - first).repeat(many)
+                place += self.count[: len(live)]
+                out[place] = stretch[live][order] - 1
                 heads[keys] += many
             at += stop
             width = max(256, min(2 * stop, 1 << 16))
         out[~self.large_slot] = -1
+        before[[0, n]] = 0
         tails = self.tails.copy()
         at, width = n, 256
         while at > 0:
@@ -118,17 +129,35 @@ class _Sorter:
             stop = int(holes.argmax())
             if not holes[stop]:
                 stop = len(stretch)
-            left = stretch[:stop]
-            left = left[left > 0] - 1
-            left = left[small[left]]
-            if len(left):
-                order, rank, keys, many = _ranks(text[left])
-                out[np.repeat(tails[keys], many) - 1 - rank] = left[order]
+            stretch = stretch[:stop]
+            found = before.take(stretch)
+            live = (found < 0).nonzero()[0]
+            if len(live):
+                order, keys, many, first = self._grouped(~found[live])
+                place = (tails[keys] + (first - 1)).repeat(many)
+                place -= self.count[: len(live)]
+                out[place] = stretch[live][order] - 1
                 tails[keys] -= many
             at -= stop
             width = max(256, min(2 * stop, 1 << 16))
         return out
 
+    def _grouped(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray | slice, np.ndarray, np.ndarray]:
+        """Stable order by letter, the letters, how many have each, and where each begins in the order."""
+        if self.bytes:
+            letters = letters.astype(np.uint8)
+            many = np.bincount(letters, minlength=256)
+            return letters.argsort(kind="stable"), slice(None), many, many.cumsum() - many
+        order = letters.argsort(kind="stable")
+        ordered = letters[order]
+        new = np.ones(len(ordered), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        first = new.nonzero()[0]
+        many = np.empty_like(first)
+        many[-1] = len(ordered) - first[-1]
+        np.subtract(first[1:], first[:-1], out=many[:-1])
+        return order, ordered[first], many, first
+
     def names(self, ordered: np.ndarray) -> np.ndarray:
         """Numbers for sorted leftmost-smaller substrings: equal ones share theirs."""
         length = np.zeros(self.n, np.int64)
