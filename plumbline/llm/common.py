@@ -177,6 +177,21 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+_memories: list[Callable[[], None]] = []
+
+
+def on_other_work(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called when this Python worker goes on to a stage that needs no memory of words."""
+    if forget not in _memories:
+        _memories.append(forget)
+
+
+def other_work() -> None:
+    """Empty what a stage before has left in this worker, which outlives it and shares the executor's memory."""
+    for forget in _memories:
+        forget()
+
+
 def map_batches(
     df: DataFrame,
     columns: list,
@@ -188,6 +203,7 @@ def map_batches(
     """Run ``work`` over slices of bounded text size of the chosen columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_work()
         for batch in batches:
             for part in steps(batch, text, limit):
                 out = work(part)

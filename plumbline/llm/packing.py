@@ -37,10 +37,9 @@ from plumbline.llm import common as C
 
 ROOM = 2048
 END_ID = 0
-#: Words, and lower-case stems of words, whose ids a Python worker remembers. A full memory is
-#: emptied, which changes no result.
+#: Words and lower-case stems of words whose ids a Python worker remembers. A full memory is
+#: emptied, which changes no result, and so is that of a worker that goes on to other work.
 MEMORY_WORDS = 1_000_000
-MEMORY_STEMS = 1_200_000
 #: ASCII signs that this vocabulary always parts from letters before them. The apostrophe is
 #: not one of them, since it begins contractions.
 TAIL = b".,;:!?*#$%&|<>()\""
@@ -66,8 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}  # a stem is a word too
         self.tails: dict[bytes, bytes] = {b"": b""}
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
@@ -81,11 +79,11 @@ class Encoder:
         ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(ends) != len(new):  # a vocabulary without closing ids
-            self.stems.update((s, self.plain(s.decode())) for s in new)
+            self.words.update((s, self.plain(s.decode())) for s in new)
             return
         data, at = ids.tobytes(), 0
         for stem, end in zip(new, ends, strict=True):
-            self.stems[stem] = data[4 * at : 4 * end]
+            self.words[stem] = data[4 * at : 4 * end]
             at = end
 
     def _learn_others(self, new: list[bytes]) -> None:
@@ -103,20 +101,18 @@ class Encoder:
                 others.append(w)
         if others:
             self._learn_others(others)
-        stems = list({stem for stem, _ in split.values() if stem not in self.stems})
+        stems = list({stem for stem, _ in split.values() if stem not in self.words})
         if stems:
             self._learn_stems(stems)
         for w, (stem, tail) in split.items():
             if tail not in self.tails:
                 self.tails[tail] = self.plain(tail.decode())
-            self.words[w] = self.stems[stem] + self.tails[tail]
+            self.words[w] = self.words[stem] + self.tails[tail]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.words) > MEMORY_WORDS:
             self.words.clear()
-        if len(self.stems) > MEMORY_STEMS:
-            self.stems.clear()
         split = [t.split() for t in texts]
         known = [list(map(self.words.get, found)) for found in split]
         new = {w for found, ids in zip(split, known, strict=True) if None in ids for w, i in zip(found, ids, strict=True) if i is None}
@@ -131,10 +127,16 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.words.clear()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _encoders[path] = Encoder(path)
+        C.on_other_work(_forget)
     return _encoders[path]
 
 
@@ -235,6 +237,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     key_type = stored.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.other_work()
         for batch in batches:
             length = batch.column(3).to_numpy(zero_copy_only=False)
             rank = batch.column(5).to_numpy(zero_copy_only=False)

@@ -9,12 +9,14 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.llm import chat, extraction, packing, sharding, warc
+from plumbline.llm import common as C
 
 
 def test_sharding(docs, no_docs):
@@ -157,6 +159,19 @@ def test_encoder_equals_the_tokenizer(texts):
     assert list(own.encode([t.encode() for t in texts])) == [own.plain(t) for t in texts]
 
 
+def test_other_work_empties_the_memory_of_words(docs):
+    """A worker's words were kept through all later stages, beside what these need themselves."""
+    own = packing.encoder(packing.default_vocabulary())
+    list(own.encode([b"Some words."]))
+    assert own.words
+    C.other_work()
+    assert not own.words
+    rows = docs.repartition(16)
+    packing.pieces(rows).collect()
+    work = lambda batch: pa.RecordBatch.from_arrays([pa.array([sum(len(e.words) for e in packing._encoders.values())])], ["n"])
+    assert {r.n for r in C.map_batches(rows, ["text"], "text", "n long", work).collect()} == {0}
+
+
 def test_sweep_fills_a_gap_before_the_next():
     """Pieces of 9 share one gap of 18, so pieces of 7 and 3 find room: four sequences, not five."""
     runs = packing.sweep({22: 4, 9: 3, 7: 5, 3: 2}, 40)
