@@ -395,12 +395,23 @@ def kept_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     return own.select("key", F.expr("transform(filter(c, x -> x.stays), x -> x.line)").alias("lines"), F.expr("transform(c, x -> struct(x.id as id, x.n as n))").alias("classes"))
 
 
+#: ASCII white space, which parts words.
+_BLANK = " \t\n\r\x0b\x0c"
+
+
+def has_words(line: str, many: int) -> bool:
+    """Whether a line has so many different words."""
+    if many == 1:
+        return bool(line.strip(_BLANK))  # no need to take it apart
+    words = line.encode().lower().split()
+    return len(words) >= many and len(set(words)) >= many
+
+
 def cut_lines(text: str, kept: list[int], min_words: int = MIN_WORDS) -> tuple[str, int, int]:
     """The text without lines that take part and are not kept; how many took part and went."""
     keep, out, taking, gone = set(kept), [], 0, 0
     for n, line in enumerate(text.split("\n")):
-        words = line.encode().lower().split()
-        if len(words) >= min_words and len(set(words)) >= min_words:
+        if has_words(line, min_words):
             taking += 1
             if n not in keep:
                 gone += 1

@@ -5,6 +5,8 @@ import hashlib
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup as L
@@ -115,3 +117,8 @@ def test_short_lines_take_part(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in L.op2_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: (n, m, hashlib.sha256(t.encode()).hexdigest()) for i, (n, m, t) in enumerate(want)}
+
+
+@given(st.text(st.sampled_from("aB \t\r\x0b\x0c\x00\x1c\x1f\x85\xa0\u2003\u3000")), st.integers(1, 3))
+def test_has_words_equals_taking_the_line_apart(line, many):
+    assert L.has_words(line, many) == (len(words_of(line)) >= many)
