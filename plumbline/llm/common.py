@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, **options: str) -> DataFrame:
     """Write the rows into the shared checkpoint folder and go on from there.
 
     Cuts lineage like checkpoint(), survives lost executors, and later readers take only
@@ -38,7 +38,7 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    save(df, lambda writer: writer.parquet(path))
+    save(df, lambda writer: writer.options(**options).parquet(path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -122,3 +125,38 @@ def test_short_lines_take_part(spark, tmp_path):
 @given(st.text(st.sampled_from("aB \t\r\x0b\x0c\x00\x1c\x1f\x85\xa0\u2003\u3000")), st.integers(1, 3))
 def test_has_words_equals_taking_the_line_apart(line, many):
     assert L.has_words(line, many) == (len(words_of(line)) >= many)
+
+
+def test_postings_travel_in_blocks_and_all_classes_of_a_word_meet_once():
+    n, words, buckets = 60, np.arange(1, 4) << 57, 7
+    prefix = L._packed(np.tile(words, n), np.full(n, 3))
+    ids = np.arange(n)
+    columns = [pa.array(ids), pa.array(np.full(n, 9, np.int32)), pa.array(ids), pa.array(ids), prefix]
+    batch = pa.RecordBatch.from_arrays(columns, ["id", "size", "s0", "s1", "prefix"])
+    hot = L._hot_cell(words[:1]), np.array([4], np.int32)  # the first word goes into four blocks
+    out = list(L._postings(hot, buckets)([batch]))
+    assert sum(b.num_rows for b in out) <= buckets
+    met = collections.Counter()
+    for row in (r for b in out for r in b.to_pylist()):
+        word, tile, own, shape = (np.frombuffer(row[c], np.int64).tolist() for c in ("word", "tile", "id", "shape"))
+        rows = sorted(zip(word, tile, own, (x & 1 for x in shape), strict=True))
+        for (w, t, a, p), (v, u, b, q) in itertools.combinations(rows, 2):
+            if (w, t) == (v, u) and (t >> 32 == t & 0xFFFFFFFF or p != q):
+                met[w, min(a, b), max(a, b)] += 1
+    assert met == collections.Counter((w, a, b) for w in words.tolist() for a, b in itertools.combinations(range(n), 2))
+
+
+def test_candidates_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    base = [rng.choice(200, 20, replace=False) for _ in range(12)]
+    sets = sorted({tuple(sorted({*rng.choice(base[i % 12], 19, replace=False).tolist(), int(rng.integers(200))})) for i in range(120)})
+    size = np.array([len(s) for s in sets])
+    words = np.concatenate([np.array(s, np.uint64) << np.uint64(50) | np.array(s, np.uint64) for s in sets])
+    first, many = np.cumsum(size) - size, L.prefix_length(size)
+    of = np.repeat(np.arange(len(sets)), many)
+    shape = size[of] << 32 | L._take_runs(np.zeros(len(sets), np.int64), many) << 1
+    sketch = [s.view(np.int64)[of] for s in L.sketches(words, size)]
+    prefix = words[L._take_runs(first, many)].view(np.int64)
+    found = [r for b in L._candidates(10**6)(prefix, np.zeros(len(of), np.int64), of, shape, *sketch) for r in b.to_pylist()]
+    want = {(i, k) for i, k in itertools.combinations(range(len(sets)), 2) if 5 * len({*sets[i]} & {*sets[k]}) >= 4 * len({*sets[i]} | {*sets[k]})}
+    assert want <= {(r["a"], r["b"]) for r in found} and len(want) > 20
