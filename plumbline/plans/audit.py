@@ -58,14 +58,12 @@ def scan(files: DataFrame, projects: DataFrame | None = None) -> Context:
 def static_findings(
     ctx: Context, custom: Mapping[str, CustomRule] | None = None
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Findings of all rules; a rule that fails becomes a note and the others go on."""
+    """Findings of all rules. A built-in rule that fails ends the audit, since findings without
+    it would look whole; a custom rule that fails becomes a note and the others go on."""
     parts = [D.clause_findings(ctx.facts, ctx.flags, ctx.calling), D.project_findings(ctx.flags)]
     notes: list[tuple[str, str]] = []
-    for name, build in X.cross_rules(ctx.facts, ctx.flags, ctx.helpers, ctx.calling, ctx.projects):
-        try:
-            parts.append(build().select(*D.FINDING_COLUMNS))
-        except Exception as error:  # noqa: BLE001
-            notes.append((name, f"rule failed: {str(error)[:200]}"))
+    for _, build in X.cross_rules(ctx.facts, ctx.flags, ctx.helpers, ctx.calling, ctx.projects):
+        parts.append(build().select(*D.FINDING_COLUMNS))
     for name, rule in (custom or {}).items():
         try:
             # Run now, so that a failure at run time stays with this rule too.
@@ -122,6 +120,13 @@ def with_rules(findings: DataFrame) -> DataFrame:
     return findings.join(dim, "rule_id", "left")
 
 
+def failed_gaps(names: DataFrame, notes: list[tuple[str, str]]) -> DataFrame:
+    """A gap of every project for each rule that failed: it has not measured anything."""
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule_id"), F.lit(note).alias("reason")) for rule, note in notes])
+    rows = names.select("project").distinct().select("project", F.explode(pairs).alias("n"))
+    return rows.select("project", "n.rule_id", F.lit("rule").alias("requirement"), "n.reason")
+
+
 def audit(
     files: DataFrame,
     projects: DataFrame | None = None,
@@ -156,6 +161,8 @@ def audit(
     # A rule with an unmet requirement has not measured anything, so it cannot report.
     static_gaps = gaps.where(F.col("requirement") != "live").select("project", "rule_id")
     kept = cut_lineage(with_rules(everything.join(static_gaps, ["project", "rule_id"], "left_anti")))
+    if notes:
+        gaps = gaps.unionByName(failed_gaps(names, notes))
     counts = scoring.severity_counts(kept)
     all_counts = names.distinct().join(counts, "project", "left").na.fill(0)
     return Audit(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans import audit as A
 from plumbline.plans import dependencies, heartbeats, invariants, past, quality, responses, scoring, standards
+from plumbline.plans import crossfile as X
 from plumbline.plans import detect as D
 from plumbline.plans import rules as R
 from plumbline.sources import corpus, history, probes, registry, reports
@@ -196,6 +197,23 @@ def test_gaps_missing_targets_and_custom_rules(spark):
     assert {r.project: r.percent for r in out.coverage.collect()} == {"a": 100}
 
 
+def test_a_failed_rule_never_looks_like_a_result(spark, monkeypatch):
+    """A custom rule that fails is a gap of each project; a built-in one ends the audit."""
+    files = spark.createDataFrame([("a", "x.py", "pass", None)], "project string, path string, content string, tracked boolean")
+    projects = spark.createDataFrame([("a", "/a", False, None), ("b", "/b", False, None)], "name string, path string, owned boolean, url string")
+
+    def broken(*_):
+        raise ValueError("this rule is broken")
+
+    out = A.audit(files, projects, custom={"bad": broken})
+    gaps = {(r.project, r.requirement, r.reason) for r in out.gaps.where("rule_id = 'bad'").collect()}
+    assert gaps == {(p, "rule", "rule failed: this rule is broken") for p in ("a", "b")}
+    assert all(r.partial for r in out.scores.collect())
+    monkeypatch.setattr(X, "two_writers", broken)
+    with pytest.raises(ValueError, match="this rule is broken"):
+        A.audit(files, projects)
+
+
 def test_first_unmet_requirement_counts(spark):
     rules = R.rule_table(spark, [R.Rule("x", "t", 1, "low", requires=("js", "sql"))])
     projects = spark.createDataFrame([("a",), ("b",)], "project string")
