@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans import audit as A
@@ -108,6 +109,19 @@ def test_incremental_scan_equals_batch(spark, tmp_path):
     assert I.current_facts(spark, out).where("project = 'whole'").count() == 0
 
 
+def test_a_failed_rule_fails_the_batch(spark, tmp_path, monkeypatch):
+    """A batch whose rule fails leaves no generation behind, where it once left findings without the rule."""
+
+    def broken(*_):
+        raise ValueError("this rule is broken")
+
+    out = str(tmp_path / "failed")
+    monkeypatch.setattr(A.X, "two_writers", broken)
+    with pytest.raises(ValueError, match="this rule is broken"):
+        I.upsert(spark.createDataFrame([("p", "a.py", "pass", True, False)], I.FILE_SCHEMA), 0, out)
+    assert I.generations(spark, out) == {}
+
+
 def test_a_batch_touches_its_own_buckets_and_may_run_twice(spark, tmp_path):
     out = str(tmp_path / "state")
     body = "import json\ndef f(x):\n    return json.loads(x)"
