@@ -35,7 +35,8 @@ _SQL_IN_TEXT = rf"(?i)\b(?:{_STATEMENTS}|{_CLAUSES})\b"
 
 
 def _blank(token: Column) -> Column:
-    return F.regexp_replace(token, "[^\\n]", " ")
+    # Line by line: a pattern would stop at each character.
+    return F.array_join(F.transform(F.split(token, "\n"), lambda line: F.repeat(F.lit(" "), F.char_length(line))), "\n")
 
 
 def _is_prose(token: Column) -> Column:

@@ -9,7 +9,8 @@ lines do neither.
 The pass is a fold with a stack, all inside Catalyst. A fold copies what it has gathered at
 each step, so rows are gathered in short runs only: a first fold keeps the state in front of
 each block, a second one that in front of each run of a block, and runs and blocks are joined
-by ``flatten``. The work stays in proportion to the file's length.
+by ``flatten``; neither looks at its last part, so a short file is folded once. The work stays
+in proportion to the file's length.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ BLOCK, RUN = 1024, 16
 ROW = "struct<scope:boolean,id:int,parent:int,kind:string,func:int,guarded:boolean,loop:int,start:int,stop:int,text:string,chain:string>"
 _FRAME = "struct<id:int,parent:int,kind:string,func:int,guarded:boolean,loop:int,start:int,head:string,mark:int,chain:string>"
 
-# A piece of code without braces or line breaks outside strings and templates, or one of these.
+# A piece of code without braces or line breaks outside strings and templates, or one of these;
+# lines of spaces go with the line break in front of them.
 TOKEN = (
-    r"(?s)(?:[^{}\n\"'`]++|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|[\"'`])++|[{}\n]"
+    r"(?s)(?:[^{}\n\"'`]++|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|[\"'`])++|[{}]|\n(?: *\n)*+"
 )
 _QUOTED = r"(?s)\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
 
@@ -85,18 +87,19 @@ def blocked_fold(items: str, start: str, step: str) -> str:
         return f"aggregate({values}, named_struct('s', {state}, 'out', {none}), (b, y) -> named_struct('s', element_at(transform(array(y), x -> element_at(transform(array(b), a -> ({step}).s), 1)), 1), 'out', {none})).s"
 
     def states(values: str, state: str, size: int, name: str) -> str:
-        """The state behind all values, and those in front of each ``size`` of them."""
-        part = f"slice({values}, {name} * {size} + 1, {size})"
+        """The states in front of each ``size`` of the values; the last part is not looked at."""
+        part = f"slice({values}, ({name} - 1) * {size} + 1, {size})"
+        later = f"slice(sequence(0, greatest(size({values}) - 1, 0) div {size}), 2, size({values}))"
         return (
-            f"aggregate(sequence(0, greatest(size({values}) - 1, 0) div {size}), named_struct('s', {state}, 'all', array({state})), "
-            f"({name}o, {name}) -> named_struct('s', {quiet(part, name + 'o.s')}, 'all', array_append({name}o.all, {name}o.s)), "
-            f"{name}o -> named_struct('s', {name}o.s, 'all', slice({name}o.all, 2, size({name}o.all))))"
+            f"aggregate({later}, array({state}), ({name}o, {name}) -> "
+            f"array_append({name}o, {quiet(part, f'element_at({name}o, -1)')}))"
         )
 
-    leaf = f"{fold(f'slice(block, k * {RUN} + 1, {RUN})', 'm')}.out"
-    runs = f"flatten(transform(({states('block', 'top', RUN, 'r')}).all, (m, k) -> {leaf}))"
-    rows = f"flatten(transform(done.all, (top, j) -> {_let('block', f'slice({items}, j * {BLOCK} + 1, {BLOCK})', runs)}))"
-    return _let("done", states(items, start, BLOCK, "t"), f"named_struct('s', done.s, 'out', {rows})")
+    leaf = fold(f"slice(block, k * {RUN} + 1, {RUN})", "m")
+    runs = f"transform({states('block', 'top', RUN, 'r')}, (m, k) -> {leaf})"
+    of_block = _let("runs", runs, "named_struct('s', element_at(runs, -1).s, 'out', flatten(runs.out))")
+    blocks = f"transform({states(items, start, BLOCK, 't')}, (top, j) -> {_let('block', f'slice({items}, j * {BLOCK} + 1, {BLOCK})', of_block)})"
+    return _let("blocks", blocks, "named_struct('s', element_at(blocks, -1).s, 'out', flatten(blocks.out))")
 
 
 def _piece(top: str, line: str, text: str) -> str:
@@ -166,12 +169,12 @@ def _braces(text: str) -> str:
     short = "case when char_length(h) > 800 then concat(left(h, 400), right(h, 400)) else h end"
     opens = f"(case when a.s.soft or instr(p, ';') > 0 then 0 else a.s.open end + {_surplus(tail, '(', ')')})"
     told = _let("p", plain, _let("h", head, keep(s(head=short, first=f"case when {fresh} then a.s.line else a.s.first end", open=opens, soft="false"), f"array_append(a.out, {_piece(top, 'a.s.line', 'x')})")))
-    line = keep(s(line="a.s.line + 1", soft="a.s.open <= 0"), "a.out")
-    # A template may hold line breaks: what follows it is further down.
     breaks = "(char_length(x) - char_length(replace(x, '\\n', '')))"
+    line = keep(s(line=f"a.s.line + {breaks}", soft="a.s.open <= 0"), "a.out")
+    # A template may hold line breaks: what follows it is further down.
     told = told.replace("'line', a.s.line,", f"'line', a.s.line + {breaks},", 1)
     step = (
-        f"case when x = '\\n' then {line} when x = '{{' then {opened} "
+        f"case when startswith(x, '\\n') then {line} when x = '{{' then {opened} "
         f"when x = '}}' then case when size(a.s.stack) > 1 then {closed} else {keep(s(), 'a.out')} end "
         f"when trim(x) = '' then {keep(s(), 'a.out')} else {told} end"
     )

@@ -104,7 +104,8 @@ def upsert(batch: DataFrame, batch_id: int, path: str) -> None:
     for table, rows in (("facts", state), ("findings", others.unionByName(found))):
         # A bucket whose last file is gone keeps an empty generation.
         out = f"{path}/{table}/batch={batch_id}"
-        rows.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(out)
+        # Dealt by bucket, or each task would open a file in each; Spark splits a large bucket again.
+        rows.withColumn("bucket", bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
         empty = spark.createDataFrame([], FACT_SCHEMA if table == "facts" else FINDING_SCHEMA)
         fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
         for b in touched:

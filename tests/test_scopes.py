@@ -1,5 +1,6 @@
 """Scopes by braces and by indentation: what encloses a piece of code."""
 
+import re
 import time
 
 import pytest
@@ -144,3 +145,14 @@ def test_time_per_doubling(spark, kind):
     seconds(2000)
     small, large = min(seconds(4000) for _ in range(2)), min(seconds(16000) for _ in range(2))
     assert large < 2.2**2 * small, (small, large)
+
+
+def test_a_blanked_comment_is_one_piece_of_lines():
+    """Lines of spaces once made two steps of the fold each; code behind them keeps its line."""
+    assert len(re.findall(S.TOKEN, "a\n" + "    \n" * 1000 + "b")) == 3
+
+
+def test_lines_behind_a_blanked_comment(spark):
+    text = "function f() {\n" + "   \n" * 2500 + "  g();\n\n}\n" + "\n" * 40 + "h();\n"
+    rows = S.pieces(spark.createDataFrame([(text, "a.ts")], "clean string, path string")).collect()
+    assert [(r.line, r.text.strip()) for r in rows if r.text.strip()] == [(1, "function f()"), (2502, "g();"), (2545, "h();")]

@@ -122,6 +122,15 @@ def test_a_failed_rule_fails_the_batch(spark, tmp_path, monkeypatch):
     assert I.generations(spark, out) == {}
 
 
+def test_a_bucket_is_a_file_and_not_one_of_each_task(spark, tmp_path):
+    out = tmp_path / "files"
+    rows = [(f"p{i}", "a.py", "import json\ndef f(x):\n    return json.loads(x)", True, False) for i in range(300)]
+    I.upsert(spark.createDataFrame(rows, I.FILE_SCHEMA).repartition(12), 0, str(out))
+    for table in ("facts", "findings"):
+        held = [len(list(b.glob("*.parquet"))) for b in (out / table / "batch=0").glob("bucket=*")]
+        assert len(held) == len(I.generations(spark, str(out))) and sum(held) <= 2 * len(held)
+
+
 def test_a_batch_touches_its_own_buckets_and_may_run_twice(spark, tmp_path):
     out = str(tmp_path / "state")
     body = "import json\ndef f(x):\n    return json.loads(x)"
