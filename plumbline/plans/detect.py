@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.functions.literals import needs
 from plumbline.operators.clean import clean_corpus
 from plumbline.operators.graph import DEFINITION
 from plumbline.operators.joins import spread_join
@@ -62,7 +63,12 @@ def lit(text: str) -> str:
 
 
 def rlike(column: str, pattern: str) -> str:
-    return f"({column} rlike {lit(pattern)})"
+    """Whether the column matches; of a whole file only if it holds a literal the pattern needs."""
+    test = f"({column} rlike {lit(pattern)})"
+    held = needs(pattern) if column == "dense" else None
+    if held is None:
+        return test
+    return f"(({' or '.join(f'contains(low, {lit(h)})' for h in held)}) and {test})"
 
 
 def fact(kind: str, key: str, line: str = "1", text: str = "null", level: str = "null") -> str:
@@ -85,7 +91,8 @@ def prepare(files: DataFrame) -> DataFrame:
     # Scopes are found once per file, and only where a rule or a helper could need them.
     needed = f"({HELPER_FILE}) or not is_test and ({concerned()})"
     return (
-        cleaned.withColumn("dense", squeeze(F.col("clean")))
+        cleaned.withColumn("dense", cut_tail(squeeze(F.col("clean"))))
+        .withColumn("low", F.lower("dense"))
         .withColumn("lines", split_lines(F.col("clean")))
         .withColumn("nl", numbered(F.col("lines")))
         .withColumn("sc", F.expr(f"case when {needed} then {scope_rows('clean')} end"))
@@ -107,6 +114,22 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(inner, f"(?<!\\s)(\\s{{{LONGEST_GAP}}})\\s*\\n", "$1\n")
 
 
+# More blanks than any pattern asks for at the end of a file.
+TAIL = 64
+BLANKS = " \t\n\x0b\f\r"
+
+
+def cut_tail(text: Column) -> Column:
+    """The blanks behind the last character cut down, with a line break kept where there was one.
+
+    Nothing follows them, so no gap can end there and only their first few can be matched.
+    """
+    bare = F.rtrim(text, F.lit(BLANKS))
+    tail = F.substring(text, F.char_length(bare) + 1, F.char_length(text))
+    short = F.concat(bare, F.left(tail, F.lit(TAIL)), F.when(tail.contains("\n"), F.lit("\n")).otherwise(F.lit("")))
+    return F.when(F.char_length(tail) > TAIL, short).otherwise(text)
+
+
 def _surface_text(surface: str) -> str:
     return "content" if surface == "raw" else "dense"
 
